@@ -1,0 +1,119 @@
+"""Which keys do several documents share? One exchange of packed arrays, a bucket of the key space per owner task.
+
+A map task sends each key of a batch once, with the smallest document that has it there; the other documents of the batch
+are answered on the spot. So a key that a third of all documents hold costs its owner one entry a batch.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import column, map_arrow
+
+#: Bytes of text a map batch has; entries (about) an owner's bucket has.
+BATCH_BYTES, BUCKET_ENTRIES = 4 << 20, 1 << 20
+SCHEMA = "bucket int, keys binary, docs binary, texts binary, places binary"
+#: Of a batch of documents: (keys, second hashes that choose buckets, row of each entry, place of each entry in its text).
+Extract = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+
+def buckets_for(total_bytes: int, bytes_per_entry: float) -> int:
+    return max(1, int(np.ceil(total_bytes / bytes_per_entry / BUCKET_ENTRIES)))
+
+
+def _row(bucket: int, keys: np.ndarray, docs: np.ndarray, texts: np.ndarray, places: np.ndarray) -> tuple:
+    return bucket, keys.tobytes(), docs.tobytes(), texts.tobytes(), places.astype(np.uint32).tobytes()
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["bucket", "keys", "docs", "texts", "places"])
+
+
+def shared(docs: DataFrame, extract: Extract, n_buckets: int, first_too: bool) -> DataFrame:
+    """(doc_id, text_key, places): places (uint32, packed) whose key a document with another doc_id has too; without
+    ``first_too`` only where that doc_id is smaller. ``docs`` has doc_id, text_key and text, none null. A document may
+    have several rows, which the caller puts together. A key counts once for each place given.
+    """
+
+    def send(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        keys, second, row, place = extract(batch)
+        if not len(keys):
+            return None
+        doc, text = np.asarray(column(batch, "doc_id")), np.asarray(column(batch, "text_key"))
+        order = np.lexsort((doc[row], keys))
+        keys, second, row, place = keys[order], second[order], row[order], place[order]
+        new = np.concatenate([[True], keys[1:] != keys[:-1]])
+        start = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        least = doc[row[start]]
+        is_first = doc[row] == least[group]
+        several = np.logical_or.reduceat(~is_first, start)[group]
+        told = several if first_too else ~is_first
+        sent = is_first
+        rows = []
+        if told.any():
+            rows.append(_row(-1, keys[:0], doc[row[told]], text[row[told]], place[told]))
+        if sent.any():
+            k, r, p = keys[sent], row[sent], place[sent]
+            b = (second[sent] % np.uint64(n_buckets)).astype(np.int64)
+            by = np.lexsort((p, r, b))
+            k, r, p, b = k[by], r[by], p[by], b[by]
+            at = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+            for s, e in zip(at, np.append(at[1:], len(b)), strict=True):
+                rows.append(_row(int(b[s]), k[s:e], doc[r[s:e]], text[r[s:e]], p[s:e]))
+        return _batch(rows)
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
+        for batch in batches:
+            b = column(batch, "bucket").to_pylist()
+            for k in range(batch.num_rows):
+                if b[k] != bucket:
+                    yield from settle(held)
+                    bucket, held = b[k], []
+                got = [column(batch, n)[k].as_buffer() for n in ("keys", "docs", "texts", "places")]
+                if b[k] < 0:
+                    yield grouped(*(np.frombuffer(x, t) for x, t in zip(got[1:], (np.int64, np.int64, np.uint32), strict=True)))
+                else:
+                    held.append([bytes(x) for x in got])
+        yield from settle(held)
+
+    def settle(held: list) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        keys, doc, text, place = (np.frombuffer(b"".join(x[i] for x in held), t) for i, t in enumerate((np.uint64, np.int64, np.int64, np.uint32)))
+        order = np.argsort(keys, kind="stable")
+        sorted_keys, d = keys[order], doc[order]
+        start = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
+        sizes = np.diff(np.append(start, len(d)))
+        least, most = np.minimum.reduceat(d, start), np.maximum.reduceat(d, start)
+        hit = np.repeat(least != most, sizes)
+        if not first_too:
+            hit &= d != np.repeat(least, sizes)
+        at = order[hit]
+        if len(at):
+            yield grouped(doc[at], text[at], place[at])
+
+    def grouped(doc: np.ndarray, text: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((text, doc))
+        doc, text, place = doc[order], text[order], place[order]
+        start = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])]))
+        ends = np.append(start[1:], len(doc))
+        return pa.RecordBatch.from_arrays([pa.array(doc[start]), pa.array(text[start]), pa.array([place[s:e].tobytes() for s, e in zip(start, ends, strict=True)], pa.binary())], ["doc_id", "text_key", "places"])
+
+    packed = map_arrow(docs, send, SCHEMA, step=BATCH_BYTES)
+    # Rows answered on the spot (bucket -1) need no owner: they are dealt out evenly.
+    spread = F.when(F.col("bucket") >= 0, F.col("bucket").cast("long")).otherwise(F.xxhash64("docs"))
+    dealt = packed.repartition(n_buckets, spread).sortWithinPartitions("bucket")
+    return dealt.mapInArrow(own, "doc_id long, text_key long, places binary")
+
+
+def gathered(places: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
+    """Each document's places from a column that is a list of packed arrays."""
+    return [np.frombuffer(b"".join(x), np.uint32) if x else np.zeros(0, np.uint32) for x in places.to_pylist()]
