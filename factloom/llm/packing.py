@@ -34,7 +34,8 @@ class Encoder:
     word is merged by the same ranks. Other texts, and files whose merges do not follow their ids, are encoded whole.
     """
 
-    PLAIN = re.compile(r"[^\n -~\xa1-\u024f]|\xad|  |\s\s| \Z|\n\Z")
+    ODD = re.compile(r"[^\n -~\xa1-\xac\xae-\u024f]")
+    SPACES = ("  ", " \n", "\n ", "\n\n")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -82,7 +83,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         known, out, odd = self.known, [], []
         for k, text in enumerate(texts):
-            if not text or self.merge is None or self.PLAIN.search(text) or any(s in text for s in self.specials):
+            if not text or self.merge is None or text[-1] in " \n" or any(s in text for s in self.SPACES) or self.ODD.search(text) or any(s in text for s in self.specials):
                 odd.append(k)
                 out.append(b"")
                 continue

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, exact_dedup, langid, ngram_jaccard, packing, sharding, substring_dedup, suffix_dedup, toxicity
+from . import embedding_dedup, exact_dedup, langid, ngram_jaccard, packing, sentencepiece_codec, sharding, substring_dedup, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_language_id": langid.query,
         "op8_embedding_dedup": embedding_dedup.query,
         "op9_packing": packing.query,
+        "op10_sentencepiece": sentencepiece_codec.query,
     }
 
 
