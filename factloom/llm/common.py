@@ -114,6 +114,23 @@ def project(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[source].alias(name) for name, source in columns.items()])
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like those given that no column of ``df`` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def keep_only(docs: DataFrame, ids: DataFrame, how: str, id_col: str = "doc_id") -> DataFrame:
+    """Semi or anti join (``how``) of ``docs`` with the one column of ``ids``, whatever other columns ``docs`` has."""
+    (key,) = fresh(docs, "_key")
+    return docs.join(ids.toDF(key), F.col(id_col) == F.col(key), how)
+
+
 def numbered(df: DataFrame, order: list[str], name: str = "row_number", slots: int | None = None) -> DataFrame:
     """Add a gapless global row number (from 0) in the order of the columns ``order``.
 

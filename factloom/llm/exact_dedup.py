@@ -18,10 +18,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, map_arrow, project, shared_dir, ship
+from .common import column, keep_only, map_arrow, project, shared_dir, ship
 
 #: Bytes of distinct text a bucket may hold before it splits.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -141,7 +141,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     entries = map_arrow(keyed, combine, "bucket int, h long, doc_id long, copies long, text string", step=8 << 20)
     # Signed order of h within a bucket is as good as any: all that is needed is that equal hashes stand together.
     n = max(len(directory.local), 1)
-    owned = entries.repartition(n, "bucket").sortWithinPartitions("bucket", "h").mapInArrow(own, "bucket int, h long, doc_id long, copies long, text string, chain int")
+    owned = entries.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "h").mapInArrow(own, "bucket int, h long, doc_id long, copies long, text string, chain int")
     owned.withColumn("digest", F.sha2(F.col("text").cast("binary"), 256)).write.parquet(f"{path}/buckets")
     return spark.read.parquet(f"{path}/buckets"), path
 
@@ -174,5 +174,4 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest doc_id stays."""
-    stay = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_k")).distinct()
-    return docs.join(stay, F.col("doc_id") == F.col("_k"), "left_semi")
+    return keep_only(docs, exact_dedup(docs).where("kept").select("doc_id").distinct(), "left_semi")

@@ -19,8 +19,8 @@ from .common import column, flat, map_arrow, project
 
 #: Bytes in a segment, hidden units of a direction, training documents of a language at most, segments taken of each.
 SEGMENT, HIDDEN, DOCS_PER_LANG, SEGMENTS_PER_DOC = 64, 8, 400, 6
-#: Texts whose best language has less than this go in a filtering stage.
-REJECT_BELOW = 0.5
+#: Texts whose best language has less than this go in a filtering stage (a quarter is the least a best of four can have).
+REJECT_BELOW = 0.4
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -243,10 +243,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter (``und``) and those whose best language has a pooled probability under 0.5."""
+    """Rejects documents without a letter (``und``) and those whose best language has a pooled probability under 0.4."""
     model = train(docs)
     names = docs.columns
-    keyed = docs.select("*", F.monotonically_increasing_id().alias("_row"))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
 
     def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -254,7 +253,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ok = np.array([x is not None and LETTER.search(x) is not None for x in text.to_pylist()])
         if model is not None:
             ok &= model.documents(*flat(text)).max(1) >= REJECT_BELOW
-        return batch.filter(pa.array(ok)).select(names)
+        return batch.filter(pa.array(ok))
 
-    return map_arrow(keyed, keep, ", ".join(f"`{n}` {kinds[n]}" for n in names))
+    return map_arrow(docs, keep, ", ".join(f"`{n}` {kinds[n]}" for n in names))
 

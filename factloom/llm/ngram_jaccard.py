@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binaries, column, lists, map_arrow, materialize, project, ship
+from .common import binaries, column, keep_only, lists, map_arrow, materialize, project, ship
 from .components import components
 from .hashing import mix, seeds, sequence_keys, shingles, words
 
@@ -274,7 +274,6 @@ SQL = SQL.replace("coalesce(min(k.doc_id) OVER (PARTITION BY k.seq), d.doc_id)",
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest doc_id."""
-    gone = ngram_jaccard(docs).where("doc_id <> group_id").select(F.col("doc_id").alias("_k"))
-    return docs.join(gone, F.col("doc_id") == F.col("_k"), "left_anti")
+    return keep_only(docs, ngram_jaccard(docs).where("doc_id <> group_id").select("doc_id"), "left_anti")
 
 

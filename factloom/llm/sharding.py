@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, map_arrow, numbered, project
+from .common import column, fresh, map_arrow, numbered, project
 from .hashing import mix, seeds
 
 
@@ -101,10 +101,11 @@ def write_shards(docs: DataFrame, path: str, n_shards: int, seed: int = 42, id_c
 
     A shard is written by several tasks, each with a range of slots, so one shard may exceed a task's memory.
     """
-    spread = shard_rows(docs, n_shards, seed, id_col).select(F.col("doc_id").alias("_k"), F.col("shard").alias("shard"), "slot")
-    rows = docs.join(spread, docs[id_col] == F.col("_k")).drop("_k")
+    key, shard, slot = fresh(docs, "_key", "shard", "slot")
+    spread = shard_rows(docs, n_shards, seed, id_col).select(F.col("doc_id").alias(key), F.col("shard").alias(shard), F.col("slot").alias(slot))
+    rows = docs.join(spread, F.col(id_col) == F.col(key)).drop(key)
     n = max(n_shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows.repartitionByRange(n, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    rows.repartitionByRange(n, shard, slot).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, flat, map_arrow, project, total_bytes
+from .common import column, flat, fresh, map_arrow, project, total_bytes
 from .hashing import seeds
 from .packed import buckets_for, gathered, shared
 
@@ -129,13 +129,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Of a chunk that several documents have, the one with the smallest doc_id keeps it; within a document the first stays.
     Runs of fewer than ``min_run`` bytes of repeats stay. Rows with null text or id are left as they are and count for
-    nothing. Rows that share a doc_id never take from each other. Empty texts stay empty. Empty table: no rows.
+    nothing; columns named like the three added ones are replaced. Rows that share a doc_id never take from each other. Empty texts stay empty. Empty table: no rows.
     """
+    docs = docs.drop("_n_bytes", "_n_removed", "_spans")
     found = find_repeats(docs, id_col, text_col)
-    per = found.groupBy("doc_id", "text_key").agg(F.collect_list("places").alias("_places")).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "_places")
+    row_id, row_key, row_places = fresh(docs, "_id", "_key", "_places")
+    per = found.groupBy("doc_id", "text_key").agg(F.collect_list("places").alias("places")).toDF(row_id, row_key, row_places)
     names = docs.columns
-    keys = (F.col(id_col).cast("long") == F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_key"))
-    joined = docs.join(per, keys, "left").drop("_id", "_key")
+    keys = (F.col(id_col).cast("long") == F.col(row_id)) & (F.xxhash64(F.col(text_col)) == F.col(row_key))
+    joined = docs.join(per, keys, "left").drop(row_id, row_key)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -146,7 +148,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raw = data.tobytes()
         whole, ids = text.to_pylist(), column(batch, id_col).is_valid().to_pylist()
         n_bytes, removed, cuts = [], [], []
-        for k, places in enumerate(gathered(column(batch, "_places"))):
+        for k, places in enumerate(gathered(column(batch, row_places))):
             s, e = bounds[k], bounds[k + 1]
             sizes = ends[s:e] - starts[s:e]
             n_bytes.append(int(sizes.sum()))

@@ -60,7 +60,7 @@ class Cnn:
 
     def table(self) -> np.ndarray:
         """Each bucket's share in each filter column."""
-        return self.params["e"] @ self.params["w"]
+        return (self.params["e"] @ self.params["w"]).astype(np.float32)
 
     def pooled(self, ids: np.ndarray, bounds: np.ndarray, table: np.ndarray, want: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
         """Maximum of each filter over each text, and the word where it first is reached."""
@@ -77,8 +77,8 @@ class Cnn:
             conv = y[slot * FILTERS : (slot + 1) * FILTERS]
             for k in range(1, width):
                 conv[:, :-k] += y[(slot + k) * FILTERS : (slot + k + 1) * FILTERS, k:]
-            if width == 3:  # no filter reaches into the next text: its last start is a padding word
-                conv[:, bounds[1:] - 1] = -1e30
+            for k in range(1, width):  # no filter reaches into the next text
+                conv[:, bounds[1:] - k] = -1e30
             part = slice(i * FILTERS, (i + 1) * FILTERS)
             out[part] = np.maximum.reduceat(conv, bounds[:-1], axis=1)
             if want:
