@@ -19,8 +19,8 @@ from .common import column, flat, map_arrow, project
 
 #: Bytes in a segment, hidden units of a direction, training documents of a language at most, segments taken of each.
 SEGMENT, HIDDEN, DOCS_PER_LANG, SEGMENTS_PER_DOC = 64, 8, 400, 6
-#: Texts whose best language has less than this go in a filtering stage (a quarter is the least a best of four can have).
-REJECT_BELOW = 0.4
+#: Texts whose best language has less than this go in a filtering stage (of four languages the best has a quarter at least).
+REJECT_BELOW = 0.26
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -243,7 +243,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter (``und``) and those whose best language has a pooled probability under 0.4."""
+    """Rejects documents without a letter (``und``) and those whose best language has a pooled probability under 0.26, hardly above chance."""
     model = train(docs)
     names = docs.columns
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}

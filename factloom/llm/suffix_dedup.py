@@ -2,9 +2,10 @@
 
 A byte is removed when a string of ``width`` bytes that covers it also starts in a document with a smaller doc_id.
 
-1. Minimizers narrow the work without loss: any two equal strings of ``width`` bytes have the same minimizer (the k-byte
-   string of least hash in it) at the same place. So a string can only repeat if its minimizer occurs in two documents.
-   ``packed.shared`` finds those with one exchange of packed arrays.
+1. Minimizers narrow the work without loss: any two equal strings of ``width`` bytes have the same minimizer (a k-byte
+   string in it that its bytes alone choose) at the same place. So a string can only repeat if its minimizer occurs in two
+   documents. ``packed.shared`` finds those with one exchange of packed arrays. Modulo minimizers are used: they are as
+   sparse as common ones of shorter strings, and chance repeats fall with the length.
 2. Around each such minimizer the bytes of all strings that have it are cut out and sent to the owner of its hash.
 3. An owner takes its strings in the order of doc_id, in batches. A batch gets a suffix array (suffixes cut to ``width``
    bytes), is scanned against each level of the index for matches, and then becomes a level itself; two levels of like
@@ -27,7 +28,9 @@ from .hashing import Rolling
 from .packed import buckets_for, shared
 
 #: Bytes of a match; of a minimizer; suffixes of a batch of the index.
-WIDTH, GRAM, BATCH_SUFFIXES = 50, 24, 1 << 15
+WIDTH, GRAM, BATCH_SUFFIXES = 50, 30, 1 << 15
+#: Bytes of the shortest string whose hash chooses a minimizer.
+SEED = 4
 _roll = Rolling(41)
 _second = Rolling(43)
 
@@ -83,30 +86,31 @@ def minimizers(data: np.ndarray, offsets: np.ndarray, width: int, gram: int) ->
     """Of all strings of ``width`` bytes within a text, grouped by minimizer: (hash, second hash, place of the minimizer,
     first string, last string), ascending; a text's strings with one minimizer stand together."""
     none = np.zeros(0, np.int64)
-    span = width - gram + 1
+    apart = width - gram + 1  # places a minimizer may have in a string
+    seed = SEED + (gram - SEED) % apart if gram > SEED else gram
     if len(data) < width:
         return none.view(np.uint64), none.view(np.uint64), none, none, none
     sums = _roll.sums(data)
-    h = _roll.windows(sums, gram)
+    h = _roll.windows(sums, seed)
     low = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
-    m = 1
-    while 2 * m <= span:
+    m, span = 1, width - seed + 1
+    while 2 * m <= span:  # least seed hash of each string, the leftmost of equals
         low = np.minimum(low[:-m], low[m:])
         m *= 2
     if m < span:
-        rest = span - m
-        low = np.minimum(low[:-rest], low[rest:])
+        low = np.minimum(low[: m - span], low[span - m :])
     valid = np.zeros(len(low) + 1, np.int8)  # strings that end within their text
     sizes = np.diff(offsets)
     long = sizes >= width
     np.add.at(valid, offsets[:-1][long], 1)
     np.add.at(valid, (offsets[1:] - width + 1)[long], -1)
     first = np.flatnonzero(np.cumsum(valid[:-1], dtype=np.int8))
-    place = (low[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    least = (low[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    place = first + (least - first) % apart
     new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (first[1:] != first[:-1] + 1)]))
     last = first[np.append(new[1:], len(first)) - 1]
     place = place[new]
-    return h[place], _second.of(_second.sums(data), place, place + gram), place, first[new], last
+    return _roll.of(sums, place, place + gram), _second.of(_second.sums(data), place, place + gram), place, first[new], last
 
 
 def _texts(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, np.ndarray]:
@@ -147,7 +151,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, text_key, n_removed, n_spans, kept_sha256, spans, kept): texts that lose bytes, but for whole copies."""
     every = _all(docs, id_col, text_col)
     rows = every.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= width))
-    n_buckets = buckets_for(total_bytes(rows), (width - gram + 2) / 2)
+    n_buckets = buckets_for(total_bytes(rows), 14)
 
     def extract(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         data, offsets = _texts(batch)
