@@ -8,11 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import lexicon as L
-from ..schema import lookup
+from ..schema import literal, lookup
 
 TOKEN_BREAK = r"[\s\-_/\\.,;:!?'\"()\[\]{}]+"
 COMMIT = r"^(feat|fix|docs|style|refactor|test|chore|perf|ci|build|revert)\s*(\([^)]+\))?\s*:"
-ANY_OF = lambda words: F.array(*[F.lit(w) for w in words])
+ANY_OF = lambda words: F.expr(literal(tuple(words)))
 
 
 def norm_predicate(p: Column, empty: str = "stated") -> Column:

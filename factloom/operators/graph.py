@@ -31,10 +31,9 @@ def related(edges: DataFrame, seeds: DataFrame, cap: int = 1000) -> DataFrame:
 def spread(edges: DataFrame, seeds: DataFrame, decay: float = 0.5) -> DataFrame:
     """(query_id, node, activation) of seeds (query_id, node): 1 at the seed, one hop both ways, two more forward, each hop
     diluted by fan-out; what arrives twice counts by its maximum. Hops go level by level. Two shuffles of a frontier a hop."""
-    out = edges.groupBy("src").agg(F.count("*").alias("n_out"))
-    back = edges.groupBy("dst").agg(F.count("*").alias("n_in"))
-    forward = edges.join(out, "src").select("src", "dst", N.fan(F.col("n_out")).alias("fan"))
-    reverse = edges.join(back, "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), N.fan(F.col("n_in")).alias("fan"))
+    fan_of = lambda end: N.fan(F.count("*").over(Window.partitionBy(end)))
+    forward = edges.select("src", "dst", fan_of("src").alias("fan"))
+    reverse = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), fan_of("dst").alias("fan"))
     start = seeds.select("query_id", F.col("node").alias("seed")).distinct()
     first = start.join(forward.unionByName(reverse), F.col("seed") == F.col("src")).select("query_id", "seed", F.col("dst").alias("node"), (decay * F.col("fan")).alias("a"))
     first = first.groupBy("query_id", "seed", "node").agg(F.max("a").alias("a"))

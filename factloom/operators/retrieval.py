@@ -11,16 +11,19 @@ from pyspark.sql import functions as F
 from .. import lexicon as L
 from ..functions import numeric as N
 from ..functions import text as T
-from ..schema import PERSONAL, Identity
+from ..schema import PERSONAL, Identity, lookup
 
 CHANNELS = ("semantic", "keyword", "temporal", "belief", "frequency", "graph", "resonance")
 WEIGHTS = dict(zip(CHANNELS, (0.30, 0.15, 0.10, 0.15, 0.10, 0.10, 0.10), strict=True))
 
 
-def postings(facts: DataFrame, prefix: int = 4) -> DataFrame:
-    """(prefix, id, token): the inverted index, by token prefix so that prefix matches are equi-joins."""
+def postings(facts: DataFrame, longest: int = 4) -> DataFrame:
+    """(prefix, id, seq, token): the inverted index. Each token stands under its first two to ``longest`` letters, so that a
+    term's prefix match is one equi-join whatever the term's length."""
     text = F.concat_ws(" ", "source_text", "object_value", F.regexp_replace("predicate", "_", " "))
-    return facts.select("id", F.explode(F.array_distinct(T.tokens(text))).alias("token")).withColumn("prefix", F.substring("token", 1, prefix))
+    tokens = facts.select("id", "seq", F.explode(F.array_distinct(T.tokens(text))).alias("token"))
+    heads = F.array_distinct(F.transform(F.sequence(F.lit(2), F.lit(longest)), lambda n: F.substring(F.col("token"), F.lit(1), n)))
+    return tokens.select("id", "seq", "token", F.explode(heads).alias("prefix"))
 
 
 def keyword_score(terms: Column, source: Column, obj: Column, predicate: Column) -> Column:
@@ -36,8 +39,7 @@ def keyword_score(terms: Column, source: Column, obj: Column, predicate: Column)
 def expanded_terms(text: Column) -> Column:
     """Query tokens and their synonyms."""
     terms = T.tokens(text)
-    table = F.create_map(*[x for k, v in L.SYNONYMS.items() for x in (F.lit(k), T.ANY_OF(v))])
-    return F.concat(terms, F.flatten(F.transform(F.filter(terms, lambda t: t.isin(list(L.SYNONYMS))), lambda t: F.element_at(table, t))))
+    return F.concat(terms, F.flatten(F.transform(F.filter(terms, lambda t: t.isin(list(L.SYNONYMS))), lambda t: lookup(L.SYNONYMS, t))))
 
 
 def intents(text: Column) -> dict[str, Column]:
@@ -56,8 +58,8 @@ def intents(text: Column) -> dict[str, Column]:
 def target_predicates(text: Column) -> Column:
     """Predicates that the curated keywords in a query ask for."""
     q = F.lower(text)
-    hits = [F.when(F.contains(q, F.lit(k)), T.ANY_OF(v.split())).otherwise(F.array().cast("array<string>")) for k, v in L.QUERY_PREDICATES.items()]
-    return F.array_distinct(F.flatten(F.array(*hits)))
+    words = F.filter(T.ANY_OF(L.QUERY_PREDICATES), lambda k: F.contains(q, k))
+    return F.array_distinct(F.flatten(F.transform(words, lambda k: lookup({k: v.split() for k, v in L.QUERY_PREDICATES.items()}, k))))
 
 
 def predicate_alignment(query: Column, predicate: Column, obj: Column, source: Column, similarity: Column | float = 0.0, identity: Identity = PERSONAL) -> Column:
@@ -108,13 +110,8 @@ def pool(queries: DataFrame, facts: DataFrame, as_of: float, top_k: int = 20) ->
     flags = intents(F.col("text"))
     rows = live_rows(facts, as_of)
     asked = queries.select("query_id", F.explode(F.array_distinct(expanded_terms(F.col("text")))).alias("term")).where("length(term) >= 2").withColumn("prefix", F.substring("term", 1, 4))
-    index = postings(rows)
-    long = asked.where("length(term) >= 4").join(index, "prefix").where(F.startswith(F.col("token"), F.col("term"))).select("query_id", "id")
-    # Terms shorter than the index prefix match whole tokens or their first letters: joined on the term's own length.
-    short = [asked.where(F.length("term") == n).withColumn("p", F.col("term")).join(index.withColumn("p", F.substring("token", 1, n)), "p").select("query_id", "id") for n in (2, 3)]
-    hits = long.unionByName(short[0]).unionByName(short[1]).distinct()
-    order = Window.partitionBy("query_id").orderBy("seq")
-    matched = hits.join(rows.select("id", "seq"), "id").withColumn("n", F.row_number().over(order)).where(F.col("n") <= 5 * top_k).select("query_id", "id", F.lit(0).alias("src"), "n")
+    hits = asked.join(postings(rows), "prefix").where(F.startswith(F.col("token"), F.col("term"))).select("query_id", "id", "seq").distinct()
+    matched = hits.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("seq"))).where(F.col("n") <= 5 * top_k).select("query_id", "id", F.lit(0).alias("src"), "n")
     own = queries.where(flags["first_person"]).select("query_id", F.col("user_id").alias("_u")).join(rows.where("predicate <> 'stated'").select("id", "seq", "subject"), F.col("subject") == F.col("_u"))
     own = own.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("seq").desc()))).where("n <= 2000").select("query_id", "id", F.lit(1).alias("src"), "n")
     every = matched.unionByName(own)
@@ -159,7 +156,8 @@ def boosted(cands: DataFrame, identity: Identity = PERSONAL) -> DataFrame:
     """The multiplicative boosts on ``score`` that need no embedding."""
     flags = intents(F.col("text"))
     text, pred, obj, src = F.col("text"), F.col("predicate"), F.col("object_value"), F.col("source_text")
-    align = predicate_alignment(text, pred, obj, src, identity=identity)
+    cands = cands.withColumn("_align", predicate_alignment(text, pred, obj, src, identity=identity))
+    align = F.col("_align")
     factor = 1.0 + align
     factor = factor * F.when(flags["broad"], 1 + 0.3 * F.least(F.col("evidence_count"), F.lit(5)) / 5).otherwise(1.0)
     factor = factor * F.when(pred == "stated", 0.75).otherwise(1.3)
@@ -168,7 +166,7 @@ def boosted(cands: DataFrame, identity: Identity = PERSONAL) -> DataFrame:
     factor = factor * F.when(pred.isin(list(L.GENERIC_PREDICATES)) & (flags["specific"] | (align > 0)), 0.5).otherwise(1.0)
     factor = factor * (1.0 + entity_boost(text, obj, src))
     factor = factor * F.when(flags["company"] & (F.col("scope") == "shared"), 1.8).otherwise(1.0)
-    return cands.withColumn("score", F.col("score") * factor)
+    return cands.withColumn("score", F.col("score") * factor).drop("_align")
 
 
 def diversify(ranked: DataFrame, top_k: int, key: tuple[str, ...] = ("query_id",), order: str = "cand_ord") -> DataFrame:

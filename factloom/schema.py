@@ -21,9 +21,22 @@ NATURAL_KEY = ("subject", "predicate", "object_value", "is_negation")
 CONTEXTS = {"private": ("personal", "chat"), "shared": ("company",), "repo": ("repo",)}
 
 
+def literal(x: object) -> str:
+    """A fixed value as a SQL literal: text, number, or a sequence of them as an array."""
+    if isinstance(x, str):
+        return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(x, (tuple, list)):
+        return "array(" + ", ".join(map(literal, x)) + ")"
+    return f"{x!r}D" if isinstance(x, float) else repr(x)
+
+
+def fixed_map(table: dict) -> Column:
+    return F.expr("map(" + ", ".join(f"{literal(k)}, {literal(v)}" for k, v in table.items()) + ")")
+
+
 def lookup(table: dict[str, object], key: Column) -> Column:
     """table[key] as a literal map; null where it has no such key. The table is a fixed one, so the literal has a bound."""
-    return F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
+    return F.element_at(fixed_map(table), key)
 
 
 @dataclass(frozen=True)
