@@ -170,7 +170,7 @@ def _(spark, sf):
 @query("s06_subject_scan", duck("facts", f"SELECT id, subject, rn FROM (SELECT id, subject, row_number() OVER (PARTITION BY subject ORDER BY updated_at DESC, seq) AS rn FROM facts WHERE {SQL_LIVE} AND predicate <> 'stated') WHERE rn <= 5"))
 def _(spark, sf):
     order = Window.partitionBy("subject").orderBy(F.col("updated_at").desc(), "seq")
-    return B.live(facts(spark, sf), AS_OF).where("predicate <> 'stated'").select("id", "subject", F.row_number().over(order).alias("rn")).where("rn <= 5")
+    return B.live(facts(spark, sf), AS_OF).where("predicate <> 'stated'").select("id", "subject", F.row_number().over(order).cast("long").alias("rn")).where("rn <= 5")
 
 
 @query("s07_recent_scan", duck("facts", f"SELECT id, last_accessed FROM facts WHERE {SQL_LIVE} ORDER BY last_accessed DESC, seq LIMIT 100"))
@@ -197,7 +197,7 @@ def _(spark, sf):
     v = table(spark, sf, "embeddings")
     asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     top = R.vector_top_k(asked, v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 10)
-    return top.select("query_id", "id", six(F.col("similarity"), "similarity"), "rank")
+    return top.select("query_id", "id", six(F.col("similarity"), "similarity"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("s12_superseded_scan", duck("facts", "SELECT id, subject FROM (SELECT id, subject, row_number() OVER (PARTITION BY subject ORDER BY updated_at DESC, seq) AS rn FROM facts WHERE state = 'superseded') WHERE rn <= 50"))
@@ -218,7 +218,7 @@ def _(spark, sf):
     return facts(spark, sf).select("id", "scope", "context", "subject", "predicate", "object_value", "is_negation", "state", "created_at").orderBy("created_at", "id")
 
 
-@query("s19_commits_to_facts", duck("utter", "SELECT concat('c', seq) AS sha, 'committed' AS predicate, text[1:200] AS object_value, 0.95 AS confidence FROM utter WHERE text LIKE 'fix(%' UNION ALL SELECT * FROM (SELECT concat('c', seq), 'changed_by', concat('src/', unnest(['a', 'b']), seq % 7, '.py'), 0.95 FROM utter WHERE text LIKE 'fix(%')"))
+@query("s19_commits_to_facts", duck("utter", "SELECT concat('c', seq) AS sha, 'committed' AS predicate, text[1:200] AS object_value, CAST(0.95 AS DOUBLE) AS confidence FROM utter WHERE text LIKE 'fix(%' UNION ALL SELECT * FROM (SELECT concat('c', seq), 'changed_by', concat('src/', unnest(['a', 'b']), seq % 7, '.py'), CAST(0.95 AS DOUBLE) FROM utter WHERE text LIKE 'fix(%')"))
 def _(spark, sf):
     from ..sources.git import commits_to_facts
 
@@ -415,7 +415,7 @@ def _(spark, sf):
     return B.siblings(f, f.where("seq < 40").select("id"))
 
 
-@query("w22_write_flags", duck("utter", f"""SELECT seq, bad AS suspicious, NOT bad AND hedged AS hypothetical, round(least(0.85, CASE WHEN NOT bad AND hedged THEN 0.35 ELSE 1 END), 6) AS confidence FROM (SELECT seq, regexp_matches(text, '<[!/a-zA-Z][^>]*>') AS bad, regexp_matches(lower(ltrim(text)), '^({'|'.join(h.replace(chr(39), chr(39) * 2) for h in L.HEDGES)})\\s') AS hedged FROM utter)"""))
+@query("w22_write_flags", duck("utter", f"""SELECT seq, bad AS suspicious, NOT bad AND hedged AS hypothetical, CAST(round(least(0.85, CASE WHEN NOT bad AND hedged THEN 0.35 ELSE 1 END), 6) AS DOUBLE) AS confidence FROM (SELECT seq, regexp_matches(text, '<[!/a-zA-Z][^>]*>') AS bad, regexp_matches(lower(ltrim(text)), '^({'|'.join(h.replace(chr(39), chr(39) * 2) for h in L.HEDGES)})\\s') AS hedged FROM utter)"""))
 def _(spark, sf):
     u = utterances(spark, sf).selectExpr("seq", "user_id AS subject", "'stated' AS predicate", "text AS source_text", "'user_stated' AS source_type", "0.85D AS confidence")
     return S.flag_writes(u).select("seq", "suspicious", "hypothetical", six(F.col("confidence"), "confidence"))
@@ -650,7 +650,7 @@ def _(spark, sf):
 _RANKED = "ranked AS (SELECT query_id, id, rank FROM (SELECT user_id AS query_id, id, row_number() OVER (PARTITION BY user_id ORDER BY access_count DESC, seq) AS rank FROM facts) WHERE rank <= 10)"
 
 
-@query("l01_traces", duck("facts", "SELECT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b, count(*) AS n, round(least(1.0, 0.05 * count(*)), 6) AS synapse FROM ranked a JOIN ranked b ON a.query_id = b.query_id AND a.rank < b.rank GROUP BY ALL", _RANKED))
+@query("l01_traces", duck("facts", "SELECT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b, count(*) AS n, CAST(round(least(1.0, 0.05 * count(*)), 6) AS DOUBLE) AS synapse FROM ranked a JOIN ranked b ON a.query_id = b.query_id AND a.rank < b.rank GROUP BY ALL", _RANKED))
 def _(spark, sf):
     order = Window.partitionBy("user_id").orderBy(F.col("access_count").desc(), "seq")
     ranked = facts(spark, sf).select(F.col("user_id").alias("query_id"), "id", F.row_number().over(order).alias("rank"))
@@ -689,7 +689,7 @@ _AXIS = "CASE WHEN len(targets) = 0 THEN 0.0 WHEN list_contains(targets, predica
 _TARGETS = "list_distinct(flatten([" + ", ".join(f"CASE WHEN contains(lower(text), '{k}') THEN [{texts(v.split())}] ELSE [] END" for k, v in L.QUERY_PREDICATES.items()) + "]))"
 
 
-@query("r09_predicate_alignment", duck("facts asks", f"""SELECT query_id, id, round(CASE WHEN predicate = 'stated' THEN 0.0 ELSE greatest(0.0, CASE WHEN s2 < 0.4 AND len(list_filter(content, lambda w: contains(lower(concat_ws(' ', object_value, source_text)), w))) >= 2 THEN greatest(s2, 0.3) ELSE s2 END) END, 6) AS alignment FROM (
+@query("r09_predicate_alignment", duck("facts asks", f"""SELECT query_id, id, CAST(round(CASE WHEN predicate = 'stated' THEN 0.0 ELSE greatest(0.0, CASE WHEN s2 < 0.4 AND len(list_filter(content, lambda w: contains(lower(concat_ws(' ', object_value, source_text)), w))) >= 2 THEN greatest(s2, 0.3) ELSE s2 END) END, 6) AS DOUBLE) AS alignment FROM (
 SELECT *, CASE WHEN len(list_intersect(string_split(replace(predicate, '_', ' '), ' '), content)) > 0 THEN greatest({_AXIS}, least(1.0, 0.5 * len(list_intersect(string_split(replace(predicate, '_', ' '), ' '), content)))) ELSE {_AXIS} END AS s2 FROM (SELECT q.query_id, f.id, f.predicate, f.object_value, f.source_text, {SQL_CANON.replace('predicate', 'f.predicate')} AS canon, {_TARGETS.replace('lower(text)', 'lower(q.text)')} AS targets, {sql_content('q.text')} AS content FROM asks q, facts f WHERE f.seq % 50 = 0))"""))
 def _(spark, sf):
     cands = facts(spark, sf).where("seq % 50 = 0").drop("user_id").join(F.broadcast(questions(spark)), F.lit(True))
@@ -730,7 +730,7 @@ ranks AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC
 
 @query("k05_k08_diversity", duck("facts", "SELECT query_id, id, rank, round(final, 6) AS score FROM ranks", f"{_CH}, {_FUSED}, {_DIV}"))
 def _(spark, sf):
-    return R.diversify(_fused(spark, sf), 10).select("query_id", "id", "rank", six(F.col("score"), "score"))
+    return R.diversify(_fused(spark, sf), 10).select("query_id", "id", F.col("rank").cast("long").alias("rank"), six(F.col("score"), "score"))
 
 
 @query("k09_certainty", duck("facts", "SELECT query_id, answer, round(CASE WHEN s1 < 0.02 THEN 0.0 WHEN s2 IS NULL THEN 1.0 ELSE greatest(0.0, least(1.0, (s1 - s2) / greatest(abs(s1), 1e-6))) END, 6) AS certainty FROM (SELECT query_id, max(CASE WHEN rank = 1 THEN id END) AS answer, max(CASE WHEN rank = 1 THEN final END) AS s1, max(CASE WHEN rank = 2 THEN final END) AS s2 FROM ranks GROUP BY 1)", f"{_CH}, {_FUSED}, {_DIV}"))
@@ -754,7 +754,7 @@ def _(spark, sf):
 @query("u02_multi_scope", duck("facts", f"SELECT label, subject, id, rn FROM (SELECT scope AS label, subject, id, row_number() OVER (PARTITION BY scope, subject ORDER BY updated_at DESC, seq) AS rn FROM facts WHERE {SQL_LIVE}) WHERE rn <= 3"))
 def _(spark, sf):
     order = Window.partitionBy("scope", "subject").orderBy(F.col("updated_at").desc(), "seq")
-    return B.live(facts(spark, sf), AS_OF).select(F.col("scope").alias("label"), "subject", "id", F.row_number().over(order).alias("rn")).where("rn <= 3")
+    return B.live(facts(spark, sf), AS_OF).select(F.col("scope").alias("label"), "subject", "id", F.row_number().over(order).cast("long").alias("rn")).where("rn <= 3")
 
 
 @query("r16_recall", None)
