@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .retrieval import CHANNELS, WEIGHTS
@@ -32,3 +32,19 @@ def cooccurrence_counts(entities: DataFrame, least: int = 2) -> DataFrame:
     other = one.select(F.col("seq").alias("_s"), F.col("entity").alias("_e"))
     pairs = one.join(other, (F.col("seq") == F.col("_s")) & (F.col("entity") < F.col("_e")))
     return pairs.groupBy(F.col("entity").alias("a"), F.col("_e").alias("b")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def drop_weakest(pairs: DataFrame, share: float) -> DataFrame:
+    """Pairs (a, b, n) without the weakest share of them (rounded up), ties by name.
+
+    The cut's weight comes from counts by weight (few values); only pairs of just that weight are ranked.
+    """
+    counts = pairs.groupBy("n").agg(F.count("*").alias("c"))
+    below = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    total = counts.agg(F.ceil(F.sum("c") * share).alias("_gone"))
+    cut = counts.withColumn("_below", F.coalesce(F.sum("c").over(below), F.lit(0))).join(F.broadcast(total), F.lit(True))
+    cut = cut.select(F.col("n").alias("_n"), F.greatest(F.lit(0), F.least(F.col("c"), F.col("_gone") - F.col("_below"))).alias("_drop"), "c")
+    marked = pairs.join(F.broadcast(cut), F.col("n") == F.col("_n"))
+    whole = marked.where("_drop = 0").select("a", "b", "n")
+    edge = marked.where("_drop > 0 and _drop < c").withColumn("_r", F.row_number().over(Window.partitionBy("n").orderBy("a", "b"))).where(F.col("_r") > F.col("_drop")).select("a", "b", "n")
+    return whole.unionByName(edge)

@@ -93,6 +93,14 @@ def subject_alignment(query: Column, user: Column, subject: Column, obj: Column,
     return F.when(own, 1.5).when(direct, 1.5).when(synonym, 1.2).when(hits >= 2, 0.6).otherwise(0.0)
 
 
+def hints(predicate_hint: Column, subject_hint: Column, identity: Identity = PERSONAL) -> Column:
+    """A caller's hints boost and never filter: 3 for the predicate as written or canonical, 2 for the subject."""
+    wanted = T.norm_predicate(predicate_hint)
+    p = F.col("predicate")
+    hit = p.isin(wanted) | (identity.canon(p) == wanted) | (p == identity.canon(wanted)) | (identity.canon(p) == identity.canon(wanted))
+    return F.when(hit, 3.0).otherwise(1.0) * F.when(F.col("subject") == subject_hint, 2.0).otherwise(1.0)
+
+
 def entity_boost(query: Column, obj: Column, source: Column) -> Column:
     """0.8 times the share of the query's entities (capitalised, or longer than three letters) found in the text."""
     words = F.transform(F.split(F.trim(query), r"\s+"), lambda w: F.trim(w, F.lit("?.,!\"'")))

@@ -243,3 +243,10 @@ def test_weights_stay_a_distribution(spark):
     got = {r["key"]: r["weights"] for r in fold_weights(spark.createDataFrame(rows, "key string, seq int, scores map<string,double>")).collect()}
     assert abs(sum(got["k"].values()) - 1) < 1e-9 and min(got["k"].values()) >= 0.02 / 1.14
     assert got["z"] == R.WEIGHTS
+
+
+@pytest.mark.parametrize(("word", "stem"), [("caresses", "caress"), ("ponies", "poni"), ("cats", "cat"), ("agreed", "agre"), ("plastered", "plaster"), ("motoring", "motor"), ("hopping", "hop"), ("falling", "fall"), ("filing", "file"), ("happy", "happi"), ("relational", "relat"), ("conditional", "condit"), ("generalizations", "gener"), ("adoption", "adopt"), ("rate", "rate"), ("controll", "control"), ("café", "cafe")])
+def test_porter(word, stem):
+    from factloom.functions.stem import porter
+
+    assert porter(word) == stem
