@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import uuid
 import zipfile
@@ -34,10 +36,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """Like ``materialize``, in buckets by ``keys``: a later join on them need not shuffle this side again. Best for the
+    result of a join on the same keys, whose rows lie by bucket already."""
+    spark = df.sparkSession
+    label = f"{name}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{label}").bucketBy(n, *keys).format("parquet").saveAsTable(label)
+    return spark.table(label)
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package: nothing to do where the workers' path has it, else send a zip."""
     roots = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(":") if p} | {os.path.realpath(os.getcwd())}
@@ -56,6 +68,13 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext._factloom_shipped = True
 
 
+def tidy() -> None:
+    """Give freed memory back at the end of a task: workers are reused, and what one task held must not add to the next."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str | None = "text", step: int = STEP_BYTES) -> DataFrame:
     """``mapInArrow`` over slices of at most ``step`` bytes of column ``text`` (one row at least)."""
     ship(df.sparkSession)
@@ -66,6 +85,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
                 out = fn(part)
                 if out is not None and out.num_rows:
                     yield out
+        tidy()
 
     return df.mapInArrow(run, schema)
 

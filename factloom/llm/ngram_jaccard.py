@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binaries, column, keep_only, lists, map_arrow, materialize, project, ship
+from .common import binaries, column, keep_only, lists, map_arrow, materialize, project, ship, tidy
 from .components import components
 from .hashing import mix, seeds, sequence_keys, shingles, words
 
@@ -237,6 +237,8 @@ def _verify(dealt: DataFrame, similarity: float) -> DataFrame:
                 out = ([], [], [])
         close()
         yield pack(out)
+        group.clear()
+        tidy()
 
     def pack(out: tuple[list, list, list]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["rep", "links", "low"])

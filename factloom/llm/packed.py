@@ -13,11 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, map_arrow
+from .common import column, map_arrow, tidy
 
 #: Bytes of text a map batch has; entries (about) an owner's bucket has.
-BATCH_BYTES, BUCKET_ENTRIES = 4 << 20, 1 << 20
-SCHEMA = "bucket int, keys binary, docs binary, texts binary, places binary"
+BATCH_BYTES, BUCKET_ENTRIES = 2 << 20, 1 << 20
+SCHEMA = "bucket int, base long, keys binary, docs binary, texts binary, places binary"
 #: Of a batch of documents: (keys, second hashes that choose buckets, row of each entry, place of each entry in its text).
 Extract = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
@@ -26,19 +26,40 @@ def buckets_for(total_bytes: int, bytes_per_entry: float) -> int:
     return max(1, int(np.ceil(total_bytes / bytes_per_entry / BUCKET_ENTRIES)))
 
 
-def _row(bucket: int, keys: np.ndarray, docs: np.ndarray, texts: np.ndarray, places: np.ndarray) -> tuple:
-    return bucket, keys.tobytes(), docs.tobytes(), texts.tobytes(), places.astype(np.uint32).tobytes()
+def _row(bucket: int, keys: np.ndarray, docs: np.ndarray, texts: np.ndarray, places: np.ndarray, width: int) -> tuple:
+    """Keys cut to ``width`` bytes; ids as 32-bit distances from the least where they fit; half of the text key, which only
+    tells rows of one doc_id apart."""
+    base = int(docs.min())
+    wide = int(docs.max()) - base >= 1 << 32
+    small = (docs if wide else (docs - base).astype(np.uint32)).tobytes()
+    cut = keys.view(np.uint8).reshape(-1, 8)[:, 8 - width :].tobytes() if len(keys) else b""
+    return bucket, base, cut, small, texts.astype(np.uint64).astype(np.uint32).tobytes(), places.astype(np.uint32).tobytes()
+
+
+def _read(base: int, keys: bytes, docs: bytes, texts: bytes, places: bytes, width: int) -> tuple[np.ndarray, ...]:
+    place, text = np.frombuffer(places, np.uint32), np.frombuffer(texts, np.uint32)
+    n = len(place)
+    doc = np.frombuffer(docs, np.int64) if len(docs) == 8 * n else np.frombuffer(docs, np.uint32).astype(np.int64) + base
+    full = np.zeros((len(keys) // width, 8), np.uint8)
+    full[:, 8 - width :] = np.frombuffer(keys, np.uint8).reshape(-1, width)
+    return full.view(np.uint64).ravel(), doc, text, place
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [()] * 5
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["bucket", "keys", "docs", "texts", "places"])
+    cols = list(zip(*rows, strict=True)) or [()] * 6
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[2:]]], ["bucket", "base", "keys", "docs", "texts", "places"])
+
+
+def short_key(text_key: F.Column) -> F.Column:
+    """What ``shared`` returns of a text key."""
+    return text_key.bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def shared(docs: DataFrame, extract: Extract, n_buckets: int, first_too: bool) -> DataFrame:
+def shared(docs: DataFrame, extract: Extract, n_buckets: int, first_too: bool, width: int = 8) -> DataFrame:
     """(doc_id, text_key, places): places (uint32, packed) whose key a document with another doc_id has too; without
     ``first_too`` only where that doc_id is smaller. ``docs`` has doc_id, text_key and text, none null. A document may
-    have several rows, which the caller puts together. A key counts once for each place given.
+    have several rows, which the caller puts together. A key counts once for each place given. ``text_key`` is ``short_key`` of
+    the one given. With ``width`` under 8 keys are cut to that many bytes (and the bucket): fit where a chance hit does no harm.
     """
 
     def send(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -58,7 +79,7 @@ def shared(docs: DataFrame, extract: Extract, n_buckets: int, first_too: bool) -
         sent = is_first
         rows = []
         if told.any():
-            rows.append(_row(-1, keys[:0], doc[row[told]], text[row[told]], place[told]))
+            rows.append(_row(-1, keys[:0], doc[row[told]], text[row[told]], place[told], width))
         if sent.any():
             k, r, p = keys[sent], row[sent], place[sent]
             b = (second[sent] % np.uint64(n_buckets)).astype(np.int64)
@@ -66,7 +87,7 @@ def shared(docs: DataFrame, extract: Extract, n_buckets: int, first_too: bool) -
             k, r, p, b = k[by], r[by], p[by], b[by]
             at = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
             for s, e in zip(at, np.append(at[1:], len(b)), strict=True):
-                rows.append(_row(int(b[s]), k[s:e], doc[r[s:e]], text[r[s:e]], p[s:e]))
+                rows.append(_row(int(b[s]), k[s:e], doc[r[s:e]], text[r[s:e]], p[s:e], width))
         return _batch(rows)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,17 +98,19 @@ def shared(docs: DataFrame, extract: Extract, n_buckets: int, first_too: bool) -
                 if b[k] != bucket:
                     yield from settle(held)
                     bucket, held = b[k], []
-                got = [column(batch, n)[k].as_buffer() for n in ("keys", "docs", "texts", "places")]
+                got = _read(*(column(batch, n)[k].as_py() for n in ("base", "keys", "docs", "texts", "places")), width)
                 if b[k] < 0:
-                    yield grouped(*(np.frombuffer(x, t) for x, t in zip(got[1:], (np.int64, np.int64, np.uint32), strict=True)))
+                    yield grouped(*got[1:])
                 else:
-                    held.append([bytes(x) for x in got])
+                    held.append(got)
         yield from settle(held)
+        tidy()
 
     def settle(held: list) -> Iterator[pa.RecordBatch]:
         if not held:
             return
-        keys, doc, text, place = (np.frombuffer(b"".join(x[i] for x in held), t) for i, t in enumerate((np.uint64, np.int64, np.int64, np.uint32)))
+        keys, doc, text, place = (np.concatenate([x[i] for x in held]) for i in range(4))
+        held.clear()
         order = np.argsort(keys, kind="stable")
         sorted_keys, d = keys[order], doc[order]
         start = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
@@ -105,7 +128,7 @@ def shared(docs: DataFrame, extract: Extract, n_buckets: int, first_too: bool) -
         doc, text, place = doc[order], text[order], place[order]
         start = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])]))
         ends = np.append(start[1:], len(doc))
-        return pa.RecordBatch.from_arrays([pa.array(doc[start]), pa.array(text[start]), pa.array([place[s:e].tobytes() for s, e in zip(start, ends, strict=True)], pa.binary())], ["doc_id", "text_key", "places"])
+        return pa.RecordBatch.from_arrays([pa.array(doc[start]), pa.array(text[start].astype(np.int64)), pa.array([place[s:e].tobytes() for s, e in zip(start, ends, strict=True)], pa.binary())], ["doc_id", "text_key", "places"])
 
     packed = map_arrow(docs, send, SCHEMA, step=BATCH_BYTES)
     # Rows answered on the spot (bucket -1) need no owner: they are dealt out evenly.

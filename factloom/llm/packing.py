@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import column, map_arrow, materialize, numbered, project
 
 #: Tokens of a sequence, steps of the least-squares fit, whitespace-separated parts a worker remembers the ids of.
-LENGTH, STEPS, REMEMBERED = 1024, 300, 400_000
+LENGTH, STEPS, REMEMBERED = 1024, 300, 150_000
 END_ID = 2
 
 
@@ -38,15 +38,11 @@ class Encoder:
     SPACES = ("  ", " \n", "\n ", "\n\n")
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.path, self.whole = path, None
         self.known: dict[str, bytes] = {}
         self.merge, self.split = self._ranks(path)
 
-    @staticmethod
-    def _ranks(path: str):  # noqa: ANN205
+    def _ranks(self, path: str):  # noqa: ANN202
         """The merging of one word and the split into words, or None where the file is of another kind."""
         import public_tokenizers
         import regex
@@ -54,6 +50,7 @@ class Encoder:
 
         with open(path, encoding="utf-8") as f:
             x = json.load(f)
+        self.specials = [t["content"] for t in x.get("added_tokens", [])]
         vocab, kind = x["model"].get("vocab"), x.get("pre_tokenizer") or {}
         plain = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space") and not x.get("normalizer")
         merges = [m if isinstance(m, str) else " ".join(m) for m in x["model"].get("merges", [])]
@@ -67,7 +64,13 @@ class Encoder:
         return core.encode_single_piece, regex.compile(public_tokenizers.PATTERN).findall
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+        if not texts:
+            return []
+        if self.whole is None:  # only where a text asks for it
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.path)
+        return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _part(self, part: str) -> bytes:
         known = self.known

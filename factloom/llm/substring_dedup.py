@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import column, flat, fresh, map_arrow, project, total_bytes
 from .hashing import seeds
-from .packed import buckets_for, gathered, shared
+from .packed import buckets_for, gathered, shared, short_key
 
 #: Bytes of a run of repeated chunks that is removed, at least; of a chunk, at most.
 MIN_RUN, MAX_CHUNK = 160, 2048
@@ -136,7 +136,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     row_id, row_key, row_places = fresh(docs, "_id", "_key", "_places")
     per = found.groupBy("doc_id", "text_key").agg(F.collect_list("places").alias("places")).toDF(row_id, row_key, row_places)
     names = docs.columns
-    keys = (F.col(id_col).cast("long") == F.col(row_id)) & (F.xxhash64(F.col(text_col)) == F.col(row_key))
+    keys = (F.col(id_col).cast("long") == F.col(row_id)) & (short_key(F.xxhash64(F.col(text_col))) == F.col(row_key))
     joined = docs.join(per, keys, "left").drop(row_id, row_key)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
 
