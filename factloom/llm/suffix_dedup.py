@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, flat, map_arrow, materialize, project, total_bytes
+from .common import bucketed, column, flat, map_arrow, project, tidy, total_bytes
 from .hashing import Rolling
-from .packed import buckets_for, shared
+from .packed import buckets_for, shared, short_key
 
 #: Bytes of a match; of a minimizer; suffixes of a batch of the index.
 WIDTH, GRAM, BATCH_SUFFIXES = 50, 30, 1 << 15
@@ -136,7 +136,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _all(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = project(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), short_key(F.xxhash64("text")).alias("text_key"), "text")
 
 
 def _copies(slim: DataFrame, width: int) -> DataFrame:
@@ -160,12 +160,15 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         # A text may have a minimizer at several places, and each place needs its answer.
         return h, second, row, place - offsets[row]
 
-    found = shared(rows, extract, n_buckets, first_too=True)
+    # A chance hit of shorter keys only adds strings to look at.
+    found = shared(rows, extract, n_buckets, first_too=True, width=6)
     slim = every.select("doc_id", "text_key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("own"))
     gone = _copies(slim, width).select(F.col("_id").alias("doc_id"), F.col("_key").alias("text_key"), F.lit(None).cast("binary").alias("places"))
     per = found.unionByName(gone).groupBy("doc_id", "text_key").agg(F.collect_list("places").alias("places"), F.bool_or(F.col("places").isNull()).alias("copy"))
     per = per.where("not copy").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "places")
-    work = materialize(rows.join(per, (F.col("doc_id") == F.col("_id")) & (F.col("text_key") == F.col("_key"))).select("doc_id", "text_key", "text", "places").dropDuplicates(["doc_id", "text_key"]), "suffixes")
+    # Written in buckets by document, so that the texts are shuffled once, not again when their spans come back.
+    joined = rows.join(per, (F.col("doc_id") == F.col("_id")) & (F.col("text_key") == F.col("_key"))).select("doc_id", "text_key", "text", "places").dropDuplicates(["doc_id", "text_key"])
+    work = bucketed(joined, "suffixes", "doc_id", "text_key")
 
     def cut_out(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = _texts(batch)
@@ -187,7 +190,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pieces = map_arrow(work, cut_out, "owner long, doc_id long, text_key long, at long, size long, piece binary", step=1 << 20)
     # Matched pieces need no owner: they are dealt out evenly.
     spread = F.when(F.col("piece").isNull(), F.xxhash64("doc_id", "at")).otherwise(F.col("owner"))
-    dealt = pieces.repartition(2 * n_buckets, spread).drop("owner").sortWithinPartitions("doc_id", "text_key", "at")
+    dealt = pieces.repartition(n_buckets, spread).drop("owner").sortWithinPartitions("doc_id", "text_key", "at")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, whole = SuffixLevels(width), {}
@@ -207,6 +210,8 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 held, size = [], 0
         if held:
             yield scan(index, held)
+        del index, whole, held
+        tidy()
 
     def scan(index: SuffixLevels, held: list[tuple]) -> pa.RecordBatch:
         out = [(doc, text, at, at + n) for doc, text, at, piece, n in held if piece is None]
