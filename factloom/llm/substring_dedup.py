@@ -1,5 +1,9 @@
-"""Operator 3, substring dedup: content-defined chunks by a gear rolling hash, deduplicated by digest.
+"""Operator 3, substring dedup, by windows (``window_dedup``, the query) and by chunks (``substring_dedup``, the pipeline's stage).
 
+Windows: every window of MIN_RUN bytes belongs to the least of its strings of half that size, so equal windows meet by the hash
+of that string. Where all bytes around it agree, nothing more is needed; else those bytes are compared, window by window.
+
+Chunks: content-defined chunks by a gear rolling hash, deduplicated by digest.
 Cuts depend on the last 16 bytes only, so an insertion moves no cut behind it by more than that. Cuts fall behind white
 space (about every 40 bytes) or, in text without any, between characters. A chunk is a repeat when an earlier chunk of the
 document or a document with a smaller doc_id has its digest; runs of repeats of some length are removed.
@@ -7,21 +11,24 @@ document or a document with a smaller doc_id has its digest; runs of repeats of
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, flat, fresh, map_arrow, project, total_bytes
-from .hashing import seeds
-from .packed import buckets_for, gathered, shared, short_key
+from .common import column, flat, fresh, map_arrow, materialize, project, tidy, total_bytes
+from .hashing import Rolling, seeds
+from .packed import BATCH_BYTES, buckets_for, gathered, shared, short_key
 
 #: Bytes of a run of repeated chunks that is removed, at least; of a chunk, at most.
 MIN_RUN, MAX_CHUNK = 160, 2048
 #: Chance of a cut behind a white-space byte and behind any other, in 256ths.
 CUT_SPACE, CUT_ANY = 44, 1
 _GEAR = (seeds(256, 97) >> np.uint64(32)).astype(np.uint32)
+_roll = Rolling(89)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -175,9 +182,278 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return map_arrow(joined, cut, schema, text=text_col, step=1 << 20)
 
 
+def marks(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """(text, first window, last window, key, digest, hashes): every window of ``width`` bytes inside a text belongs to the leftmost least
+    of its strings of width / 2 bytes, so equal windows belong to equal strings; windows of one string lie side by side.
+
+    key is the hash of the string, digest that of all bytes of its windows, hashes that of the window at every byte.
+    """
+    k = width // 2
+    w, n = width - k + 1, len(data)
+    starts = np.arange(max(0, n - width + 1))
+    row = np.searchsorted(offsets[1:], starts, "right")
+    starts = starts[starts + width <= offsets[1:][row]] if len(starts) else starts
+    if not len(starts):
+        none = np.zeros(0, np.int64)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(np.uint64)
+    sums = _roll.sums(data)
+    short = _roll.windows(sums, k)
+    least, m = (short & ~np.uint64(0xFFFFFFFF)) | np.arange(len(short), dtype=np.uint64), 1
+    while 2 * m <= w:
+        least = np.minimum(least[:-m], least[m:])
+        m *= 2
+    least = np.minimum(least[: len(least) - (w - m)], least[w - m :])
+    place = (least[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    edge = np.flatnonzero(place[1:] != place[:-1]) + 1
+    first, last = starts[np.concatenate([[0], edge])], starts[np.concatenate([edge - 1, [len(starts) - 1]])]
+    place = place[np.concatenate([[0], edge])]
+    return np.searchsorted(offsets[1:], first, "right"), first, last, short[place], _roll.of(sums, first, last + width), _roll.windows(sums, width)
+
+
+def ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers from each first to its last, and which pair each is of."""
+    sizes = last - first + 1
+    of = np.repeat(np.arange(len(first)), sizes)
+    return np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + first[of], of
+
+
+def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The union of spans, as spans that do not touch."""
+    if not len(start):
+        return start, end
+    order = np.argsort(start, kind="stable")
+    start, reach = start[order], np.maximum.accumulate(end[order])
+    new = np.concatenate([[True], start[1:] > reach[:-1]])
+    return start[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(start) - 1)]
+
+
+def not_first(keys: np.ndarray, group: np.ndarray, order_by: np.ndarray) -> np.ndarray:
+    """Whether an element with the same key and group has a smaller order_by."""
+    order = np.lexsort((order_by, keys, group))
+    k, g, o = keys[order], group[order], order_by[order]
+    new = np.concatenate([[True], (k[1:] != k[:-1]) | (g[1:] != g[:-1])])[: len(k)]
+    out = np.zeros(len(keys), bool)
+    out[order] = o != o[np.flatnonzero(new)][np.cumsum(new) - 1]
+    return out
+
+
+def _pack(kind: int, bucket: int, key: np.ndarray, digest: np.ndarray, doc: np.ndarray, text: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple:
+    base = int(doc.min())
+    small = doc.tobytes() if int(doc.max()) - base >= 1 << 32 else (doc - base).astype(np.uint32).tobytes()
+    return kind, bucket, base, key.tobytes(), digest.tobytes(), small, text.astype(np.uint32).tobytes(), at.astype(np.uint32).tobytes(), size.astype(np.uint32).tobytes()
+
+
+_PACKED = "kind int, bucket int, base long, keys binary, digests binary, docs binary, texts binary, places binary, sizes binary"
+_FOUND = "doc_id long, text_key long, kind int, spans binary"
+
+
+def _found(kind: np.ndarray, doc: np.ndarray, text: np.ndarray, at: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+    """One row a document and kind; spans are pairs (start, size) of 32-bit numbers."""
+    order = np.lexsort((at, kind, text, doc))
+    kind, doc, text = kind[order], doc[order], text[order]
+    pairs = np.stack([at[order], size[order]], 1).astype(np.uint32)
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]) | (kind[1:] != kind[:-1])])
+    s = np.flatnonzero(new)
+    return pa.RecordBatch.from_arrays([pa.array(doc[s]), pa.array(text[s].astype(np.int64)), pa.array(kind[s].astype(np.int32)), pa.array([x.tobytes() for x in np.split(pairs, s[1:])], pa.binary())], ["doc_id", "text_key", "kind", "spans"])
+
+
+#: Of spans: all of it repeats; only its bytes can tell how much of it does.
+FULL, PART = 0, 1
+
+
+def find_windows(rows: DataFrame, width: int, n_buckets: int) -> DataFrame:
+    """(doc_id, text_key, kind, spans) of ``rows`` (doc_id, text_key, text): where windows of ``width`` bytes may repeat, by one exchange."""
+
+    def send(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        data, offsets = flat(column(batch, "text"))
+        row, first, last, key, digest, hashes = marks(data, offsets, width)
+        if not len(row):
+            return None
+        ids, keys = np.asarray(column(batch, "doc_id")), np.asarray(column(batch, "text_key"))
+        out = []
+        # Within a text: of equal windows all but the first go.
+        order = np.lexsort((key, row))
+        same = (key[order][1:] == key[order][:-1]) & (row[order][1:] == row[order][:-1])
+        twice = np.zeros(len(row), bool)
+        twice[order[1:][same]] = twice[order[:-1][same]] = True
+        if twice.any():
+            at, of = ranges(first[twice], last[twice])
+            of = row[twice][of]
+            gone = not_first(hashes[at], of, at)
+            if gone.any():
+                s, e = merged(at[gone], at[gone] + width)  # windows of two texts do not overlap
+                r = np.searchsorted(offsets[1:], s, "right")
+                # Texts that touch: a span ends with its text.
+                cut = np.flatnonzero(e > offsets[1:][r])
+                if len(cut):
+                    parts = [merged(at[gone][of[gone] == t], at[gone][of[gone] == t] + width) for t in np.unique(of[gone])]
+                    s, e = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
+                    r = np.searchsorted(offsets[1:], s, "right")
+                out.append(_pack(FULL, -1, key[:0], digest[:0], ids[r], keys[r], s - offsets[r], e - s))
+            # Of a string's equal surroundings in one text the first stand for all.
+            stay = ~not_first(key ^ digest, row, first)
+            row, first, last, key, digest = (x[stay] for x in (row, first, last, key, digest))
+        doc, text, at, size = ids[row], keys[row], first - offsets[row], last - first + width
+        least = ~not_first(digest, key, doc)
+        if not least.all():
+            out.append(_pack(FULL, -1, key[:0], digest[:0], doc[~least], text[~least], at[~least], size[~least]))
+        doc, text, at, size, key, digest = (x[least] for x in (doc, text, at, size, key, digest))
+        b = ((key >> np.uint64(17)) % np.uint64(n_buckets)).astype(np.int64)
+        by = np.argsort(b, kind="stable")
+        for part in np.split(by, np.flatnonzero(np.diff(b[by])) + 1):
+            out.append(_pack(PART, int(b[part[0]]), key[part], digest[part], doc[part], text[part], at[part], size[part]))
+        cols = list(zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[3:]]], [x.split()[0] for x in _PACKED.split(", ")])
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
+        for batch in batches:
+            for r in batch.to_pylist():
+                text, at, size = (np.frombuffer(r[n], np.uint32) for n in ("texts", "places", "sizes"))
+                doc = np.frombuffer(r["docs"], np.int64) if len(r["docs"]) == 8 * len(at) else np.frombuffer(r["docs"], np.uint32).astype(np.int64) + r["base"]
+                if r["kind"] == FULL:
+                    yield _found(np.full(len(at), FULL), doc, text, at, size)
+                    continue
+                if r["bucket"] != bucket:
+                    yield from settle(held)
+                    bucket = r["bucket"]
+                held.append((np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["digests"], np.uint64), doc, text, at, size))
+        yield from settle(held)
+        tidy()
+
+    def settle(held: list) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        key, digest, doc, text, at, size = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        order = np.lexsort((doc, digest, key))
+        key, digest, doc, text, at, size = (x[order] for x in (key, digest, doc, text, at, size))
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        s, of = np.flatnonzero(new), np.cumsum(new) - 1
+        alike = np.concatenate([[True], new[1:] | (digest[1:] != digest[:-1])])
+        full = doc != doc[np.flatnonzero(alike)][np.cumsum(alike) - 1]
+        several = ((np.minimum.reduceat(doc, s) != np.maximum.reduceat(doc, s)) & (np.add.reduceat(alike, s, dtype=np.int64) > 1))[of]
+        told = full | several
+        if told.any():
+            yield _found(np.where(full, FULL, PART)[told], doc[told], text[told], at[told], size[told])
+
+    packed = map_arrow(rows, send, _PACKED, step=BATCH_BYTES)
+    spread = F.when(F.col("kind") == PART, F.col("bucket").cast("long")).otherwise(F.xxhash64("docs"))
+    return packed.repartition(n_buckets, spread).sortWithinPartitions("kind", "bucket").mapInArrow(own, _FOUND)
+
+
+def compare_windows(laid: DataFrame, width: int, n_buckets: int) -> DataFrame:
+    """(doc_id, text_key, kind, spans): the windows within the given stretches of a text that a smaller doc_id has too."""
+
+    def send(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        data, offsets = flat(column(batch, "text"))
+        pairs = [np.frombuffer(b"".join(x), np.uint32).astype(np.int64).reshape(-1, 2) for x in column(batch, "spans").to_pylist()]
+        n = np.array([len(x) for x in pairs])
+        if not n.sum():
+            return None
+        at, size = np.concatenate(pairs).T
+        row = np.repeat(np.arange(len(n)), n)
+        _, first, _, key, _, _ = marks(data, offsets, width)
+        k = key[np.searchsorted(first, offsets[row] + at)]
+        raw = data.tobytes()
+        s = (offsets[row] + at).tolist()
+        doc, text = np.asarray(column(batch, "doc_id"))[row], np.asarray(column(batch, "text_key"))[row]
+        b = ((k >> np.uint64(17)) % np.uint64(n_buckets)).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(b), pa.array(doc), pa.array(text), pa.array(at), pa.array([raw[x : x + z] for x, z in zip(s, size.tolist(), strict=True)], pa.binary())], ["bucket", "doc_id", "text_key", "at", "bytes"])
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
+        for batch in batches:
+            b = np.asarray(column(batch, "bucket"))
+            for part in np.split(np.arange(len(b)), np.flatnonzero(np.diff(b)) + 1):
+                if len(part):
+                    if b[part[0]] != bucket:
+                        yield from settle(held)
+                        bucket = b[part[0]]
+                    held.append(batch.slice(part[0], len(part)))
+        yield from settle(held)
+        tidy()
+
+    def settle(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        hashes, docs, texts, at = [], [], [], []
+        for batch in held:
+            data, offsets = flat(column(batch, "bytes"))
+            w, of = ranges(offsets[:-1], offsets[1:] - width)
+            hashes.append(_roll.of(_roll.sums(data), w, w + width))
+            docs.append(np.asarray(column(batch, "doc_id"))[of])
+            texts.append(np.asarray(column(batch, "text_key"))[of])
+            at.append(np.asarray(column(batch, "at"))[of] + w - offsets[of])
+        held.clear()
+        h, doc, text, at = (np.concatenate(x) for x in (hashes, docs, texts, at))
+        gone = not_first(h, np.zeros(len(h), np.int8), doc)
+        if gone.any():
+            doc, text, at = doc[gone], text[gone], at[gone]
+            order = np.lexsort((at, text, doc))
+            doc, text, at = doc[order], text[order], at[order]
+            new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]) | (at[1:] > at[:-1] + width)])
+            s = np.flatnonzero(new)
+            e = np.append(s[1:] - 1, len(at) - 1)
+            yield _found(np.full(len(s), FULL), doc[s], text[s], at[s], at[e] - at[s] + width)
+
+    sent = map_arrow(laid, send, "bucket int, doc_id long, text_key long, at long, bytes binary", step=BATCH_BYTES)
+    return sent.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(own, _FOUND)
+
+
+def window_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
+    """Like ``substring_dedup``, but by bytes in place of chunks: what leaves ``text`` is every string of ``min_run`` bytes that a document
+    with a smaller doc_id has too, or the document itself further ahead. No repeat of that length is missed, and each goes to
+    its true ends (drawn in to whole characters). Nulls, rows that share a doc_id and empty texts as there.
+    """
+    docs = docs.drop("_n_bytes", "_n_removed", "_spans")
+    names, kinds = docs.columns, {f.name: f.dataType.simpleString() for f in docs.schema}
+    row_id, row_key, row_spans, own_key = fresh(docs, "_id", "_key", "_places", "_own")
+    rows = keyed(docs, id_col, text_col).withColumn("text_key", short_key(F.col("text_key")))
+    n = buckets_for(total_bytes(rows), 40)
+    found = materialize(find_windows(rows, min_run, n), "windows")
+    part = found.where(F.col("kind") == PART).groupBy("doc_id", "text_key").agg(F.collect_list("spans").alias("spans")).toDF(row_id, row_key, row_spans)
+    own = docs.withColumn(own_key, short_key(F.xxhash64(F.col(text_col))))
+    on = (F.col(id_col).cast("long") == F.col(row_id)) & (F.col(own_key) == F.col(row_key))
+    some = own.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).join(part, on)
+    some = some.select(F.col(row_id).alias("doc_id"), F.col(row_key).alias("text_key"), F.col(text_col).alias("text"), F.col(row_spans).alias("spans"))
+    gone = found.where(F.col("kind") == FULL).union(compare_windows(some, min_run, n))
+    per = gone.groupBy("doc_id", "text_key").agg(F.collect_list("spans").alias("spans")).toDF(row_id, row_key, row_spans)
+    joined = own.join(per, on, "left").drop(row_id, row_key, own_key)
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        text = column(batch, text_col)
+        whole, n_bytes, removed, cuts = [], [], [], []
+        for t, packed in zip(text.to_pylist(), column(batch, row_spans).to_pylist(), strict=True):
+            raw = (t or "").encode()
+            spans_ = []
+            if packed:
+                at, size = np.frombuffer(b"".join(packed), np.uint32).astype(np.int64).reshape(-1, 2).T
+                for s, e in zip(*(x.tolist() for x in merged(at, at + size)), strict=True):
+                    while s < e and raw[s] & 0xC0 == 0x80:
+                        s += 1
+                    while e > s and e < len(raw) and raw[e] & 0xC0 == 0x80:
+                        e -= 1
+                    spans_.append((s, e))
+                kept, to = [], 0
+                for s, e in spans_:
+                    kept.append(raw[to:s])
+                    to = e
+                t = b"".join([*kept, raw[to:]]).decode()
+            whole.append(t)
+            n_bytes.append(len(raw))
+            removed.append(sum(e - s for s, e in spans_))
+            cuts.append([{"start": s, "end": e} for s, e in spans_])
+        cols = [pa.array(whole, text.type) if c == text_col else column(batch, c) for c in names]
+        return pa.RecordBatch.from_arrays([*cols, pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(cuts, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], [*names, "_n_bytes", "_n_removed", "_spans"])
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", _n_bytes long, _n_removed long, _spans array<struct<start: long, end: long>>"
+    return map_arrow(joined, cut, schema, text=text_col, step=1 << 20)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = substring_dedup(docs)
+    out = window_dedup(docs)
     kept = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     return out.select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.size("_spans").cast("long").alias("n_spans"), kept.alias("kept_sha256"))
 
