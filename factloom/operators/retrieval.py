@@ -109,23 +109,40 @@ def entity_boost(query: Column, obj: Column, source: Column) -> Column:
     return F.when(F.size(entities) > 0, 0.8 * F.size(F.filter(entities, lambda e: F.contains(text, e))) / F.size(entities)).otherwise(0.0)
 
 
-def pool(queries: DataFrame, facts: DataFrame, as_of: float, top_k: int = 20) -> DataFrame:
-    """Candidate pool of each query over live facts: keyword matches first (5k), then the query user's own structured facts.
+def pool(queries: DataFrame, facts: DataFrame, as_of: float, top_k: int = 20, vectors: DataFrame | None = None) -> DataFrame:
+    """Candidate pool of each query, in order of entry: keyword matches (5k), the nearest vectors, the newest superseded facts (k), the
+    facts last read (k, where fewer than k came in so far), the query user's own newest facts (50) and structured ones (2000).
 
-    Both branches are equi-joins, on token prefixes and on the user; ``seq`` orders what the limits keep. Columns of both
-    sides, with ``cand_ord`` as the order of entry.
+    Superseded facts come in for temporal questions only, all others are live. Vectors take part where ``vectors`` (id, embedding) is
+    given and ``queries`` has an ``embedding``; all live facts are compared. Keywords and users are equi-joins; of the newest only k
+    rows are left before they meet the queries. Columns of both sides, with ``cand_ord`` as the order of entry.
     """
     flags = intents(F.col("text"))
-    rows = live_rows(facts, as_of)
-    asked = queries.select("query_id", F.explode(F.array_distinct(expanded_terms(F.col("text")))).alias("term")).where("length(term) >= 2").withColumn("prefix", F.substring("term", 1, 4))
-    hits = asked.join(postings(rows), "prefix").where(F.startswith(F.col("token"), F.col("term"))).select("query_id", "id", "seq").distinct()
-    matched = hits.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("seq"))).where(F.col("n") <= 5 * top_k).select("query_id", "id", F.lit(0).alias("src"), "n")
-    own = queries.where(flags["first_person"]).select("query_id", F.col("user_id").alias("_u")).join(rows.where("predicate <> 'stated'").select("id", "seq", "subject"), F.col("subject") == F.col("_u"))
-    own = own.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("seq").desc()))).where("n <= 2000").select("query_id", "id", F.lit(1).alias("src"), "n")
-    every = matched.unionByName(own)
-    first = every.groupBy("query_id", "id").agg(F.min(F.struct("src", "n")).alias("at"))
+    rows, past = live_rows(facts, as_of), facts.where("state = 'superseded'")
+    asked = queries.select("query_id", flags["temporal"].alias("temporal"), F.explode(F.array_distinct(expanded_terms(F.col("text")))).alias("term")).where("length(term) >= 2").withColumn("prefix", F.substring("term", 1, 4))
+    starts = lambda terms, of: terms.join(postings(of), "prefix").where(F.startswith(F.col("token"), F.col("term"))).select("query_id", "id", "seq")
+    hits = starts(asked, rows).unionByName(starts(asked.where("temporal"), past)).distinct()
+    ordered = lambda df, *by: df.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(*by)))
+    branch = lambda df, src: df.select("query_id", "id", F.lit(src).alias("src"), "n")
+    found = branch(ordered(hits, "seq").where(F.col("n") <= 5 * top_k), 0)
+    if vectors is not None and "embedding" in queries.columns:
+        known = vectors.select("id", F.col("embedding").alias("_v")).join(rows.select("id"), "id")
+        near = known.join(F.broadcast(queries.select("query_id", F.col("embedding").alias("_e"))), F.lit(True)).withColumn("_s", N.cosine(F.col("_e"), F.col("_v"))).where("_s > 0")
+        found = found.unionByName(branch(ordered(near, F.col("_s").desc(), "id").where(F.col("n") <= max(min(3 * top_k, 25), top_k)), 1))
+    newest = lambda df, by: df.select("id", "seq", by).orderBy(F.col(by).desc(), F.col("seq").desc()).limit(top_k)
+    by_time = lambda by: (F.col(by).desc(), F.col("seq").desc())
+    old = queries.where(flags["temporal"]).select("query_id").join(F.broadcast(newest(past, "updated_at")), F.lit(True))
+    found = found.unionByName(branch(ordered(old, *by_time("updated_at")), 2))
+    enough = found.groupBy("query_id").agg(F.countDistinct("id").alias("n")).where(F.col("n") >= top_k).select("query_id")
+    recent = queries.select("query_id").join(enough, "query_id", "left_anti").join(F.broadcast(newest(rows, "last_accessed")), F.lit(True))
+    found = found.unionByName(branch(ordered(recent, *by_time("last_accessed")), 3))
+    own = queries.where(flags["first_person"]).select("query_id", F.col("user_id").alias("_u")).join(rows.select("id", "seq", "subject", "predicate", "updated_at"), F.col("subject") == F.col("_u"))
+    for src, of, limit in ((4, own, 50), (5, own.where("predicate <> 'stated'"), 2000)):
+        found = found.unionByName(branch(ordered(of, *by_time("updated_at")).where(F.col("n") <= limit), src))
+    first = found.groupBy("query_id", "id").agg(F.min(F.struct("src", "n")).alias("at"))
     ranked = first.withColumn("cand_ord", F.row_number().over(Window.partitionBy("query_id").orderBy("at"))).select("query_id", F.col("id").alias("_id"), "cand_ord")
-    return ranked.join(rows, F.col("_id") == F.col("id")).drop("_id").join(queries.withColumnRenamed("user_id", "asker"), "query_id")
+    every = rows.unionByName(past).drop("embedding")
+    return ranked.join(every, F.col("_id") == F.col("id")).drop("_id").join(queries.withColumnRenamed("user_id", "asker"), "query_id")
 
 
 def live_rows(facts: DataFrame, as_of: float) -> DataFrame:
@@ -201,9 +218,14 @@ def certainty(ranked: DataFrame, threshold: float = 0.15, key: str = "query_id")
     return top.select(key, F.col("t")[0]["id"].alias("answer"), s1.alias("score"), sure.alias("certainty"), unclear.alias("needs_clarification"), F.col("t.id").alias("alternatives"))
 
 
-def recall(queries: DataFrame, facts: DataFrame, as_of: float, top_k: int = 20, edges: DataFrame | None = None) -> DataFrame:
-    """The whole of retrieval: pool, channels, fusion, boosts, diversity."""
-    cands = channel_scores(pool(queries, facts, as_of, top_k), as_of)
+def recall(queries: DataFrame, facts: DataFrame, as_of: float, top_k: int = 20, edges: DataFrame | None = None, traces: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
+    """The whole of retrieval: pool, channels, fusion, boosts, diversity. The graph, resonance and semantic channels are 0 without
+    ``edges``, ``traces`` (a, b, n) and ``vectors`` (id, embedding; ``queries`` then has an ``embedding`` too)."""
+    cands, semantic = pool(queries, facts, as_of, top_k, vectors), None
+    if vectors is not None and "embedding" in queries.columns:
+        cands = cands.join(vectors.select(F.col("id").alias("_id"), F.col("embedding").alias("_v")), F.col("id") == F.col("_id"), "left").drop("_id")
+        semantic = F.greatest(F.lit(0.0), F.coalesce(N.cosine(F.col("embedding"), F.col("_v")), F.lit(0.0)))
+    cands = channel_scores(cands, as_of, semantic).drop("_v")
     if edges is not None:
         from .graph import spread
 
@@ -214,7 +236,13 @@ def recall(queries: DataFrame, facts: DataFrame, as_of: float, top_k: int = 20,
         cands = cands.withColumn("graph", F.least(F.lit(1.0), F.greatest(F.coalesce("_a", F.lit(0.0)), F.coalesce("_b", F.lit(0.0))))).drop("_a", "_b")
     else:
         cands = cands.withColumn("graph", F.lit(0.0))
-    cands = cands.withColumn("resonance", F.lit(0.0))
+    if traces is not None:
+        from .graph import resonance
+
+        met = resonance(cands, traces).select(F.col("query_id").alias("_q"), F.col("id").alias("_i"), "resonance")
+        cands = cands.join(met, (F.col("query_id") == F.col("_q")) & (F.col("id") == F.col("_i")), "left").drop("_q", "_i").withColumn("resonance", F.coalesce("resonance", F.lit(0.0)))
+    else:
+        cands = cands.withColumn("resonance", F.lit(0.0))
     return diversify(boosted(fuse(cands)), top_k)
 
 

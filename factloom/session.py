@@ -121,14 +121,15 @@ class Memory:
     def visible(self, user_id: str, org_id: str = "") -> DataFrame:
         return self.numbered().where(((F.col("scope") == "private") & (F.col("user_id") == user_id)) | ((F.col("scope") == "shared") & (F.col("org_id") == org_id)))
 
-    def query(self, questions: DataFrame, user_id: str, now: float, top_k: int = 20, org_id: str = "") -> DataFrame:
-        """Ranked facts for (query_id, text). Blank questions have no results. Reading changes nothing."""
+    def query(self, questions: DataFrame, user_id: str, now: float, top_k: int = 20, org_id: str = "", traces: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
+        """Ranked facts for (query_id, text[, embedding]). Blank questions have no results. Reading changes nothing. ``traces`` and
+        ``vectors`` as in ``retrieval.recall``."""
         asked = questions.where(F.length(F.trim("text")) > 0).withColumn("user_id", F.lit(user_id))
         seen = self.visible(user_id, org_id).drop("user_id")
-        return R.recall(asked, seen, now, top_k, G.edges_of(seen))
+        return R.recall(asked, seen, now, top_k, G.edges_of(seen), traces, vectors)
 
-    def query_one(self, questions: DataFrame, user_id: str, now: float, org_id: str = "") -> DataFrame:
-        return R.certainty(self.query(questions, user_id, now, 5, org_id), self.options.clarification)
+    def query_one(self, questions: DataFrame, user_id: str, now: float, org_id: str = "", traces: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
+        return R.certainty(self.query(questions, user_id, now, 5, org_id, traces, vectors), self.options.clarification)
 
     def profile(self, user_id: str, now: float, org_id: str = "") -> DataFrame:
         return profiles.profile(self.visible(user_id, org_id).where(profiles.profile_worthy()).where("source_type <> 'suspicious'"), now)
