@@ -40,14 +40,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
-    """Like ``materialize``, in buckets by ``keys``: a later join on them need not shuffle this side again. Best for the
-    result of a join on the same keys, whose rows lie by bucket already."""
+def bucketed(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
+    """Like ``materialize``, in ``n`` buckets by ``key``: a later join on it in ``n`` partitions does not move this side again.
+    ``df`` should lie in ``n`` partitions by ``key`` already. The catalog entry goes at once; what was read from it stays."""
     spark = df.sparkSession
     label = f"{name}_{uuid.uuid4().hex}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{label}").bucketBy(n, *keys).format("parquet").saveAsTable(label)
-    return spark.table(label)
+    df.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{label}").bucketBy(n, key).format("parquet").saveAsTable(label)
+    out = spark.table(label)
+    out.schema  # noqa: B018
+    spark.sql(f"DROP TABLE {label}")
+    return out
 
 
 def ship(spark: SparkSession) -> None:
@@ -129,6 +131,13 @@ def lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.ascontiguousarray(offsets, np.int32)), pa.array(values))
 
 
+def ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers from each first to its last, and which pair each is of."""
+    sizes = last - first + 1
+    of = np.repeat(np.arange(len(first)), sizes)
+    return np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + first[of], of
+
+
 def project(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under fixed inner names, so that extra or clashing columns can do no harm."""
     return df.select(*[df[source].alias(name) for name, source in columns.items()])

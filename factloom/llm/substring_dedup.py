@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, flat, fresh, map_arrow, materialize, project, tidy, total_bytes
+from .common import column, flat, fresh, map_arrow, materialize, project, ranges, tidy, total_bytes
 from .hashing import Rolling, seeds
 from .packed import BATCH_BYTES, buckets_for, gathered, shared, short_key
 
@@ -210,13 +210,6 @@ def marks(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray
     return np.searchsorted(offsets[1:], first, "right"), first, last, short[place], _roll.of(sums, first, last + width), _roll.windows(sums, width)
 
 
-def ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers from each first to its last, and which pair each is of."""
-    sizes = last - first + 1
-    of = np.repeat(np.arange(len(first)), sizes)
-    return np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + first[of], of
-
-
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The union of spans, as spans that do not touch."""
     if not len(start):

@@ -2,33 +2,38 @@
 
 A byte is removed when a string of ``width`` bytes that covers it also starts in a document with a smaller doc_id.
 
-1. Minimizers narrow the work without loss: any two equal strings of ``width`` bytes have the same minimizer (a k-byte
+1. Texts are laid out once, in packed blocks of some megabytes, bucketed in the shared folder; whatever a later step finds
+   is answered to blocks. Texts equal to one with a smaller doc_id go as a whole and take no further part.
+2. Minimizers narrow the work without loss: any two equal strings of ``width`` bytes have the same minimizer (a k-byte
    string in it that its bytes alone choose) at the same place. So a string can only repeat if its minimizer occurs in two
-   documents. ``packed.shared`` finds those with one exchange of packed arrays. Modulo minimizers are used: they are as
-   sparse as common ones of shorter strings, and chance repeats fall with the length.
-2. Around each such minimizer the bytes of all strings that have it are cut out and sent to the owner of its hash.
-3. An owner takes its strings in the order of doc_id, in batches. A batch gets a suffix array (suffixes cut to ``width``
+   documents. A block sends each of its minimizers' keys once, as 32 bits, and gets back one bit for each. Modulo
+   minimizers are used: they are as sparse as common ones of shorter strings, and chance repeats fall with the length.
+3. Around each such minimizer the bytes of all strings that have it are cut out and sent to the owner of its hash; of
+   equal pieces a block sends one.
+4. An owner takes its pieces in the order of doc_id, in batches. A batch gets a suffix array (suffixes cut to ``width``
    bytes), is scanned against each level of the index for matches, and then becomes a level itself; two levels of like
    size merge into one of twice the size, so there are logarithmically many levels and each suffix is rewritten as often.
-4. Matched spans go back to their documents, where their union is removed.
+5. Matched spans go back to their blocks, where their union is removed.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucketed, column, flat, map_arrow, project, tidy, total_bytes
+from .common import bucketed, column, materialize, project, ranges, ship, tidy, total_bytes
 from .hashing import Rolling
-from .packed import buckets_for, shared, short_key
 
 #: Bytes of a match; of a minimizer; suffixes of a batch of the index.
-WIDTH, GRAM, BATCH_SUFFIXES = 50, 30, 1 << 15
+WIDTH, GRAM, BATCH_SUFFIXES = 50, 30, 1 << 17
+#: Bytes of text in a block, in a bucket of blocks, of one vectorised step, for an owner of pieces; entries of a key bucket.
+BLOCK_BYTES, PART_BYTES, STEP, OWNER_BYTES, BUCKET_ENTRIES = 4 << 20, 64 << 20, 1 << 20, 8 << 20, 1 << 20
 #: Bytes of the shortest string whose hash chooses a minimizer.
 SEED = 4
 _roll = Rolling(41)
@@ -113,147 +118,359 @@ def minimizers(data: np.ndarray, offsets: np.ndarray, width: int, gram: int) ->
     return _roll.of(sums, place, place + gram), _second.of(_second.sums(data), place, place + gram), place, first[new], last
 
 
-def _texts(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    return flat(column(batch, name))
+def slabs(offsets: np.ndarray, width: int, step: int) -> Iterator[tuple[int, int, np.ndarray, int]]:
+    """(start, end, offsets from start, first row): whole texts of about ``step`` bytes together; a longer text alone, in parts
+    that overlap by ``width`` - 1 bytes, so that each string of ``width`` bytes is in just one."""
+    row, n = 0, len(offsets) - 1
+    while row < n:
+        to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + step, "right")) - 1)
+        s, e = int(offsets[row]), int(offsets[to])
+        if e - s <= 2 * step:
+            yield s, e, offsets[row : to + 1] - s, row
+        else:
+            for at in range(s, max(s + 1, e - width + 1), step):
+                stop = min(at + step + width - 1, e)
+                yield at, stop, np.array([0, stop - at]), row
+        row = to
+
+
+class Entries:
+    """The minimizers of a block of texts: bucket and key of each distinct one, and where it occurs."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, skip: np.ndarray, width: int, gram: int, n_buckets: int):
+        codes, rows, firsts, lasts, whole = [], [], [], [], []
+        for s, e, inner, row in slabs(offsets, width, STEP):
+            h, second, _, first, last = minimizers(data[s:e], inner, width, gram)
+            r = row + np.searchsorted(inner[1:], first, "right")
+            keep = ~skip[r]
+            # A key of 32 bits tells the million entries of a bucket apart; a chance hit only adds strings to look at.
+            code = (second % np.uint64(n_buckets)) << np.uint64(32) | h >> np.uint64(32)
+            for store, x in ((codes, code), (rows, r), (firsts, first + s), (lasts, last + s), (whole, h)):
+                store.append(x[keep])
+        none = np.zeros(0, np.int64)
+        self.row, self.first, self.last = (np.concatenate([none, *x]) for x in (rows, firsts, lasts))
+        self.hash = np.concatenate([none.astype(np.uint64), *whole])
+        code = np.concatenate([none.astype(np.uint64), *codes])
+        self.distinct, self.nth = np.unique(code, return_inverse=True)
+        least, most = np.full(len(self.distinct), len(skip)), np.zeros(len(self.distinct), np.int64)
+        np.minimum.at(least, self.nth, self.row)
+        np.maximum.at(most, self.nth, self.row)
+        self.several = least != most  # two texts of this block have it
+        bucket = (self.distinct >> np.uint64(32)).astype(np.int64)
+        self.edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else none
+        self.buckets = bucket[self.edges]
+
+    def told(self, answers: list) -> np.ndarray:
+        """Which occurrences are of minimizers that two texts have. answers: (bucket, packed bits) of this block."""
+        hit, ends = self.several.copy(), np.append(self.edges[1:], len(self.distinct))
+        for bucket, bits in answers:
+            k = int(np.searchsorted(self.buckets, bucket))
+            s, e = self.edges[k], ends[k]
+            hit[s:e] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=e - s).astype(bool)
+        return hit[self.nth]
+
+
+def lay_blocks(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int, int]:
+    """The texts as packed blocks in the shared folder, bucketed by ``home``; the number of buckets; bytes of all texts.
+
+    A block is one row: home, part, ids, sizes, shas, text. Later steps answer to blocks, not to documents, and meet
+    the blocks without moving the texts again.
+    """
+    spark = docs.sparkSession
+    rows = project(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    total = total_bytes(rows)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(np.ceil(total / PART_BYTES)))
+    homes = 4 * n
+    laid = rows.withColumn("home", F.pmod(F.xxhash64("doc_id", "text"), F.lit(homes))).repartition(n, "home")
+    ship(spark)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        size: dict[int, int] = {}
+        parts: dict[int, int] = {}
+
+        def close(home: int) -> pa.RecordBatch:
+            ids, texts = zip(*held.pop(home), strict=True)
+            part = parts[home] = parts.get(home, -1) + 1
+            size[home] = 0
+            shas = b"".join(hashlib.sha256(t).digest() for t in texts)
+            known = np.array([d is not None for d in ids], np.uint8)
+            cells = [np.array([d or 0 for d in ids], np.int64).tobytes(), known.tobytes(), np.array([len(t) for t in texts], np.int64).tobytes(), shas, b"".join(texts)]
+            return pa.RecordBatch.from_arrays([pa.array([home], pa.int64()), pa.array([part], pa.int32()), *[pa.array([c], pa.binary()) for c in cells]], BLOCK_COLUMNS)
 
+        for batch in batches:
+            for home, doc, text in zip(column(batch, "home").to_pylist(), column(batch, "doc_id").to_pylist(), column(batch, "text").cast(pa.binary()), strict=True):
+                raw = text.as_py()
+                held.setdefault(home, []).append((doc, raw))
+                size[home] = size.get(home, 0) + len(raw) + 64
+                if size[home] >= BLOCK_BYTES:
+                    yield close(home)
+        for home in list(held):
+            yield close(home)
+        tidy()
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+    blocks = laid.mapInArrow(pack, "home long, part int, ids binary, known binary, sizes binary, shas binary, text binary")
+    return bucketed(blocks, "blocks", "home", n), n, total
 
-    Matches are judged on the input, in UTF-8 bytes, and never cross texts. Null text counts as empty. Rows that share a
-    doc_id never take from each other; rows with a null doc_id keep all and take nothing. Texts under ``width`` bytes
-    keep all. Empty table: no rows. Other columns are ignored. ``removed_spans`` gives the spans themselves.
-    """
-    rows = _all(docs, id_col, text_col)
-    cut = removed_spans(docs, id_col, text_col, width, gram).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "n_removed", "n_spans", "kept_sha256")
-    slim = rows.select("doc_id", "text_key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("own"))
-    copies = _copies(slim, width)
-    cut = cut.unionByName(copies)
-    out = slim.join(cut, (F.col("doc_id") == F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
-    zero = F.lit(0).cast("long")
-    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "own").alias("kept_sha256"))
-
-
-def _all(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = project(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), short_key(F.xxhash64("text")).alias("text_key"), "text")
-
-
-def _copies(slim: DataFrame, width: int) -> DataFrame:
-    """Texts that equal one with a smaller doc_id go as a whole: every string of theirs starts there too."""
-    long = slim.where((F.col("n_bytes") >= width) & F.col("doc_id").isNotNull())
-    first = long.groupBy("own").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select(F.col("own").alias("_own"), "low")
-    gone = long.join(first, F.col("own") == F.col("_own")).where("doc_id > low")
-    return gone.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256")).distinct()
-
-
-def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, text_key, n_removed, n_spans, kept_sha256, spans, kept): texts that lose bytes, but for whole copies."""
-    every = _all(docs, id_col, text_col)
-    rows = every.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= width))
-    n_buckets = buckets_for(total_bytes(rows), 14)
-
-    def extract(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        data, offsets = _texts(batch)
-        h, second, place, _, _ = minimizers(data, offsets, width, gram)
-        row = np.searchsorted(offsets[1:], place, "right")
-        # A text may have a minimizer at several places, and each place needs its answer.
-        return h, second, row, place - offsets[row]
-
-    # A chance hit of shorter keys only adds strings to look at.
-    found = shared(rows, extract, n_buckets, first_too=True, width=6)
-    slim = every.select("doc_id", "text_key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("own"))
-    gone = _copies(slim, width).select(F.col("_id").alias("doc_id"), F.col("_key").alias("text_key"), F.lit(None).cast("binary").alias("places"))
-    per = found.unionByName(gone).groupBy("doc_id", "text_key").agg(F.collect_list("places").alias("places"), F.bool_or(F.col("places").isNull()).alias("copy"))
-    per = per.where("not copy").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "places")
-    # Written in buckets by document, so that the texts are shuffled once, not again when their spans come back.
-    joined = rows.join(per, (F.col("doc_id") == F.col("_id")) & (F.col("text_key") == F.col("_key"))).select("doc_id", "text_key", "text", "places").dropDuplicates(["doc_id", "text_key"])
-    work = bucketed(joined, "suffixes", "doc_id", "text_key")
-
-    def cut_out(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data, offsets = _texts(batch)
-        h, second, place, first, last = minimizers(data, offsets, width, gram)
-        row = np.searchsorted(offsets[1:], place, "right")
-        wanted = [np.frombuffer(b"".join(x), np.uint32).astype(np.int64) + offsets[k] for k, x in enumerate(column(batch, "places").to_pylist())]
-        keep = np.isin(place, np.concatenate(wanted))
-        h, row, first, last = h[keep], row[keep], first[keep], last[keep]
-        raw, doc, text = data.tobytes(), np.asarray(column(batch, "doc_id")), np.asarray(column(batch, "text_key"))
-        pieces = [raw[s : e + width] for s, e in zip(first.tolist(), last.tolist(), strict=True)]
-        # Equal pieces combine before the shuffle: the smallest document's is sent, the batch's others are matched here.
-        owned, least = doc[row].tolist(), {}
-        for piece, d in zip(pieces, owned, strict=True):
-            if least.get(piece, d) >= d:
-                least[piece] = d
-        sent = [piece if least[piece] == d else None for piece, d in zip(pieces, owned, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(doc[row]), pa.array(text[row]), pa.array((first - offsets[row]).astype(np.int64)), pa.array([len(x) for x in pieces], pa.int64()), pa.array(sent, pa.binary())], ["owner", "doc_id", "text_key", "at", "size", "piece"])
-
-    pieces = map_arrow(work, cut_out, "owner long, doc_id long, text_key long, at long, size long, piece binary", step=1 << 20)
-    # Matched pieces need no owner: they are dealt out evenly.
-    spread = F.when(F.col("piece").isNull(), F.xxhash64("doc_id", "at")).otherwise(F.col("owner"))
-    dealt = pieces.repartition(n_buckets, spread).drop("owner").sortWithinPartitions("doc_id", "text_key", "at")
+
+BLOCK_COLUMNS = ["home", "part", "ids", "known", "sizes", "shas", "text"]
+
+
+@dataclass
+class Block:
+    home: int
+    part: int
+    ids: np.ndarray
+    known: np.ndarray
+    sizes: np.ndarray
+    shas: list[bytes]
+    data: np.ndarray
+
+    @property
+    def offsets(self) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(self.sizes)])
+
+    def copies(self, width: int, lows: list | None) -> np.ndarray:
+        """Rows whose whole text, of ``width`` bytes or more, a row with a smaller doc_id has too. lows: (part, sha, doc_id)."""
+        least: dict[bytes, int] = {}
+        live = self.known & (self.sizes >= width)
+        for k in np.flatnonzero(live).tolist():
+            least[self.shas[k]] = min(least.get(self.shas[k], self.ids[k]), self.ids[k])
+        for x in lows or ():
+            if x["part"] == self.part:
+                least[bytes(x["sha"])] = min(least[bytes(x["sha"])], x["low"])
+        return np.array([bool(v) and least[s] < d for v, s, d in zip(live, self.shas, self.ids, strict=True)], bool)
+
+
+def blocks_of(batch: pa.RecordBatch) -> Iterator[tuple[Block, int]]:
+    """Each block of a batch, and its row there; without the column ``text`` its bytes are empty."""
+    with_text = "text" in batch.schema.names
+    for k in range(batch.num_rows):
+        get = lambda name: column(batch, name)[k].as_buffer()  # noqa: B023, E731
+        shas = get("shas").to_pybytes()
+        data = np.frombuffer(get("text"), np.uint8) if with_text else np.zeros(0, np.uint8)
+        yield Block(column(batch, "home")[k].as_py(), column(batch, "part")[k].as_py(), np.frombuffer(get("ids"), np.int64), np.frombuffer(get("known"), np.uint8).astype(bool), np.frombuffer(get("sizes"), np.int64), [shas[i : i + 32] for i in range(0, len(shas), 32)], data), k
+
+
+def _table(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    cols = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(cols, fields, strict=True)], [n for n, _ in fields])
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """The rows of each bucket together; rows come sorted by bucket."""
+    bucket, held = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["bucket"] != bucket:
+                if held:
+                    yield held
+                bucket, held = row["bucket"], []
+            held.append(row)
+    if held:
+        yield held
+
+
+_KEYS = "home long, part int, bucket int, keys binary"
+_BITS = "home long, part int, bucket int, bits binary"
+_SENT = "bucket int, home long, part int, rows binary, at binary, sizes binary, ids binary, pieces binary"
+_SPANS = "home long, part int, spans binary"
+
+
+def _known_copies(blocks: DataFrame, width: int, n: int) -> DataFrame:
+    """(home, lows): of the texts of each block that a smaller doc_id elsewhere has too, the digest and that doc_id."""
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b, _ in blocks_of(batch):
+                least: dict[bytes, int] = {}
+                for k in np.flatnonzero(b.known & (b.sizes >= width)).tolist():
+                    least[b.shas[k]] = min(least.get(b.shas[k], b.ids[k]), b.ids[k])
+                yield _table([(s, int(d), b.home, b.part) for s, d in least.items()], "sha binary, doc long, home long, part int")
+
+    each = blocks.select("home", "part", "ids", "known", "sizes", "shas").mapInArrow(texts, "sha binary, doc long, home long, part int")
+    low = each.groupBy("sha").agg(F.min("doc").alias("low"), F.max("doc").alias("most")).where("low < most").select(F.col("sha").alias("_sha"), "low")
+    later = each.join(low, F.col("sha") == F.col("_sha")).where("doc > low")
+    return later.repartition(n, "home").groupBy("home").agg(F.collect_list(F.struct("part", "sha", "low")).alias("lows")).withColumnRenamed("home", "_home")
+
+
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, texts: bool = False) -> DataFrame:
+    """What ``suffix_dedup`` returns, with the removed ``spans`` (start, end) and, if ``texts``, the bytes ``kept``."""
+    blocks, n, total = lay_blocks(docs, id_col, text_col)
+    n_buckets, n_owners = max(1, -(-total // (14 * BUCKET_ENTRIES))), max(1, -(-total // OWNER_BYTES))
+    lows = materialize(_known_copies(blocks, width, n), "copies")
+    marked = blocks.join(lows.repartition(n, "_home"), F.col("home") == F.col("_home"), "left").drop("_home")
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b, k in blocks_of(batch):
+                skip = ~b.known | b.copies(width, column(batch, "lows")[k].as_py())
+                x = Entries(b.data, b.offsets, skip, width, gram, n_buckets)
+                keys = (x.distinct & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                yield _table([(b.home, b.part, int(bucket), keys[s:e].tobytes()) for bucket, s, e in zip(x.buckets, x.edges, np.append(x.edges[1:], len(keys)), strict=True)], _KEYS)
+        tidy()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_bucket(batches):
+            each = [np.frombuffer(r["keys"], np.uint32) for r in rows]
+            keys = np.concatenate(each)
+            order = np.argsort(keys, kind="stable")
+            same = keys[order][1:] == keys[order][:-1]  # a block sends a key once, so equal keys are of two blocks
+            hit = np.zeros(len(keys), bool)
+            hit[order[1:][same]] = hit[order[:-1][same]] = True
+            parts = np.split(hit, np.cumsum([len(x) for x in each])[:-1])
+            yield _table([(r["home"], r["part"], r["bucket"], np.packbits(p).tobytes()) for r, p in zip(rows, parts, strict=True) if p.any()], _BITS)
+        tidy()
+
+    keyed = marked.mapInArrow(send, _KEYS).repartition(n_buckets, "bucket").sortWithinPartitions("bucket")
+    answers = keyed.mapInArrow(meet, _BITS).repartition(n, "home").groupBy("home").agg(F.collect_list(F.struct("part", "bucket", "bits")).alias("answers"))
+    asked = marked.join(materialize(answers, "answers").repartition(n, "home").withColumnRenamed("home", "_a"), F.col("home") == F.col("_a"), "left").drop("_a")
+
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b, k in blocks_of(batch):
+                skip = ~b.known | b.copies(width, column(batch, "lows")[k].as_py())
+                x = Entries(b.data, b.offsets, skip, width, gram, n_buckets)
+                hit = x.told([(a["bucket"], a["bits"]) for a in column(batch, "answers")[k].as_py() or () if a["part"] == b.part])
+                yield _table(_pieces(b, x, hit, width, n_owners), _SENT)
+        tidy()
+
+    spread = F.when(F.col("bucket") >= 0, F.col("bucket").cast("long")).otherwise(F.xxhash64("home", "part"))
+    sent = asked.mapInArrow(cut_out, _SENT).repartition(n_owners, spread).sortWithinPartitions("bucket")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, whole = SuffixLevels(width), {}
-        held: list[tuple] = []
-        size = 0
+        for rows in _by_bucket(batches):
+            if rows[0]["bucket"] < 0:  # matched within their block
+                yield _table([(r["home"], r["part"], r["pieces"]) for r in rows], _SPANS)
+            else:
+                yield _table(scan(rows, width), _SPANS)
+        tidy()
+
+    spans = sent.mapInArrow(own, _SPANS).repartition(n, "home").groupBy("home").agg(F.collect_list(F.struct("part", "spans")).alias("spans"))
+    done = marked.join(spans.withColumnRenamed("home", "_s"), F.col("home") == F.col("_s"), "left").drop("_s")
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [column(batch, n).to_pylist() for n in ("doc_id", "text_key", "at", "size", "piece")]
-            for doc, text, at, n, piece in zip(*cols, strict=True):
-                # A piece seen before in a smaller document is matched in whole.
-                if piece is not None and whole.setdefault(hashlib.blake2b(piece, digest_size=16).digest(), doc) < doc:
-                    piece = None
-                held.append((doc, text, at, piece, n))
-                if piece is not None:
-                    size += n - width + 1
-            if size >= BATCH_SUFFIXES or len(held) >= 4 * BATCH_SUFFIXES:
-                yield scan(index, held)
-                held, size = [], 0
-        if held:
-            yield scan(index, held)
-        del index, whole, held
+            for b, k in blocks_of(batch):
+                offsets, copies = b.offsets, b.copies(width, column(batch, "lows")[k].as_py())
+                got = [np.frombuffer(s["spans"], np.uint32).reshape(-1, 3).astype(np.int64) for s in column(batch, "spans")[k].as_py() or () if s["part"] == b.part]
+                row, start, end = np.concatenate(got).T if got else np.zeros((3, 0), np.int64)
+                edge = np.zeros(len(b.data) + 1, np.int32)
+                np.add.at(edge, offsets[row] + start, 1)
+                np.add.at(edge, offsets[row] + end, -1)
+                gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
+                touched = copies.copy()
+                touched[row] = True
+                removed, runs, kept, hashes = np.zeros(len(b.ids), np.int64), [], [], []
+                for i, (s, e) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+                    if not touched[i]:
+                        runs.append([])
+                        hashes.append(b.shas[i].hex())
+                        kept.append(b.data[s:e].tobytes() if texts else None)
+                        continue
+                    g = np.ones(e - s, bool) if copies[i] else gone[s:e]
+                    flips = np.diff(np.concatenate([[0], g.astype(np.int8), [0]]))
+                    left = b.data[s:e][~g].tobytes()
+                    removed[i] = e - s - len(left)
+                    runs.append([{"start": int(p), "end": int(q)} for p, q in zip(np.flatnonzero(flips == 1), np.flatnonzero(flips == -1), strict=True)])
+                    hashes.append(hashlib.sha256(left).hexdigest())
+                    kept.append(left if texts else None)
+                cols = [pa.array(b.ids, mask=~b.known), pa.array(b.sizes), pa.array(removed), pa.array([len(r) for r in runs], pa.int64()), pa.array(hashes, pa.string()), pa.array(runs, kind), pa.array(kept, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
         tidy()
 
-    def scan(index: SuffixLevels, held: list[tuple]) -> pa.RecordBatch:
-        out = [(doc, text, at, at + n) for doc, text, at, piece, n in held if piece is None]
-        rest = [x for x in held if x[3] is not None]
-        if rest:
-            data = np.frombuffer(b"".join(x[3] for x in rest), np.uint8)
-            counts = np.array([x[4] - width + 1 for x in rest])
-            bases = np.cumsum([0, *[x[4] for x in rest]])[:-1]
-            which = np.repeat(np.arange(len(rest)), counts)
-            nth = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
-            keys = index.keys(data, bases[which] + nth)
-            hit = index.add(keys, np.array([x[0] for x in rest], np.int64)[which])
-            begins = np.flatnonzero(hit & ~np.concatenate([[False], hit[:-1] & (which[1:] == which[:-1])]))
-            ends = np.flatnonzero(hit & ~np.concatenate([hit[1:] & (which[1:] == which[:-1]), [False]]))
-            for b, e in zip(begins.tolist(), ends.tolist(), strict=True):
-                x = rest[which[b]]
-                out.append((x[0], x[1], x[2] + int(nth[b]), x[2] + int(nth[e]) + width))
-        cols = list(zip(*out, strict=True)) or [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "text_key", "start", "end"])
-
-    hits = dealt.mapInArrow(own, "doc_id long, text_key long, start long, end long")
-    spans = hits.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "end")).alias("spans")).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "spans")
-    full = work.select("doc_id", "text_key", "text").join(spans, (F.col("doc_id") == F.col("_id")) & (F.col("text_key") == F.col("_key"))).select("doc_id", "text_key", "text", "spans")
-
-    def remove(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n_removed, runs, kept, hashes = [], [], [], []
-        for raw, spans in zip(column(batch, "text").cast(pa.binary()).to_pylist(), column(batch, "spans"), strict=True):
-            values = spans.values
-            edge = np.zeros(len(raw) + 1, np.int64)
-            np.add.at(edge, np.asarray(values.field("start")), 1)
-            np.add.at(edge, np.asarray(values.field("end")), -1)
-            gone = np.cumsum(edge[:-1]) > 0
-            flips = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
-            left = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-            n_removed.append(int(gone.sum()))
-            runs.append([{"start": int(s), "end": int(e)} for s, e in zip(np.flatnonzero(flips == 1), np.flatnonzero(flips == -1), strict=True)])
-            kept.append(left)
-            hashes.append(hashlib.sha256(left).hexdigest())
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "text_key"), pa.array(n_removed, pa.int64()), pa.array([len(r) for r in runs], pa.int64()), pa.array(hashes, pa.string()), pa.array(runs, kind), pa.array(kept, pa.binary())], ["doc_id", "text_key", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
-
-    return map_arrow(full, remove, "doc_id long, text_key long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>, kept binary", step=1 << 20)
+    return done.mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>, kept binary")
+
+
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+
+    Matches are judged on the input, in UTF-8 bytes, and never cross texts. Null text counts as empty. Rows that share a
+    doc_id never take from each other; rows with a null doc_id keep all and take nothing. Texts under ``width`` bytes
+    keep all. Empty table: no rows. Other columns are ignored. ``removals`` gives the spans themselves.
+    """
+    return removals(docs, id_col, text_col, width, gram).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def _pieces(b: Block, x: Entries, hit: np.ndarray, width: int, n_owners: int) -> list[tuple]:
+    """The strings around the minimizers hit, packed by owner. Of equal ones the smallest document's is sent; those of the
+    block's other documents are matched here and go, as spans, under bucket -1."""
+    row, s, e = x.row[hit], x.first[hit], x.last[hit] + width
+    if not len(row):
+        return []
+    at, of = ranges(s, e - 1)
+    data = b.data[at]
+    bounds = np.concatenate([[0], np.cumsum(e - s)])
+    one, two = piece_hashes(data, bounds)
+    doc = b.ids[row]
+    order = np.lexsort((doc, two, one))
+    new = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])])
+    least = np.empty(len(doc), np.int64)
+    least[order] = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    mine = doc == least
+    out = []
+    start = (s - b.offsets[row]).astype(np.int64)
+    if not mine.all():
+        spans = np.stack([row, start, start + e - s], 1)[~mine].astype(np.uint32)
+        out.append((-1, b.home, b.part, b"", b"", b"", b"", spans.tobytes()))
+    bucket = ((x.hash[hit] >> np.uint64(7)) % np.uint64(n_owners)).astype(np.int64)
+    at_sent = np.flatnonzero(mine)
+    at_sent = at_sent[np.argsort(bucket[at_sent], kind="stable")]
+    for part in np.split(at_sent, np.flatnonzero(np.diff(bucket[at_sent])) + 1):
+        # ``ids`` holds a doc_id a document of the block that takes part; ``rows`` says whose each piece is.
+        rows, nth = np.unique(row[part], return_inverse=True)
+        pos, _ = ranges(bounds[part], bounds[part + 1] - 1)
+        whose = np.concatenate([np.array([len(rows)], np.uint32), rows.astype(np.uint32), nth.astype(np.uint32)])
+        out.append((int(bucket[part[0]]), b.home, b.part, whose.tobytes(), start[part].astype(np.uint32).tobytes(), (e - s)[part].astype(np.uint16).tobytes(), b.ids[rows].tobytes(), data[pos].tobytes()))
+    return out
+
+
+def piece_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each piece."""
+    return tuple(r.of(r.sums(data), bounds[:-1], bounds[1:]) for r in (_roll, _second))
+
+
+def scan(rows: list[dict], width: int) -> list[tuple]:
+    """Spans matched among the pieces of one owner, by block: its pieces join the index family in the order of doc_id."""
+    whose = [np.frombuffer(r["rows"], np.uint32) for r in rows]
+    counts = [int(w[0]) for w in whose]
+    row = np.concatenate([w[1 : 1 + c][w[1 + c :]] for w, c in zip(whose, counts, strict=True)]).astype(np.int64)
+    doc = np.concatenate([np.frombuffer(r["ids"], np.int64)[w[1 + c :]] for r, w, c in zip(rows, whose, counts, strict=True)])
+    start = np.concatenate([np.frombuffer(r["at"], np.uint32) for r in rows]).astype(np.int64)
+    size = np.concatenate([np.frombuffer(r["sizes"], np.uint16) for r in rows]).astype(np.int64)
+    block = np.repeat(np.arange(len(rows)), [len(w) - 1 - c for w, c in zip(whose, counts, strict=True)])
+    data = np.frombuffer(b"".join(r["pieces"] for r in rows), np.uint8)
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    # A piece seen before in a smaller document is matched in whole.
+    one, two = piece_hashes(data, bounds)
+    order = np.lexsort((doc, two, one))
+    new = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])])
+    whole = np.zeros(len(doc), bool)
+    whole[order] = doc[order] > doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    out = [np.stack([block[whole], row[whole], start[whole], start[whole] + size[whole]], 1)]
+    rest = np.flatnonzero(~whole)
+    rest = rest[np.argsort(doc[rest], kind="stable")]
+    suffixes = np.cumsum(size[rest] - width + 1)
+    index = SuffixLevels(width)
+    edges = np.searchsorted(suffixes, np.arange(BATCH_SUFFIXES, suffixes[-1] + BATCH_SUFFIXES, BATCH_SUFFIXES)) + 1 if len(rest) else []
+    for a, z in zip([0, *edges[:-1]], edges, strict=True):
+        part = rest[a:z]
+        if not len(part):
+            continue
+        at, of = ranges(bounds[part], bounds[part + 1] - width)
+        hit = index.add(index.keys(data, at), doc[part][of])
+        begins = np.flatnonzero(hit & ~np.concatenate([[False], hit[:-1] & (of[1:] == of[:-1])]))
+        ends = np.flatnonzero(hit & ~np.concatenate([hit[1:] & (of[1:] == of[:-1]), [False]]))
+        p = part[of[begins]]
+        base = start[p] - bounds[p]
+        out.append(np.stack([block[p], row[p], base + at[begins], base + at[ends] + width], 1))
+    every = np.concatenate(out)
+    every = every[np.argsort(every[:, 0], kind="stable")]
+    parts = np.split(every, np.flatnonzero(np.diff(every[:, 0])) + 1)
+    return [(rows[x[0, 0]]["home"], rows[x[0, 0]]["part"], x[:, 1:].astype(np.uint32).tobytes()) for x in parts if len(x)]
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -562,3 +562,17 @@ def test_components(spark):
 
 def test_kinds():
     assert KINDS.startswith("doc_id")
+
+
+def test_suffix_in_many_blocks_and_owners(spark, monkeypatch):
+    """The real documents cut into hundreds of blocks, key buckets and owners."""
+    for name, value in (("BLOCK_BYTES", 20_000), ("BUCKET_ENTRIES", 2000), ("OWNER_BYTES", 50_000), ("BATCH_SUFFIXES", 3000), ("STEP", 5000)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    same(suffix_dedup.query(spark, SF).collect(), remove_windows(rows))
+
+
+def test_suffix_spans_and_texts(docs):
+    out = suffix_dedup.removals(docs, texts=True).select("n_bytes", "n_removed", "spans", "kept").collect()
+    for n, gone, spans, kept in out:
+        assert gone == sum(b - a for a, b in spans) and len(kept) == n - gone
