@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import column, map_arrow, materialize, numbered, project, ship
-from .components import components
+from .components import components, least_reachable
 
 #: Principal coordinates of the grid, vectors of a block, blocks of a run, vectors of an interval that is not halved again.
 LEADING, BLOCK, RUN, LEAF = 6, 2048, 32, 64
+#: Principal coordinates by whose cells runs meet.
+MET = 2
 #: Vectors (about) on which the principal directions are fitted. They only steer what is skipped, never what is found.
 SAMPLE = 10_000
 
@@ -83,7 +85,7 @@ def near_dedup(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id",
     Vectors are linked when their labels are equal and not null and their cosine, in double precision, is at least
     ``cosine`` (above 0). Vectors that are null, empty, zero, or hold a null or non-finite component link with nothing, nor
     do vectors of different length or rows with a null id; each is a component of its own and kept. Equal vectors join as
-    one and count as links of each other. Empty table: no rows. Other columns are ignored.
+    one and count as links of each other. Rows that share a vec_id are vectors of their own. Empty table: no rows. Other columns are ignored.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -91,7 +93,9 @@ def near_dedup(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id",
     sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0)
     sound &= F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
-    classes = materialize(rows.where("sound").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("dims", F.size("embedding")), "vectors")
+    # A class goes by a number of its own: a vec_id may stand on several vectors, and so on several classes.
+    classes = rows.where("sound").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    classes = materialize(classes.withColumn("dims", F.size("embedding")).withColumn("cid", F.monotonically_increasing_id()), "vectors")
     directions = _directions(classes)
     kind = dict(classes.dtypes)
 
@@ -106,18 +110,21 @@ def near_dedup(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id",
         return pa.RecordBatch.from_arrays([*batch.columns, coordinates], [*batch.schema.names, "at"])
 
     eps = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + 1e-9
-    placed = map_arrow(classes, cells, f"label {kind['label']}, embedding {kind['embedding']}, rep long, copies long, dims int, at array<double>", text=None)
+    placed = map_arrow(classes.drop("rep"), cells, f"label {kind['label']}, embedding {kind['embedding']}, copies long, dims int, cid long, at array<double>", text=None)
     grid = [F.floor(F.col("at")[k] / eps).alias(f"c{k}") for k in range(LEADING)]
-    laid = numbered(placed.select("*", *grid), ["label", "dims", *[f"c{k}" for k in range(LEADING)], "rep"])
-    laid = materialize(laid.select("label", "dims", "rep", "copies", "embedding", "at", F.floor(F.col("row_number") / BLOCK).alias("block")), "ego")
+    laid = numbered(placed.select("*", *grid), ["label", "dims", *[f"c{k}" for k in range(LEADING)], "cid"])
+    laid = materialize(laid.select("label", "dims", "cid", "copies", "embedding", "at", F.floor(F.col("row_number") / BLOCK).alias("block")), "ego")
     pairs = _block_pairs(laid, eps)
     mine = laid.join(pairs.select("label", "dims", F.col("x").alias("block"), "x", "y"), ["label", "dims", "block"])
     theirs = laid.join(pairs.where("x <> y").select("label", "dims", F.col("y").alias("block"), "x", "y"), ["label", "dims", "block"])
     found = materialize(_compare(mine.unionByName(theirs), cosine), "links")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    roots = components(found.where("low <> rep"), "rep", "low").select(F.col("node").alias("_n"), "root")
-    per_class = classes.join(links.withColumnRenamed("rep", "_r"), F.col("rep") == F.col("_r"), "left").join(roots, F.col("rep") == F.col("_n"), "left")
-    per_class = per_class.select(F.col("label").alias("_l"), F.col("embedding").alias("_e"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    links = found.groupBy("cid").agg(F.sum("links").alias("links")).withColumnRenamed("cid", "_r")
+    roots = components(found.where("low <> cid"), "cid", "low").select(F.col("node").alias("_n"), "root")
+    named = classes.select("cid", "rep").join(roots, F.col("cid") == F.col("_n")).select("cid", "rep", "root")
+    least = named.groupBy("root").agg(F.min("rep").alias("least")).withColumnRenamed("root", "_root")
+    heads = named.join(least, F.col("root") == F.col("_root")).select(F.col("cid").alias("_m"), "least")
+    per_class = classes.join(links, F.col("cid") == F.col("_r"), "left").join(heads, F.col("cid") == F.col("_m"), "left")
+    per_class = per_class.select(F.col("label").alias("_l"), F.col("embedding").alias("_e"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("least", "rep").alias("component_id"))
     joined = rows.where("sound").join(per_class, (F.col("label") == F.col("_l")) & (F.col("embedding") == F.col("_e"))).select("vec_id", "n_links", "component_id")
     alone = rows.where("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return joined.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
@@ -128,8 +135,8 @@ def _directions(classes: DataFrame) -> dict[int, np.ndarray]:
     out = {}
     for dims, n in counts.items():
         share = int(min(1.0, SAMPLE / n) * (1 << 30))
-        got = classes.where((F.col("dims") == dims) & (F.pmod(F.xxhash64("rep", F.lit("sample")), F.lit(1 << 30)) < share)).select("rep", "embedding").collect()
-        sample = unit(np.array([r[1] for r in sorted(got)], np.float64)) if got else np.zeros((1, dims))
+        got = classes.where((F.col("dims") == dims) & (F.pmod(F.xxhash64("embedding", F.lit("sample")), F.lit(1 << 30)) < share)).select("embedding").collect()
+        sample = unit(np.array(sorted(r[0] for r in got), np.float64)) if got else np.zeros((1, dims))
         out[dims] = principal(sample, min(LEADING, dims))
     return out
 
@@ -148,37 +155,36 @@ def _block_pairs(laid: DataFrame, eps: float) -> DataFrame:
     def named(df: DataFrame, p: str, only: set[str] = frozenset({"label", "dims"})) -> DataFrame:
         return df.select(*[F.col(c).alias(c if c in only else p + c) for c in df.columns])
 
-    cell = lambda lo, hi, more: F.explode(F.sequence(F.floor(lo / eps) - more, F.floor(hi / eps) + more))
-    left = named(runs, "a_").withColumn("cell", cell(F.col("a_lo0"), F.col("a_hi0"), 0))
-    right = named(runs, "b_").withColumn("cell", cell(F.col("b_lo0"), F.col("b_hi0"), 1))
-    run_pairs = left.join(right, ["label", "dims", "cell"]).where("a_run <= b_run").where(near("a_", "b_")).select("label", "dims", "a_run", "b_run").distinct()
+    def cells(p: str, more: int) -> list[F.Column]:
+        """The cells of the first MET coordinates that a run's box touches, ``more`` cells wider."""
+        return [F.sequence(F.floor(F.col(f"{p}lo{k}") / eps) - more, F.floor(F.col(f"{p}hi{k}") / eps) + more) for k in range(MET)]
+
+    left, right = named(runs, "a_"), named(runs, "b_")
+    for k in range(MET):
+        left = left.withColumn(f"cell{k}", F.explode(cells("a_", 0)[k]))
+        right = right.withColumn(f"cell{k}", F.explode(cells("b_", 1)[k]))
+    met = left.join(right, ["label", "dims", *[f"cell{k}" for k in range(MET)]]).where("a_run <= b_run")
+    run_pairs = met.where(near("a_", "b_")).select("label", "dims", "a_run", "b_run").distinct()
     both = run_pairs.join(named(blocks, "a_"), ["label", "dims", "a_run"]).join(named(blocks, "b_"), ["label", "dims", "b_run"])
     return both.where("a_block <= b_block").where(near("a_", "b_")).select("label", "dims", F.col("a_block").alias("x"), F.col("b_block").alias("y"))
 
 
 def _compare(dealt: DataFrame, cosine: float) -> DataFrame:
-    """(rep, links, low): links each class finds in a pair of blocks, weighted by copies, and the smallest class joined to it."""
+    """(cid, links, low): links each class finds in a pair of blocks, weighted by copies, and the smallest class joined to it."""
 
     def settle(t: pa.Table) -> tuple:
         block, x, y = (np.asarray(t[n].combine_chunks()) for n in ("block", "x", "y"))
-        rep, copies = np.asarray(t["rep"].combine_chunks()), np.asarray(t["copies"].combine_chunks())
+        cid, copies = np.asarray(t["cid"].combine_chunks()), np.asarray(t["copies"].combine_chunks())
         u = unit(np.stack(rows_of(t["embedding"].combine_chunks())))
         at = np.stack(rows_of(t["at"].combine_chunks()))
         same = x[0] == y[0]
         a, b = np.flatnonzero(block == x[0]), np.flatnonzero(block == y[0])
         i, j = interval_join(u[a], at[a], u[b], at[b], cosine, same)
         i, j = a[i], b[j]
-        links = np.bincount(i, copies[j], len(rep)) + np.bincount(j, copies[i], len(rep))
-        low = rep.copy()
-        while True:  # smallest class reachable within the group
-            before = low.copy()
-            least = np.minimum(low[i], low[j])
-            np.minimum.at(low, i, least)
-            np.minimum.at(low, j, least)
-            if (before == low).all():
-                break
+        links = np.bincount(i, copies[j], len(cid)) + np.bincount(j, copies[i], len(cid))
+        low = least_reachable(cid, i, j)
         some = np.flatnonzero(links)
-        return rep[some], links[some].astype(np.int64), low[some]
+        return cid[some], links[some].astype(np.int64), low[some]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -198,9 +204,9 @@ def _compare(dealt: DataFrame, cosine: float) -> DataFrame:
             yield pack(settle(pa.Table.from_batches(held)))
 
     def pack(cols: tuple) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["rep", "links", "low"])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["cid", "links", "low"])
 
-    return dealt.select("label", "dims", "x", "y", "block", "rep", "copies", "embedding", "at").repartition("label", "dims", "x", "y").sortWithinPartitions("label", "dims", "x", "y", "block", *[F.col("at")[k] for k in range(LEADING)]).mapInArrow(run, "rep long, links long, low long")
+    return dealt.select("label", "dims", "x", "y", "block", "cid", "copies", "embedding", "at").repartition("label", "dims", "x", "y").sortWithinPartitions("label", "dims", "x", "y", "block", *[F.col("at")[k] for k in range(LEADING)]).mapInArrow(run, "cid long, links long, low long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
