@@ -17,10 +17,15 @@ from pyspark.sql import functions as F
 
 from .common import column, flat, map_arrow, project
 
-#: Bytes in a segment, hidden units of a direction, training documents of a language at most, segments taken of each.
-SEGMENT, HIDDEN, DOCS_PER_LANG, SEGMENTS_PER_DOC = 64, 8, 400, 6
-#: Texts whose best language has less than this go in a filtering stage (of four languages the best has a quarter at least).
-REJECT_BELOW = 0.26
+#: Bytes in a segment, hidden units of a direction, training documents of a language at most (whole texts).
+SEGMENT, HIDDEN, DOCS_PER_LANG = 64, 8, 400
+#: Of the filtering stage: steps of training; held-out documents of a language at most on which its cuts are found, the share of
+#: them a cut may cost, what is added to it for safety, the least cut, and the sizes in bytes up to which texts have one of their own.
+STAGE_STEPS, HELD_OUT_PER_LANG, MAY_LOSE, MARGIN, LEAST_CUT, BANDS = 900, 1000, 0.001, 0.1, 0.25, (64, 256)
+#: Label of what is in no learned language.
+NOISE = "und"
+#: First and last code points of scripts that noise is drawn from.
+SCRIPTS = ((0x21, 0x7E), (0x30, 0x39), (0x370, 0x3FF), (0x400, 0x4FF), (0x5D0, 0x5EA), (0x620, 0x64A), (0x905, 0x939), (0xE01, 0xE2E), (0x3041, 0x3096), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -169,7 +174,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def pack(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    x = np.zeros((SEGMENT, len(segments)), np.int64)
+    x = np.zeros((SEGMENT, len(segments)), np.uint8)
     mask = np.zeros((SEGMENT, len(segments)), np.float32)
     for k, s in enumerate(segments):
         x[: len(s), k] = np.frombuffer(s, np.uint8)
@@ -181,37 +186,88 @@ def held_out() -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG, steps: int = 260) -> BiGru | None:
-    """Fit on a bounded sample: about ``docs_per_lang`` documents of each language (a doc_id hash picks them), of each
-    ``SEGMENTS_PER_DOC`` segments spread over the whole text. Held-out rows and rows with null text or language have no
-    part. None if there is nothing to learn from."""
-    rows = project(docs, doc_id=id_col, text=text_col, lang=lang_col).where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+def noise(segments: list[bytes], n: int, seed: int = 11) -> list[bytes]:
+    """n segments in no language: three in four are letters of real segments in random order, the others random characters of
+    some script, with blanks between runs of random lengths."""
+    r, out = np.random.default_rng(seed), []
+    for k in range(n):
+        if k % 4 and segments:
+            letters = list(segments[int(r.integers(len(segments)))].decode("utf-8", "ignore"))
+            r.shuffle(letters)
+        else:
+            low, high = SCRIPTS[int(r.integers(len(SCRIPTS)))]
+            blank = r.random(SEGMENT) < (0, 0.05, 0.15)[int(r.integers(3))]
+            letters = [" " if b else chr(c) for b, c in zip(blank, r.integers(low, high + 1, SEGMENT), strict=True)]
+        at = int(r.integers(4))  # a segment may begin inside a character
+        out.append("".join(letters).encode()[at : at + SEGMENT])
+    return out
+
+
+def _sample(rows: DataFrame, per_lang: int, salt: str) -> DataFrame | None:
+    """About ``per_lang`` rows of each language; a hash of doc_id picks them."""
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return None
-    langs = sorted(counts)
     scale = 1 << 30
-    rate = F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, int(min(1.0, docs_per_lang / counts[k]) * scale))]), F.col("lang"))
-    picked = rows.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("langid")), F.lit(scale)) < rate)
+    rate = F.element_at(F.create_map(*[F.lit(x) for k in sorted(counts) for x in (k, int(min(1.0, per_lang / counts[k]) * scale))]), F.col("lang"))
+    return rows.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(salt)), F.lit(scale)) < rate)
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG, steps: int = 260, with_noise: bool = False) -> BiGru | None:
+    """Fit on a bounded sample of rows: about ``docs_per_lang`` documents of each language (a doc_id hash picks them), with
+    their whole texts. Held-out rows and rows with null text or language have no part. ``with_noise`` adds a label ``und``,
+    learned from as much generated noise as a language has segments. None if there is nothing to learn from."""
+    rows = project(docs, doc_id=id_col, text=text_col, lang=lang_col).where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    picked = _sample(rows, docs_per_lang, "langid")
+    if picked is None:
+        return None
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         langs, pieces = [], []
         for text, lang in zip(column(batch, "text").to_pylist(), column(batch, "lang").to_pylist(), strict=True):
             raw = text.encode()
-            n = -(-len(raw) // SEGMENT)
-            for k in np.unique(np.linspace(0, n - 1, min(n, SEGMENTS_PER_DOC)).astype(int)) if n else ():
-                pieces.append(raw[k * SEGMENT : (k + 1) * SEGMENT])
-                langs.append(lang)
+            pieces += [raw[k : k + SEGMENT] for k in range(0, len(raw), SEGMENT)]
+            langs += [lang] * (len(pieces) - len(langs))
         return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(pieces, pa.binary())], ["lang", "piece"])
 
     got = sorted((r[0], bytes(r[1])) for r in map_arrow(picked, cut, "lang string, piece binary").collect())
     if not got:
         return None
+    langs = sorted({k for k, _ in got})
+    number = {k: i for i, k in enumerate(langs)}
+    labels, pieces = [number[k] for k, _ in got], [x for _, x in got]
+    if with_noise:
+        more = noise(pieces, max(256, len(pieces) // len(langs)))
+        langs, labels, pieces = [*langs, NOISE], labels + [len(langs)] * len(more), pieces + more
     model = BiGru.fresh(langs)
-    model.fit([x for _, x in got], np.array([langs.index(k) for k, _ in got]), steps)
+    model.fit(pieces, np.array(labels), steps)
     return model
 
 
+def noise_cuts(docs: DataFrame, model: BiGru, per_lang: int = HELD_OUT_PER_LANG) -> np.ndarray:
+    """By band of size, the share of ``und`` above which a text goes: what at most MAY_LOSE of about ``per_lang`` held-out
+    documents of each language (whole texts with letters) pass, and MARGIN; never under LEAST_CUT. A half in a band without any."""
+    out = np.full(len(BANDS) + 1, 0.5)
+    rows = project(docs, doc_id="doc_id", text="text", lang="lang").where(held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    picked = _sample(rows, per_lang, "cut")
+    if picked is None:
+        return out
+
+    def score(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data, offsets = flat(column(batch, "text"))
+        return pa.RecordBatch.from_arrays([pa.array(np.diff(offsets)), pa.array(model.documents(data, offsets)[:, -1])], ["size", "p"])
+
+    got = np.array([tuple(r) for r in map_arrow(picked.select("text"), score, "size long, p double").collect()]).reshape(-1, 2)
+    band = bands(got[:, 0])
+    for k in np.unique(band):
+        out[k] = max(LEAST_CUT, np.quantile(got[band == k, 1], 1 - MAY_LOSE, method="higher") + MARGIN)
+    return out
+
+
+def bands(sizes: np.ndarray) -> np.ndarray:
+    return np.searchsorted(BANDS, sizes, "left")
+
+
 def predict(docs: DataFrame, model: BiGru | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, lang_pred, score.
 
@@ -243,8 +299,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter (``und``) and those whose best language has a pooled probability under 0.26, hardly above chance."""
-    model = train(docs)
+    """Documents in a learned language stay. Null texts and texts without a letter go, and those the network, taught noise as a
+    further label, finds to be noise by more than ``noise_cuts`` allows texts of their size. Rows with a null or repeated doc_id are judged like any other,
+    each by its text. Without labelled rows only texts without a letter go. Empty table: no rows. All columns stay, whatever
+    their names."""
+    model = train(docs, steps=STAGE_STEPS, with_noise=True)
+    cuts = None if model is None else noise_cuts(docs, model)
     names = docs.columns
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
 
@@ -252,8 +312,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         text = column(batch, "text")
         ok = np.array([x is not None and LETTER.search(x) is not None for x in text.to_pylist()])
         if model is not None:
-            ok &= model.documents(*flat(text)).max(1) >= REJECT_BELOW
+            data, offsets = flat(text)
+            ok &= model.documents(data, offsets)[:, -1] <= cuts[bands(np.diff(offsets))]
         return batch.filter(pa.array(ok))
 
     return map_arrow(docs, keep, ", ".join(f"`{n}` {kinds[n]}" for n in names))
-
