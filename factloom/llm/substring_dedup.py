@@ -1,12 +1,11 @@
-"""Operator 3, substring dedup, by windows (``window_dedup``, the query) and by chunks (``substring_dedup``, the pipeline's stage).
-
-Windows: every window of MIN_RUN bytes belongs to the least of its strings of half that size, so equal windows meet by the hash
-of that string. Where all bytes around it agree, nothing more is needed; else those bytes are compared, window by window.
-
-Chunks: content-defined chunks by a gear rolling hash, deduplicated by digest.
-Cuts depend on the last 16 bytes only, so an insertion moves no cut behind it by more than that. Cuts fall behind white
-space (about every 40 bytes) or, in text without any, between characters. A chunk is a repeat when an earlier chunk of the
-document or a document with a smaller doc_id has its digest; runs of repeats of some length are removed.
+"""Operator 3, substring dedup: content-defined chunks by a gear rolling hash, deduplicated by digest.
+
+Cuts depend on the last 16 bytes and the next one only, so an insertion moves no cut farther behind it. They fall behind white
+space (about every 40 bytes), between characters of scripts without spaces, and seldom elsewhere. Every window of MIN_RUN bytes
+stands for its longest whole chunk (the leftmost of equals), which its bytes alone choose; a window without one takes a backup
+chunk behind its least gear hash. So equal windows have equal chunks at the same place, and meet at the owner of the chunk's
+digest. Where all bytes around a repeated chunk agree, nothing more is needed; else those bytes are compared, window by
+window. So a repeat goes to its true ends, not to the ends of its chunks.
 """
 
 from __future__ import annotations
@@ -15,199 +14,124 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import column, flat, fresh, map_arrow, materialize, project, ranges, tidy, total_bytes
 from .hashing import Rolling, seeds
-from .packed import BATCH_BYTES, buckets_for, gathered, shared, short_key
 
-#: Bytes of a run of repeated chunks that is removed, at least; of a chunk, at most.
-MIN_RUN, MAX_CHUNK = 160, 2048
-#: Chance of a cut behind a white-space byte and behind any other, in 256ths.
-CUT_SPACE, CUT_ANY = 44, 1
+#: Bytes of a repeat that is removed, at least.
+MIN_RUN = 160
+#: Chance of a cut, in 256ths, behind white space, behind a byte of a non-ASCII character, and behind any other.
+CUT_SPACE, CUT_WIDE, CUT_ANY = 44, 20, 1
+#: Bytes the gear hash sees; of the shortest chunk a window stands for; of a backup chunk.
+GEAR_BYTES, MIN_CHUNK, BACKUP = 16, 16, 32
+#: Bytes of text a map batch has; windows' entries (about) an owner's bucket has, and bytes of text for each.
+BATCH_BYTES, BUCKET_ENTRIES, ENTRY_BYTES = 2 << 20, 1 << 20, 40
 _GEAR = (seeds(256, 97) >> np.uint64(32)).astype(np.uint32)
 _roll = Rolling(89)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_CUT = np.where(_SPACE, CUT_SPACE, np.where(np.arange(256) >= 128, CUT_WIDE, CUT_ANY)).astype(np.uint32)
 
 
 def gear(data: np.ndarray) -> np.ndarray:
-    """h[i] = sum of gear[byte i-k] << k for k < 16, modulo 2^16 as far as it is used: the rolling hash at every byte.
+    """h[i] = sum of gear[byte i-k] << k for k < 16, modulo 2^32: the rolling hash at every byte.
 
     Doubling: a window of 2m bytes is a window of m plus the one before it, shifted by m.
     """
     h = _GEAR[data]
     m = 1
-    while m < 16:
+    while m < GEAR_BYTES:
         later = h[m:] + (h[:-m] << np.uint32(m))
         h = np.concatenate([h[:m], later])
         m *= 2
     return h
 
 
-def cut_points(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Ends of all chunks, ascending. A text's own bytes alone decide its cuts."""
-    n = len(data)
-    ends = np.zeros(n + 1, bool)
-    if n:
-        level = (gear(data) >> np.uint32(8)) & np.uint32(0xFF)  # bits 8 to 15: a function of the last 16 bytes
-        cut = level < np.where(_SPACE[data], CUT_SPACE, CUT_ANY)
-        follows = np.append(data[1:], 0)
-        cut &= ((follows & 0xC0) != 0x80) & ~(_SPACE[follows] & _SPACE[data])
-        ends[1:] = cut
-        sizes = np.diff(offsets)
-        # The first 15 bytes of a text see bytes of the one before: decide those again, each text as if alone.
-        for k in np.flatnonzero(sizes) if len(sizes) > 1 else ():
-            s = offsets[k]
-            e = min(s + 15, offsets[k + 1])
-            own = (gear(data[s:e]) >> np.uint32(8)) & np.uint32(0xFF)
-            ends[s + 1 : e + 1] = (own < np.where(_SPACE[data[s:e]], CUT_SPACE, CUT_ANY)) & ((follows[s:e] & 0xC0) != 0x80) & ~(_SPACE[follows[s:e]] & _SPACE[data[s:e]])
-        ends[offsets[1:][sizes > 0]] = True
-        ends[0] = False
-    at = np.flatnonzero(ends)
-    gaps = np.diff(np.concatenate([[0], at]))
-    if (gaps > MAX_CHUNK).any():  # text without cuts: every MAX_CHUNK bytes, between characters
-        more = []
-        for i in np.flatnonzero(gaps > MAX_CHUNK):
-            s, e = at[i] - gaps[i], at[i]
-            while e - s > MAX_CHUNK:
-                c = s + MAX_CHUNK
-                while c > s + 1 and data[c] & 0xC0 == 0x80:
-                    c -= 1
-                more.append(c)
-                s = c
-        at = np.union1d(at, np.array(more, np.int64))
-    return at
-
-
-def owners(at: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The text of each chunk end: the text whose bytes end there or later (empty texts have none)."""
-    return np.searchsorted(offsets[1:], at, "left")
-
-
-def chunks(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, starts, ends, text of each chunk, number of each chunk in its text)."""
-    data, offsets = flat(column(batch, "text"))
-    ends = cut_points(data, offsets)
-    starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-    row = owners(ends, offsets)
-    first = np.searchsorted(row, row, "left")
-    return data, starts, ends, row, np.arange(len(row)) - first
-
-
-def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """128-bit digests of the chunks, as (n, 2) numbers."""
-    raw, digest = data.tobytes(), xxhash.xxh3_128_digest
-    return np.frombuffer(b"".join([digest(raw[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]), np.uint64).reshape(-1, 2)
-
-
-def _extract(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    data, starts, ends, row, number = chunks(batch)
-    d = digests(data, starts, ends)
-    return d[:, 0], d[:, 1], row, number
-
-
-def spans(sizes: np.ndarray, repeat: np.ndarray, min_run: int) -> list[tuple[int, int]]:
-    """Byte spans of runs of repeated chunks, of min_run bytes at least."""
-    ends = np.cumsum(sizes)
-    edge = np.diff(np.concatenate([[0], repeat.astype(np.int8), [0]]))
-    out = []
-    for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
-        s, e = int(ends[a] - sizes[a]), int(ends[b - 1])
-        if e - s >= min_run:
-            out.append((s, e))
+def cuts(data: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Places, ascending, where a chunk ends and the next begins, by the gear hashes ``h``."""
+    follows = np.append(data[1:], 0)
+    cut = ((h >> np.uint32(8)) & np.uint32(0xFF)) < _CUT[data]
+    cut &= ((follows & 0xC0) != 0x80) & ~(_SPACE[follows] & _SPACE[data])
+    return np.flatnonzero(cut) + 1
+
+
+def longest(at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Of the chunks between the cuts ``at`` numbered lo to hi - 1, the longest, leftmost of equals; -1 for none of MIN_CHUNK bytes."""
+    sizes = np.diff(at)
+    out = np.full(len(lo), -1)
+    some = np.flatnonzero(hi > lo)
+    if not len(some) or not len(sizes):
+        return out
+    n = len(sizes)
+    levels = [(sizes.astype(np.int64) << 32) | np.arange(n, 0, -1)]  # larger is better; ties go to the left
+    span = hi[some] - lo[some]
+    depth = np.frexp(span)[1] - 1
+    while len(levels) <= depth.max():
+        half = 1 << (len(levels) - 1)
+        levels.append(np.maximum(levels[-1][:-half], levels[-1][half:]))
+    best = np.empty(len(some), np.int64)
+    for d in np.unique(depth):
+        k = depth == d
+        best[k] = np.maximum(levels[d][lo[some][k]], levels[d][hi[some][k] - (1 << int(d))])
+    out[some] = np.where(best >> 32 >= MIN_CHUNK, n - (best & 0xFFFFFFFF), -1)
     return out
 
 
-def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_key, places): numbers of the chunks that a document with a smaller doc_id has too."""
-    rows = keyed(docs, id_col, text_col)
-    return shared(rows, _extract, buckets_for(total_bytes(rows), 40), first_too=False)
-
-
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return project(docs, doc_id=id_col, text=text_col).where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-
-
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
-    """All rows and columns of ``docs`` with ``text`` less its repeated runs, and _n_bytes, _n_removed, _spans (start, end).
+def marks(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """(text, first window, last window, key, digest, hashes): the windows of ``width`` bytes inside a text by the chunk they stand
+    for; windows of one chunk lie side by side.
 
-    Of a chunk that several documents have, the one with the smallest doc_id keeps it; within a document the first stays.
-    Runs of fewer than ``min_run`` bytes of repeats stay. Rows with null text or id are left as they are and count for
-    nothing; columns named like the three added ones are replaced. Rows that share a doc_id never take from each other. Empty texts stay empty. Empty table: no rows.
+    key is the digest of the chunk, digest that of all bytes of its windows, hashes that of the window at every byte.
     """
-    docs = docs.drop("_n_bytes", "_n_removed", "_spans")
-    found = find_repeats(docs, id_col, text_col)
-    row_id, row_key, row_places = fresh(docs, "_id", "_key", "_places")
-    per = found.groupBy("doc_id", "text_key").agg(F.collect_list("places").alias("places")).toDF(row_id, row_key, row_places)
-    names = docs.columns
-    keys = (F.col(id_col).cast("long") == F.col(row_id)) & (short_key(F.xxhash64(F.col(text_col))) == F.col(row_key))
-    joined = docs.join(per, keys, "left").drop(row_id, row_key)
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        text = column(batch, text_col)
-        data, starts, ends, row, number = chunks(pa.RecordBatch.from_arrays([text], ["text"]))
-        bounds = np.searchsorted(row, np.arange(len(text) + 1))
-        d = digests(data, starts, ends)
-        raw = data.tobytes()
-        whole, ids = text.to_pylist(), column(batch, id_col).is_valid().to_pylist()
-        n_bytes, removed, cuts = [], [], []
-        for k, places in enumerate(gathered(column(batch, row_places))):
-            s, e = bounds[k], bounds[k + 1]
-            sizes = ends[s:e] - starts[s:e]
-            n_bytes.append(int(sizes.sum()))
-            repeat = np.zeros(e - s, bool)
-            repeat[places] = True
-            if e - s > 1 and ids[k]:
-                order = np.lexsort((np.arange(e - s), d[s:e, 1], d[s:e, 0]))
-                same = (d[s:e][order][1:] == d[s:e][order][:-1]).all(1)
-                repeat[order[1:][same]] = True
-            found = spans(sizes, repeat, min_run) if ids[k] else []
-            if found:
-                base, at, kept = int(starts[s]), 0, []
-                for a, b in found:
-                    kept.append(raw[base + at : base + a])
-                    at = b
-                kept.append(raw[base + at : base + n_bytes[-1]])
-                whole[k] = b"".join(kept).decode()
-            removed.append(sum(b - a for a, b in found))
-            cuts.append([{"start": a, "end": b} for a, b in found])
-        cols = [pa.array(whole, text.type) if n == text_col else column(batch, n) for n in names]
-        return pa.RecordBatch.from_arrays([*cols, pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(cuts, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], [*names, "_n_bytes", "_n_removed", "_spans"])
+    none, n = np.zeros(0, np.int64), len(data)
+    if not (np.diff(offsets) >= width).any():
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(np.uint64)
+    h = gear(data)
+    at = cuts(data, h)
+    # A cut counts in a window if the bytes that make it are inside: from the 16th on, before the last.
+    early, late = GEAR_BYTES, width - 1
+    long = np.flatnonzero(np.diff(offsets) >= width)
+    opens, closes = offsets[:-1][long], offsets[1:][long] - width  # first and last window of each text
+    edges = np.unique(np.concatenate([at - early + 1, at - late, opens, closes + 1]))
+    edges = edges[(edges >= 0) & (edges < n)]
+    text = np.searchsorted(opens, edges, "right") - 1
+    inside = (text >= 0) & (edges <= closes[text])
+    text, first = text[inside], edges[inside]
+    last = np.minimum(np.append(edges[1:], n)[inside] - 1, closes[text])
+    lo, hi = np.searchsorted(at, first + early), np.searchsorted(at, first + late, "right") - 1
+    chunk = longest(at, lo, hi)
+    has = chunk >= 0
+    place, end = np.where(has, at[chunk] if len(at) else 0, 0), np.where(has, at[np.minimum(chunk + 1, len(at) - 1)] if len(at) else 0, 0)
+    if not has.all():
+        w, of = ranges(first[~has], last[~has])
+        span, m = width - BACKUP - early + 1, 1
+        least = (h.astype(np.uint64) << np.uint64(32)) | np.arange(n, dtype=np.uint64)
+        while 2 * m <= span:
+            least = np.minimum(least[:-m], least[m:])
+            m *= 2
+        least = np.minimum(least[: len(least) - (span - m)], least[span - m :])
+        backup = (least[w + early - 1] & np.uint64(0xFFFFFFFF)).astype(np.int64) + 1
+        text = np.concatenate([text[has], text[~has][of]])
+        first, last = np.concatenate([first[has], w]), np.concatenate([last[has], w])
+        place, end = np.concatenate([place[has], backup]), np.concatenate([end[has], backup + BACKUP])
+        order = np.argsort(first, kind="stable")
+        text, first, last, place, end = (x[order] for x in (text, first, last, place, end))
+    new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (end[1:] != end[:-1]) | (text[1:] != text[:-1])]))
+    last = last[np.append(new[1:], len(last)) - 1]
+    text, first, place, end = text[new], first[new], place[new], end[new]
+    sums = _roll.sums(data)
+    return long[text], first, last, _roll.of(sums, place, end), _roll.of(sums, first, last + width), _roll.windows(sums, width)
 
-    schema = ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", _n_bytes long, _n_removed long, _spans array<struct<start: long, end: long>>"
-    return map_arrow(joined, cut, schema, text=text_col, step=1 << 20)
 
+def short_key(text_key: F.Column) -> F.Column:
+    """Half of a text key: it only tells rows of one doc_id apart."""
+    return text_key.bitwiseAND(F.lit(0xFFFFFFFF))
 
-def marks(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
-    """(text, first window, last window, key, digest, hashes): every window of ``width`` bytes inside a text belongs to the leftmost least
-    of its strings of width / 2 bytes, so equal windows belong to equal strings; windows of one string lie side by side.
 
-    key is the hash of the string, digest that of all bytes of its windows, hashes that of the window at every byte.
-    """
-    k = width // 2
-    w, n = width - k + 1, len(data)
-    starts = np.arange(max(0, n - width + 1))
-    row = np.searchsorted(offsets[1:], starts, "right")
-    starts = starts[starts + width <= offsets[1:][row]] if len(starts) else starts
-    if not len(starts):
-        none = np.zeros(0, np.int64)
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(np.uint64)
-    sums = _roll.sums(data)
-    short = _roll.windows(sums, k)
-    least, m = (short & ~np.uint64(0xFFFFFFFF)) | np.arange(len(short), dtype=np.uint64), 1
-    while 2 * m <= w:
-        least = np.minimum(least[:-m], least[m:])
-        m *= 2
-    least = np.minimum(least[: len(least) - (w - m)], least[w - m :])
-    place = (least[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    edge = np.flatnonzero(place[1:] != place[:-1]) + 1
-    first, last = starts[np.concatenate([[0], edge])], starts[np.concatenate([edge - 1, [len(starts) - 1]])]
-    place = place[np.concatenate([[0], edge])]
-    return np.searchsorted(offsets[1:], first, "right"), first, last, short[place], _roll.of(sums, first, last + width), _roll.windows(sums, width)
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return project(docs, doc_id=id_col, text=text_col).where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), short_key(F.xxhash64("text")).alias("text_key"), "text")
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -394,16 +318,19 @@ def compare_windows(laid: DataFrame, width: int, n_buckets: int) -> DataFrame:
     return sent.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(own, _FOUND)
 
 
-def window_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
-    """Like ``substring_dedup``, but by bytes in place of chunks: what leaves ``text`` is every string of ``min_run`` bytes that a document
-    with a smaller doc_id has too, or the document itself further ahead. No repeat of that length is missed, and each goes to
-    its true ends (drawn in to whole characters). Nulls, rows that share a doc_id and empty texts as there.
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
+    """All rows and columns of ``docs`` with ``text`` less its repeats, and _n_bytes, _n_removed, _spans (start, end).
+
+    What leaves ``text`` is every string of ``min_run`` bytes (100 at least) that a document with a smaller doc_id has too, or the
+    document itself further ahead. No repeat of that length is missed, and each goes to its true ends (drawn in to whole
+    characters). Rows with null text or id are left as they are and count for nothing; columns named like the three added ones
+    are replaced. Rows that share a doc_id never take from each other. Empty texts stay empty. Empty table: no rows.
     """
     docs = docs.drop("_n_bytes", "_n_removed", "_spans")
     names, kinds = docs.columns, {f.name: f.dataType.simpleString() for f in docs.schema}
     row_id, row_key, row_spans, own_key = fresh(docs, "_id", "_key", "_places", "_own")
-    rows = keyed(docs, id_col, text_col).withColumn("text_key", short_key(F.col("text_key")))
-    n = buckets_for(total_bytes(rows), 40)
+    rows = keyed(docs, id_col, text_col)
+    n = max(1, -(-total_bytes(rows) // (ENTRY_BYTES * BUCKET_ENTRIES)))
     found = materialize(find_windows(rows, min_run, n), "windows")
     part = found.where(F.col("kind") == PART).groupBy("doc_id", "text_key").agg(F.collect_list("spans").alias("spans")).toDF(row_id, row_key, row_spans)
     own = docs.withColumn(own_key, short_key(F.xxhash64(F.col(text_col))))
@@ -446,12 +373,13 @@ def window_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = window_dedup(docs)
+    out = substring_dedup(docs)
     kept = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     return out.select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.size("_spans").cast("long").alias("n_spans"), kept.alias("kept_sha256"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated runs leave the texts; n_chars follows. No document is dropped."""
+    """Repeats leave the texts; n_chars follows. No document is dropped: rows with null text or id are handed on as they are, a
+    text that repeats as a whole becomes empty. Rows that share a doc_id stay, each with its own text. Empty table: no rows."""
     out = substring_dedup(docs).drop("_n_bytes", "_n_removed", "_spans")
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))

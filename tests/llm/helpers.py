@@ -7,7 +7,6 @@ import random
 import re
 
 import numpy as np
-import pyarrow as pa
 
 SF = "/root/testdata/sf0.001"
 KINDS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -101,34 +100,3 @@ def remove_windows(rows: list[tuple], width: int = 50) -> list[tuple]:
         left = bytes(np.frombuffer(raw, np.uint8)[~gone])
         out.append((d, len(raw), int(gone.sum()), runs, hashlib.sha256(left).hexdigest()))
     return out
-
-
-def remove_chunks(rows: list[tuple], min_run: int) -> list[tuple]:
-    """(doc_id, kept text) by comparing chunk bytes; the cutting rule itself is the operator's."""
-    from factloom.llm.substring_dedup import chunks, spans
-
-    def cut(t: str) -> list[bytes]:
-        data, starts, ends, _, _ = chunks(pa.RecordBatch.from_arrays([pa.array([t])], ["text"]))
-        raw = data.tobytes()
-        return [raw[s:e] for s, e in zip(starts, ends, strict=True)]
-
-    first: dict[bytes, int] = {}
-    for d, t, *_ in rows:
-        if d is not None and t:
-            for c in cut(t):
-                first[c] = min(first.get(c, d), d)
-    out = []
-    for d, t, *_ in rows:
-        if d is None or not t:
-            out.append((d, t))
-            continue
-        parts, seen, repeat = cut(t), set(), []
-        for c in parts:
-            repeat.append(c in seen or first[c] < d)
-            seen.add(c)
-        raw, at, kept = t.encode(), 0, []
-        for s, e in spans(np.array([len(c) for c in parts]), np.array(repeat, bool), min_run):
-            kept.append(raw[at:s])
-            at = e
-        out.append((d, b"".join([*kept, raw[at:]]).decode()))
-    return out

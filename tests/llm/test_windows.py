@@ -1,7 +1,9 @@
-"""Operator 3 on windows: no repeat of the length limit is missed, whatever stands around it and whatever its script."""
+"""Operator 3: no repeat of the length limit is missed, whatever stands around it and whatever its script."""
 
 import random
 
+import numpy as np
+
 from factloom.llm import substring_dedup
 from factloom.llm.substring_dedup import MIN_RUN
 
@@ -50,7 +52,7 @@ def planted() -> list[tuple]:
 
 
 def check(spark, rows):
-    out = substring_dedup.window_dedup(frame(spark, rows).repartition(5)).collect()
+    out = substring_dedup.substring_dedup(frame(spark, rows).repartition(5)).collect()
     got = [(r["doc_id"], tuple(tuple(s) for s in r["_spans"])) for r in out]
     want = repeats(rows, MIN_RUN)
     assert sorted(got, key=repr) == sorted(((d, s) for d, _, s in want), key=repr)
@@ -69,9 +71,35 @@ def test_planted_passages_all_go(spark):
     rows = planted()
     want = check(spark, rows)
     assert sum(bool(s) for _, _, s in want) == 50
-    # Whole chunks lose some of them.
-    chunked = substring_dedup.substring_dedup(frame(spark, rows)).where("_n_removed > 0").count()
-    assert chunked < 50
+
+
+def kept(rows: list[tuple], width: int = MIN_RUN) -> dict:
+    """doc_id -> text without its repeats."""
+    out = {}
+    for d, t, spans in repeats(rows, width):
+        raw = (t or "").encode()
+        gone = {i for s, e in spans for i in range(s, e)}
+        out[d] = t and bytes(b for i, b in enumerate(raw) if i not in gone).decode()
+    return out
+
+
+def test_windows_stand_for_chunks_chosen_by_their_bytes_alone():
+    """Every window, cut out and set between other texts, has the same chunk."""
+    r = random.Random(3)
+    texts = [sentence(r, 90), "".join(r.choice("abcdefgh") for _ in range(500)), "漢字仮名" * 60, "x" * 300, " ".join("ab" for _ in range(99))]
+    for t in texts:
+        raw = t.encode()
+        data, offsets = np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
+        row, first, last, key, *_ = substring_dedup.marks(data, offsets, MIN_RUN)
+        assert first[0] == 0 and last[-1] == len(raw) - MIN_RUN and (first[1:] == last[:-1] + 1).all()
+        for s in range(0, len(raw) - MIN_RUN + 1, 7):
+            other = b"quite another text " * 9
+            mixed = np.frombuffer(other + raw[s : s + MIN_RUN] + other, np.uint8)
+            bounds = np.array([0, len(other), len(other) + MIN_RUN, len(mixed)])
+            row2, first2, last2, key2, *_ = substring_dedup.marks(mixed, bounds, MIN_RUN)
+            mine = np.flatnonzero(row2 == 1)
+            assert len(mine) == 1 and first2[mine[0]] == last2[mine[0]] == len(other)
+            assert key2[mine[0]] == key[np.searchsorted(first, s, "right") - 1]
 
 
 def test_awkward_rows(spark):
