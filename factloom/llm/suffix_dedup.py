@@ -31,9 +31,9 @@ from .common import bucketed, column, materialize, project, ranges, ship, tidy,
 from .hashing import Rolling
 
 #: Bytes of a match; of a minimizer; suffixes of a batch of the index.
-WIDTH, GRAM, BATCH_SUFFIXES = 50, 30, 1 << 17
+WIDTH, GRAM, BATCH_SUFFIXES = 50, 30, 1 << 16
 #: Bytes of text in a block, in a bucket of blocks, of one vectorised step, for an owner of pieces; entries of a key bucket.
-BLOCK_BYTES, PART_BYTES, STEP, OWNER_BYTES, BUCKET_ENTRIES = 4 << 20, 64 << 20, 1 << 20, 8 << 20, 1 << 20
+BLOCK_BYTES, PART_BYTES, STEP, OWNER_BYTES, BUCKET_ENTRIES = 2 << 20, 64 << 20, 1 << 20, 6 << 20, 1 << 20
 #: Bytes of the shortest string whose hash chooses a minimizer.
 SEED = 4
 _roll = Rolling(41)

@@ -5,10 +5,11 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from factloom.llm import common, embedding_dedup, exact_dedup, hashing, langid, ngram_jaccard, packing, sentencepiece_codec, sharding, substring_dedup, suffix_dedup, toxicity
+from factloom.llm import common, components, embedding_dedup, exact_dedup, hashing, langid, ngram_jaccard, packing, sentencepiece_codec, sharding, substring_dedup, suffix_dedup, toxicity
 
-from .helpers import KINDS, SF, awkward, frame, jaccard_groups, remove_chunks, remove_windows, rows_of, sentence
+from .helpers import KINDS, SF, awkward, frame, jaccard_groups, remove_windows, rows_of, sentence
 
 ROWS = awkward()
 
@@ -38,7 +39,39 @@ def none(spark):
 
 
 def test_jaccard_equals_brute_force(docs):
-    same(ngram_jaccard.ngram_jaccard(docs).collect(), jaccard_groups(ROWS))
+    same(ngram_jaccard.ngram_jaccard(docs).select("doc_id", "class_id", "n_links", "group_id").collect(), jaccard_groups(ROWS))
+
+
+def test_jaccard_of_ids_with_several_texts(spark):
+    import random
+
+    r = random.Random(6)
+    a, b, c = (sentence(r, 60) for _ in range(3))
+    rows = [(i, t, "en", "s", 1) for i, t in [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (3, c), (4, c), (1, a)]]
+    df = frame(spark, rows)
+    out = ngram_jaccard.ngram_jaccard(df)
+    same(out.select("doc_id", "class_id", "n_links", "group_id").collect(), jaccard_groups(rows))
+    # Of each group one text stays, whatever else stands under its doc_id.
+    kept = ngram_jaccard.stage(spark, df, "")
+    assert sorted((x["doc_id"], x["text"]) for x in kept.collect()) == sorted([(1, a), (1, a), (1, b), (3, c)])
+
+
+def test_jaccard_blocks_are_bounded_by_classes(spark, monkeypatch):
+    """A pair of blocks of the greatest size stays far under a gigabyte, and many small ones find the same links."""
+    import tracemalloc
+
+    base, r = np.arange(10, dtype=np.uint64), np.random.default_rng(9)
+    half = [(k, 1, np.zeros(24, np.int64), np.append(base, np.uint64(r.integers(50, 60)))) for k in range(ngram_jaccard.BLOCK_CLASSES)]
+    other = [(k + len(half), 2, *x) for k, _, *x in half]
+    tracemalloc.start()
+    links, low = ngram_jaccard._settle(half, other, 0.8)
+    assert tracemalloc.get_traced_memory()[1] < 600 << 20
+    tracemalloc.stop()
+    assert (links[: len(half)] == 2 * len(half)).all() and (links[len(half) :] == len(half)).all() and not low.any()
+    monkeypatch.setattr(ngram_jaccard, "BLOCK_CLASSES", 7)
+    words = sentence(__import__("random").Random(2), 80)
+    rows = [(i, f"{words} {i}", "en", "s", 1) for i in range(60)]
+    same(ngram_jaccard.ngram_jaccard(frame(spark, rows)).select("doc_id", "class_id", "n_links", "group_id").collect(), jaccard_groups(rows))
 
 
 def test_jaccard_oracle(spark):
@@ -59,7 +92,7 @@ def test_jaccard_blocks_of_a_large_cluster(spark, monkeypatch):
             w[r.randrange(len(w))] = f"w{r.randrange(9)}"
         rows.append((i, " ".join(w), "en", "s", 1))
     monkeypatch.setattr(ngram_jaccard, "BLOCK_SHINGLES", 600)
-    same(ngram_jaccard.ngram_jaccard(frame(spark, rows)).collect(), jaccard_groups(rows))
+    same(ngram_jaccard.ngram_jaccard(frame(spark, rows)).select("doc_id", "class_id", "n_links", "group_id").collect(), jaccard_groups(rows))
 
 
 def test_band_plan_reaches_its_recall():
@@ -112,6 +145,31 @@ def test_exact_chains_equal_hashes(spark, docs, monkeypatch):
     assert out.agg({"chain": "max"}).first()[0] > 2
 
 
+def test_exact_index_takes_further_batches(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HELD_BYTES", 300)
+    df = frame(spark, ROWS)
+    n = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(3))
+    _, path = exact_dedup.build_index(df.where(n == 0), capacity=2000)
+    before = exact_dedup.Directory.read(spark, f"{path}/directory")
+    for k in (1, 2):
+        index, path = exact_dedup.insert(path, df.where(n == k), capacity=2000)
+    after = exact_dedup.Directory.read(spark, f"{path}/directory")
+    assert len(after.local) > len(before.local) and after.depth >= before.depth
+    # An old bucket is a union of new ones.
+    at = [after.slots[i << (after.depth - before.depth) : (i + 1) << (after.depth - before.depth)] for i in range(len(before.slots))]
+    assert all(len({before.slots[i] for i in range(len(at)) if b in at[i]}) == 1 for b in set(after.slots))
+    whole, _ = exact_dedup.build_index(df)
+    keys = ("h", "chain", "doc_id", "copies", "digest")
+    same(index.select(*keys).collect(), whole.select(*keys).collect())
+
+
+def test_exact_stage_keeps_one_of_each_text(spark):
+    rows = [(None, "a", "en", "s", 1), (None, "a", "en", "t", 1), (1, "b", "en", "s", 1), (None, "b", "en", "s", 1), (2, "b", "en", "s", 1), (2, "c", "en", "s", 1), (3, "c", "en", "s", 1), (4, None, "en", "s", 0), (5, "", "en", "s", 0), (6, "d", None, None, None), (6, "d", None, None, None)]
+    out = exact_dedup.stage(spark, frame(spark, rows), "")
+    assert out.columns == frame(spark, rows).columns
+    same(out.select("doc_id", "text").collect(), [(None, "a"), (2, "b"), (3, "c"), (5, ""), (6, "d"), (6, "d")])
+
+
 def test_directory_doubles_and_splits():
     sizes = np.zeros(16, np.int64)
     sizes[3], sizes[4], sizes[12] = 90, 20, 30
@@ -125,10 +183,9 @@ def test_directory_doubles_and_splits():
 # 3 -----------------------------------------------------------------------------------------------------------------
 
 
-def test_substring_equals_brute_force(docs):
+def test_substring_keeps_all_columns(docs):
     out = substring_dedup.substring_dedup(docs)
     assert out.columns == [*docs.columns, "_n_bytes", "_n_removed", "_spans"]
-    same(out.select("doc_id", "text").collect(), remove_chunks(ROWS, substring_dedup.MIN_RUN))
 
 
 def test_gear_is_a_rolling_hash():
@@ -145,16 +202,24 @@ def test_chunks_resist_insertions_and_do_not_depend_on_neighbours():
     r = random.Random(3)
     a, b = sentence(r, 300), sentence(r, 40)
 
-    def cut(texts):
-        data, s, e, row, _ = substring_dedup.chunks(pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]))
-        raw = data.tobytes()
-        return [[raw[x:y] for x, y, k in zip(s, e, row, strict=True) if k == i] for i in range(len(texts))]
+    def cut(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        at = [0, *substring_dedup.cuts(data, substring_dedup.gear(data)), len(data)]
+        return [data[x:y].tobytes() for x, y in zip(at, at[1:], strict=False)]
+
+    alone, moved = cut(a), cut(f"inserted words here {a} {b}")
+    assert b"".join(alone) == a.encode() and len(alone) > 20
+    assert len(set(alone[:-1]) - set(moved)) <= 2
+    assert len(cut("漢" * 9 + "".join(chr(r.randrange(0x4E00, 0x9FFF)) for _ in range(900)))) > 30
 
-    alone = cut([a])[0]
-    assert cut([b, a, "", b])[1] == alone and b"".join(alone) == a.encode()
-    moved = cut(["inserted words here " + a])[0]
-    assert len(set(alone) - set(moved)) <= 2
-    assert all(len(c) <= substring_dedup.MAX_CHUNK for c in cut(["漢" * 5000])[0])
+
+def test_longest_chunk_of_a_range():
+    r = np.random.default_rng(8)
+    at = np.cumsum(r.integers(1, 60, 200))
+    lo, hi = r.integers(0, 199, 500), r.integers(0, 200, 500)
+    for x, y, got in zip(lo, hi, substring_dedup.longest(at, lo, hi), strict=True):
+        sizes = np.diff(at)[x:y] if y > x else []
+        assert got == (x + int(np.argmax(sizes)) if len(sizes) and max(sizes) >= substring_dedup.MIN_CHUNK else -1)
 
 
 # 4 -----------------------------------------------------------------------------------------------------------------
@@ -375,6 +440,28 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
     assert embedding_dedup.near_dedup(df.where("false")).count() == 0
 
 
+def test_vectors_that_share_an_id(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.01], 1), (3, [0.01, 1.0], 1)]
+    out = embedding_dedup.near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    same(out, [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)])
+    same(out, brute_vectors(rows))
+
+
+def test_reachable_labels():
+    r = np.random.default_rng(4)
+    for n, m in ((50, 20), (50, 40), (300, 299)):
+        i, j = (np.arange(m), np.arange(m) + 1) if m == 299 else (r.integers(0, n, m), r.integers(0, n, m))
+        labels = r.permutation(n).astype(np.int64)
+        want = labels.copy()
+        for _ in range(n):
+            for a, b in zip(i, j, strict=True):
+                want[a] = want[b] = min(want[a], want[b])
+        assert (components.least_reachable(labels, i, j) == want).all()
+        matrix = np.zeros((n, n), bool)
+        matrix[i, j] = matrix[j, i] = True
+        assert (components.least_reachable_dense(labels, labels, matrix)[0] == want).all()
+
+
 def test_vectors_oracle(spark):
     out = embedding_dedup.query(spark, SF).select("vec_id", "n_links", "component_id", "kept")
     same(out.collect(), oracle(f"SELECT vec_id, n_links, component_id, kept FROM ({embedding_dedup.SQL})"))
@@ -542,7 +629,7 @@ def test_row_numbers_are_gapless_and_ordered(spark):
 def test_components(spark):
     import random
 
-    from factloom.llm.components import components
+    from factloom.llm.components import components as connected
 
     r = random.Random(9)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + k) for k in range(1, 30)] + [(r.randrange(200, 300), r.randrange(200, 300)) for _ in range(60)] + [(None, 3), (7, 7)]
@@ -555,9 +642,9 @@ def test_components(spark):
         for a, b in edges:
             if a in low and b in low:
                 low[a] = low[b] = min(low[a], low[b])
-    got = {x["node"]: x["root"] for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {x["node"]: x["root"] for x in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == low
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_kinds():
