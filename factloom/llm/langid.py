@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, flat, map_arrow, project
+from .common import column, flat, map_arrow, project, tidy
 
 #: Bytes in a segment, hidden units of a direction, training documents of a language at most (whole texts).
 SEGMENT, HIDDEN, DOCS_PER_LANG = 64, 8, 400
@@ -120,15 +120,14 @@ class BiGru:
                 g["table"][way, k] = np.bincount(flatx, inputs[k].ravel(), 256)
         return loss, g
 
-    def fit(self, segments: list[bytes], labels: np.ndarray, steps: int = 260, batch: int = 256, rate: float = 0.02, seed: int = 3) -> float:
-        """Adam on batches drawn evenly over languages. Returns the mean loss of the last steps."""
+    def fit(self, x: np.ndarray, mask: np.ndarray, labels: np.ndarray, steps: int = 260, batch: int = 256, rate: float = 0.02, seed: int = 3) -> float:
+        """Adam on batches of segments (``pack``) drawn evenly over labels. Returns the mean loss of the last steps."""
         r, m, v2, losses = np.random.default_rng(seed), {}, {}, []
-        x, mask = pack(segments)
         pools = [np.flatnonzero(labels == k) for k in range(len(self.langs))]
         pools = [q for q in pools if len(q)]
         for step in range(1, steps + 1):
             pick = np.concatenate([r.choice(q, max(1, batch // len(pools))) for q in pools])
-            loss, g = self.gradients(x[:, pick], labels[pick], mask[:, pick])
+            loss, g = self.gradients(x[:, pick], labels[pick], mask[:, pick].astype(np.float32))
             losses.append(loss)
             lr = rate * min(1, 20 * (1 - (step - 1) / steps) / 10)
             norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
@@ -175,24 +174,39 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 def pack(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     x = np.zeros((SEGMENT, len(segments)), np.uint8)
-    mask = np.zeros((SEGMENT, len(segments)), np.float32)
+    mask = np.zeros((SEGMENT, len(segments)), bool)
     for k, s in enumerate(segments):
         x[: len(s), k] = np.frombuffer(s, np.uint8)
-        mask[: len(s), k] = 1
+        mask[: len(s), k] = True
     return x, mask
 
 
+def pack_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, mask, text of each) of all segments of whole texts, without an object a segment."""
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    per = -(-sizes // SEGMENT)
+    of = np.repeat(np.arange(len(texts)), per)
+    start = (np.cumsum(sizes) - sizes)[of] + (np.arange(len(of)) - np.repeat(np.cumsum(per) - per, per)) * SEGMENT
+    x, mask = np.zeros((SEGMENT, len(of)), np.uint8), np.zeros((SEGMENT, len(of)), bool)
+    end = np.cumsum(sizes)[of]
+    for k in range(SEGMENT):
+        mask[k] = start + k < end
+        x[k, mask[k]] = data[(start + k)[mask[k]]]
+    return x, mask, of
+
+
 def held_out() -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def noise(segments: list[bytes], n: int, seed: int = 11) -> list[bytes]:
+def noise(segments: np.ndarray, n: int, seed: int = 11) -> list[bytes]:
     """n segments in no language: three in four are letters of real segments in random order, the others random characters of
     some script, with blanks between runs of random lengths."""
     r, out = np.random.default_rng(seed), []
     for k in range(n):
-        if k % 4 and segments:
-            letters = list(segments[int(r.integers(len(segments)))].decode("utf-8", "ignore"))
+        if k % 4 and len(segments):
+            letters = list(bytes(segments[int(r.integers(len(segments)))]).decode("utf-8", "ignore"))
             r.shuffle(letters)
         else:
             low, high = SCRIPTS[int(r.integers(len(SCRIPTS)))]
@@ -222,25 +236,23 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     if picked is None:
         return None
 
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        langs, pieces = [], []
-        for text, lang in zip(column(batch, "text").to_pylist(), column(batch, "lang").to_pylist(), strict=True):
-            raw = text.encode()
-            pieces += [raw[k : k + SEGMENT] for k in range(0, len(raw), SEGMENT)]
-            langs += [lang] * (len(pieces) - len(langs))
-        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(pieces, pa.binary())], ["lang", "piece"])
-
-    got = sorted((r[0], bytes(r[1])) for r in map_arrow(picked, cut, "lang string, piece binary").collect())
+    got = sorted((r["lang"], r["text"].encode()) for r in picked.select("lang", "text").where("length(text) > 0").collect())
     if not got:
         return None
     langs = sorted({k for k, _ in got})
     number = {k: i for i, k in enumerate(langs)}
-    labels, pieces = [number[k] for k, _ in got], [x for _, x in got]
+    x, mask, of = pack_texts([t for _, t in got])
+    labels = np.array([number[k] for k, _ in got])[of]
+    del got
     if with_noise:
-        more = noise(pieces, max(256, len(pieces) // len(langs)))
-        langs, labels, pieces = [*langs, NOISE], labels + [len(langs)] * len(more), pieces + more
+        whole = np.flatnonzero(mask.all(0))
+        more, there = pack(noise(x[:, whole].T, max(256, len(of) // len(langs))))
+        x, mask, labels = np.concatenate([x, more], 1), np.concatenate([mask, there], 1), np.concatenate([labels, np.full(more.shape[1], len(langs))])
+        langs = [*langs, NOISE]
     model = BiGru.fresh(langs)
-    model.fit(pieces, np.array(labels), steps)
+    model.fit(x, mask, labels, steps)
+    del x, mask
+    tidy()  # the driver keeps no more than the model
     return model
 
 
