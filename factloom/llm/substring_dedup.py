@@ -26,8 +26,9 @@ MIN_RUN = 160
 CUT_SPACE, CUT_WIDE, CUT_ANY = 44, 20, 1
 #: Bytes the gear hash sees; of the shortest chunk a window stands for; of a backup chunk.
 GEAR_BYTES, MIN_CHUNK, BACKUP = 16, 16, 32
-#: Bytes of text a map batch has; windows' entries (about) an owner's bucket has, and bytes of text for each.
-BATCH_BYTES, BUCKET_ENTRIES, ENTRY_BYTES = 2 << 20, 1 << 20, 40
+#: Bytes of text a map batch has; windows' entries (about) an owner's bucket has, and bytes of text for each; bytes of all texts for
+#: an owner that compares bytes.
+BATCH_BYTES, BUCKET_ENTRIES, ENTRY_BYTES, OWNER_BYTES = 2 << 20, 1 << 20, 40, 6 << 20
 _GEAR = (seeds(256, 97) >> np.uint64(32)).astype(np.uint32)
 _roll = Rolling(89)
 _SPACE = np.zeros(256, bool)
@@ -294,25 +295,29 @@ def compare_windows(laid: DataFrame, width: int, n_buckets: int) -> DataFrame:
     def settle(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not held:
             return
-        hashes, docs, texts, at = [], [], [], []
-        for batch in held:
+        # In the order of doc_id: then a stable sort by hash puts the smallest document's window first.
+        rows = pa.Table.from_batches(held).sort_by("doc_id").combine_chunks().to_batches()
+        held.clear()
+        for batch in rows:
+            doc, text, at = (np.asarray(column(batch, n)) for n in ("doc_id", "text_key", "at"))
             data, offsets = flat(column(batch, "bytes"))
             w, of = ranges(offsets[:-1], offsets[1:] - width)
-            hashes.append(_roll.of(_roll.sums(data), w, w + width))
-            docs.append(np.asarray(column(batch, "doc_id"))[of])
-            texts.append(np.asarray(column(batch, "text_key"))[of])
-            at.append(np.asarray(column(batch, "at"))[of] + w - offsets[of])
-        held.clear()
-        h, doc, text, at = (np.concatenate(x) for x in (hashes, docs, texts, at))
-        gone = not_first(h, np.zeros(len(h), np.int8), doc)
-        if gone.any():
-            doc, text, at = doc[gone], text[gone], at[gone]
-            order = np.lexsort((at, text, doc))
-            doc, text, at = doc[order], text[order], at[order]
-            new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]) | (at[1:] > at[:-1] + width)])
-            s = np.flatnonzero(new)
-            e = np.append(s[1:] - 1, len(at) - 1)
-            yield _found(np.full(len(s), FULL), doc[s], text[s], at[s], at[e] - at[s] + width)
+            of = of.astype(np.int32)
+            h = _roll.of(_roll.sums(data), w, w + width)
+            order = np.argsort(h, kind="stable")
+            new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
+            least = doc[of[order[new]]]
+            later = np.zeros(len(h), bool)
+            later[order] = doc[of[order]] > least[np.cumsum(new) - 1]
+            del h, order, new
+            k = np.flatnonzero(later)
+            if len(k):
+                apart = np.concatenate([[True], (k[1:] != k[:-1] + 1) | (of[k][1:] != of[k][:-1])])
+                s = k[apart]
+                e = k[np.append(np.flatnonzero(apart)[1:] - 1, len(k) - 1)]
+                r = of[s]
+                first = at[r] + w[s] - offsets[r]
+                yield _found(np.full(len(s), FULL), doc[r], text[r], first, w[e] - w[s] + width)
 
     sent = map_arrow(laid, send, "bucket int, doc_id long, text_key long, at long, bytes binary", step=BATCH_BYTES)
     return sent.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(own, _FOUND)
@@ -330,14 +335,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names, kinds = docs.columns, {f.name: f.dataType.simpleString() for f in docs.schema}
     row_id, row_key, row_spans, own_key = fresh(docs, "_id", "_key", "_places", "_own")
     rows = keyed(docs, id_col, text_col)
-    n = max(1, -(-total_bytes(rows) // (ENTRY_BYTES * BUCKET_ENTRIES)))
+    total = total_bytes(rows)
+    n = max(1, -(-total // (ENTRY_BYTES * BUCKET_ENTRIES)))
     found = materialize(find_windows(rows, min_run, n), "windows")
     part = found.where(F.col("kind") == PART).groupBy("doc_id", "text_key").agg(F.collect_list("spans").alias("spans")).toDF(row_id, row_key, row_spans)
     own = docs.withColumn(own_key, short_key(F.xxhash64(F.col(text_col))))
     on = (F.col(id_col).cast("long") == F.col(row_id)) & (F.col(own_key) == F.col(row_key))
     some = own.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).join(part, on)
     some = some.select(F.col(row_id).alias("doc_id"), F.col(row_key).alias("text_key"), F.col(text_col).alias("text"), F.col(row_spans).alias("spans"))
-    gone = found.where(F.col("kind") == FULL).union(compare_windows(some, min_run, n))
+    gone = found.where(F.col("kind") == FULL).union(compare_windows(some, min_run, max(1, -(-total // OWNER_BYTES))))
     per = gone.groupBy("doc_id", "text_key").agg(F.collect_list("spans").alias("spans")).toDF(row_id, row_key, row_spans)
     joined = own.join(per, on, "left").drop(row_id, row_key, own_key)
 
