@@ -31,6 +31,8 @@ GENERIC_PREDICATES = ("is_a", "name", "am", "is", "stated", "be")
 INHIBITED = ("live_in", "lives_in", "based_in", "moved_to", "relocated_to", "reside_in", "work_at", "works_at", "work_for", "works_for", "employed_at", "joined", "am", "is", "name", "age", "email", "phone", "birthday", "nationality")
 CURRENT_STATE = ("live_in", "lives_in", "work_at", "works_at", "move_to", "employed_at", "reside_in", "base_in")
 POSSESSION = ("have", "own", "has", "owns")
+LOSS_PREDICATES = ("pass_away", "die", "die_away", "die_off", "leave")
+LOSS_VERBS = {"die": "die", "dies": "die", "died": "die", "pass": "pass", "passes": "pass", "passed": "pass", "leaves": "leave", "left": "leave"}
 QUESTION_STARTS = (
     "what", "where", "when", "who", "whom", "why", "how", "which", "is", "are", "am", "do", "does", "did", "can", "could",
     "should", "would", "was", "were", "will", "have", "has", "had", "tell me", "show me", "list",
@@ -91,23 +93,51 @@ RELATION_SYNONYMS = {
     "dad": ("father",),
 }
 QUERY_PREDICATES = {
-    "work": "work_at works_at work_for employed_at be_at start_at", "job": "job_title role position occupation is_a",
-    "role": "job_title role position occupation is_a", "title": "job_title role position occupation",
-    "live": "live_in lives_in move_to base_in reside_in", "located": "live_in lives_in base_in", "use": "use prefer run_on",
-    "language": "use speak know code_in write learn learning study", "speak": "speak know",
-    "learning": "learn learning study studying", "like": "like love enjoy prefer fan_of", "read": "read reading",
-    "study": "study graduate_from major_in attend", "school": "graduate_from study_at attend major_in",
-    "university": "graduate_from study_at attend", "pet": "have own", "dog": "have own", "cat": "have own",
-    "database": "use is run_on switch_from", "team": "have is manage build lead hire to grow",
-    "build": "build work_on develop", "deploy": "deploy_to use host_on", "coffee": "drink prefer like switch_from",
-    "tea": "drink prefer like switch_from", "learn": "think_about want_to plan_to interested_in study",
-    "planning": "think_about want_to plan_to work_on", "reading": "am read", "allergic": "allergic_to",
-    "birthday": "is birthday born_on", "age": "age duration is", "old": "age duration is", "name": "is name call",
-    "children": "have own", "kids": "have own", "cloud": "use deploy_to host_on run_on",
-    "drink": "drink switch_from prefer", "hobby": "love like enjoy into start do", "hobbies": "love like enjoy into start do",
-    "market": "launch_in expand enter", "hire": "hire recruit", "size": "to have is grow",
-    "volume": "hit handle process reach", "process": "follow use do", "methodology": "follow use do",
-}
+    "work": ("work_at", "works_at", "work_for", "employed_at", "be_at", "start_at"),
+    "job": ("job_title", "role", "position", "occupation", "is_a"),
+    "role": ("job_title", "role", "position", "occupation", "is_a"),
+    "title": ("job_title", "role", "position", "occupation"),
+    "live": ("live_in", "lives_in", "move_to", "base_in", "reside_in"),
+    "located": ("live_in", "lives_in", "base_in"),
+    "use": ("use", "prefer", "run_on"),
+    "language": ("use", "speak", "know", "code_in", "write", "learn", "learning", "study"),
+    "speak": ("speak", "know"),
+    "learning": ("learn", "learning", "study", "studying"),
+    "like": ("like", "love", "enjoy", "prefer", "fan_of"),
+    "read": ("read", "reading"),
+    "study": ("study", "graduate_from", "major_in", "attend"),
+    "school": ("graduate_from", "study_at", "attend", "major_in"),
+    "university": ("graduate_from", "study_at", "attend"),
+    "pet": ("have", "own"),
+    "dog": ("have", "own"),
+    "cat": ("have", "own"),
+    "database": ("use", "is", "run_on", "switch_from"),
+    "team": ("have", "is", "manage", "build", "lead", "hire", "to", "grow"),
+    "build": ("build", "work_on", "develop"),
+    "deploy": ("deploy_to", "use", "host_on"),
+    "coffee": ("drink", "prefer", "like", "switch_from"),
+    "tea": ("drink", "prefer", "like", "switch_from"),
+    "learn": ("think_about", "want_to", "plan_to", "interested_in", "study"),
+    "planning": ("think_about", "want_to", "plan_to", "work_on"),
+    "reading": ("am", "read"),
+    "allergic": ("allergic_to",),
+    "birthday": ("is", "birthday", "born_on"),
+    "age": ("age", "duration", "is"),
+    "old": ("age", "duration", "is"),
+    "name": ("is", "name", "call"),
+    "children": ("have", "own"),
+    "kids": ("have", "own"),
+    "cloud": ("use", "deploy_to", "host_on", "run_on"),
+    "drink": ("drink", "switch_from", "prefer"),
+    "hobby": ("love", "like", "enjoy", "into", "start", "do"),
+    "hobbies": ("love", "like", "enjoy", "into", "start", "do"),
+    "market": ("launch_in", "expand", "enter"),
+    "hire": ("hire", "recruit"),
+    "size": ("to", "have", "is", "grow"),
+    "volume": ("hit", "handle", "process", "reach"),
+    "process": ("follow", "use", "do"),
+    "methodology": ("follow", "use", "do"),
+}
 IRREGULAR_VERBS = {
     "am": "be", "is": "be", "are": "be", "was": "be", "were": "be", "has": "have", "had": "have", "does": "do", "did": "do",
     "went": "go", "gone": "go", "said": "say", "told": "tell", "knew": "know", "known": "know", "spoke": "speak",
@@ -122,8 +152,45 @@ IRREGULAR_VERBS = {
     "risen": "rise", "shook": "shake", "shaken": "shake", "stole": "steal", "stolen": "steal", "swore": "swear",
     "sworn": "swear", "woke": "wake", "woken": "wake", "wore": "wear", "worn": "wear",
 }
+PRONOUNS = ("i", "you", "he", "she", "it", "we", "they", "me", "him", "her", "us", "them")
+POSSESSIVES = ("my", "your", "his", "her", "its", "our", "their")
+COPULAS = ("am", "is", "are", "was", "were", "be")
+HAVES = ("have", "has", "had")
+MODALS = ("will", "would", "shall", "should", "can", "could", "may", "might", "must")
+HELPERS = ("do", "does", "did", "been", "being", "having")
+NEGATIONS = ("not", "never", "no", "hardly", "barely", "rarely", "seldom")
+PREPOSITIONS = (
+    "in", "at", "for", "to", "on", "up", "out", "off", "with", "from", "about", "of", "by", "into", "through", "over",
+    "under", "between", "after", "before", "during", "without", "within", "across",
+)
+DETERMINERS = ("a", "an", "the", "this", "that", "these", "those", "some", "any", "every", "each", "all", "both", "few", "many", "much", "several", "no")
+CONJUNCTIONS = ("and", "but", "or", "yet", "so", "because", "since", "although", "though", "while", "when", "if", "unless", "that", "which", "who", "whom", "whose", "where")
+FILLERS = (
+    "well", "yeah", "yep", "yes", "nah", "nope", "actually", "honestly", "basically", "really", "just", "also", "so", "okay",
+    "ok", "lol", "haha", "idk", "tbh", "imo", "btw", "hmm", "oh", "wow", "mostly", "probably", "maybe", "perhaps",
+    "definitely", "certainly",
+)
+ADVERBS = (
+    "currently", "still", "now", "already", "always", "usually", "sometimes", "often", "recently", "lately", "presently",
+    "mostly", "probably", "maybe", "perhaps", "definitely", "certainly", "never", "ever", "just", "really", "actually",
+    "also",
+)
+RETRACTIONS = ("no longer", "not anymore", "used to", "no more")
+OPENERS = (
+    "actually no ", "actually, no ", "actually no, ", "wait no ", "wait, no ", "wait no, ", "correction: ", "scratch that, ",
+    "never mind, ", "no wait ", "no wait, ", "sorry, ", "actually, ", "actually ",
+)
+ABBREVIATIONS = ("Dr.", "Mr.", "Mrs.", "Ms.", "Prof.", "St.", "Jr.", "Sr.", "e.g.", "i.e.", "etc.", "vs.")
+OWN_ATTRIBUTES = ("name", "birthday", "job", "role", "age", "email", "phone", "title", "address", "salary")
+OWN_QUALIFIERS = ("best", "primary", "main", "own", "only", "second", "new", "old", "current")
+LEAVING = ("leave", "quit", "resign")
+PASSING_TIME = (
+    r"until\s+\w+(?:\s+\w+){0,2}", r"for\s+\d+\s+(?:day|week|month|year)s?", r"last\s+(?:week|month|year|night|\w+day)", "yesterday",
+    r"(?:a\s+)?(?:few|couple)\s+(?:day|week|month)s?\s+ago", "previously", "formerly", r"back\s+in\s+\d{4}",
+)
 PARTICIPLES_EN = ("been", "seen", "taken", "given", "written", "spoken", "broken", "chosen", "driven", "eaten", "fallen", "forgotten", "frozen", "gotten", "hidden", "proven", "risen", "shaken", "stolen", "sworn", "woken", "worn")
 AUXILIARIES = ("am", "is", "are", "was", "were", "be", "have", "has", "had", "will", "would", "shall", "should", "can", "could", "may", "might", "must", "do", "does", "did", "been", "being", "having")
+DAYS_BACK = {"yesterday": 1, "last week": 7, "last month": 30, "last year": 365, "recently": 7, "the other day": 3}
 DURATION_SECONDS = {"day": 86400, "week": 604800, "month": 2592000, "year": 31536000}
 SOURCE_WEIGHTS = {"user_stated": 1.0, "inferred": 0.7, "system": 0.5, "imported": 0.8}
 

@@ -20,6 +20,13 @@ NUMERIC = (
     ("latency", r"[0-9]+\s*(?:ms|milliseconds?)"),
     ("duration", r"[0-9]+\s*(?:years?|months?|weeks?)"),
 )
+# ---- fixed values: patterns of other kinds of text ----
+KEY_VALUE = r"^\s*([a-zA-Z_\s]+?)\s*[:=]\s*(.+?)\s*$"
+COMMIT_PARTS = r"^([A-Za-z0-9_]+)\s*(?:\(([^)]+)\))?\s*:\s*(.+)"
+RESUME_LINE = r"^(.+?)\s*[—–-]\s*(.+?)(?:\s*\(([^()]+)\))?\s*$"
+SPAN = r"(?i)^[0-9]+\s*(years?|months?|weeks?|days?)"
+SELF = ("i'm", "i am", "i've", "i have", "i")
+NO_ITEMS = ("some", "a", "few", "i", "we", "our", "the", "my")
 
 
 def fact(subject: Column | str, predicate: Column | str, obj: Column, confidence: float) -> Column:
@@ -81,63 +88,86 @@ def decisions(df: DataFrame) -> DataFrame:
     return rows(df, F.concat(*[after(m) for m in L.DECISION_MARKERS]))
 
 
+FACT = "array<struct<subject:string,predicate:string,object:string,confidence:double>>"
+
+
 def key_values(df: DataFrame) -> DataFrame:
-    pattern = r"^\s*([a-zA-Z_\s]+?)\s*[:=]\s*(.+?)\s*$"
-    parts = F.filter(F.transform(F.split("text", r"[|\n]+"), lambda p: F.trim(p)), lambda p: p.rlike(pattern))
+    return rows(df, key_value_facts(F.col("text"), F.col("user_id")))
+
+
+def key_value_facts(text: Column, user: Column) -> Column:
+    pattern = KEY_VALUE
+    parts = F.filter(F.transform(F.split(text, r"[|\n]+"), lambda p: F.trim(p)), lambda p: p.rlike(pattern))
     key = lambda p: F.regexp_replace(F.lower(F.trim(F.regexp_extract(p, pattern, 1))), " ", "_")
-    return rows(df, F.transform(parts, lambda p: fact(F.col("user_id"), key(p), F.regexp_extract(p, pattern, 2), 0.8)))
+    return F.transform(parts, lambda p: fact(user, key(p), F.regexp_extract(p, pattern, 2), 0.8))
 
 
 def signature(df: DataFrame) -> DataFrame:
-    parts = F.transform(F.split("text", r"\|"), lambda p: F.trim(p))
+    return rows(df, signature_facts(F.col("text"), F.col("user_id")))
+
+
+def signature_facts(text: Column, user: Column) -> Column:
+    parts = F.transform(F.split(text, r"\|"), lambda p: F.trim(p))
     name = lambda i: F.when(i == 0, "name").when(i == 1, "job_title").when(i == 2, "works_at").otherwise("affiliated_with")
-    made = F.transform(parts, lambda p, i: F.struct(F.col("user_id").alias("subject"), name(i).alias("predicate"), p.alias("object"), F.when(i < 3, 0.75).otherwise(0.6).alias("confidence")))
-    return rows(df.where(F.size(F.split("text", r"\|")) >= 3), made)
+    made = F.transform(parts, lambda p, i: F.struct(user.alias("subject"), name(i).alias("predicate"), p.alias("object"), F.when(i < 3, 0.75).otherwise(0.6).alias("confidence")))
+    return F.when(F.size(parts) >= 3, made).otherwise(F.array().cast(FACT))
 
 
 def commits(df: DataFrame) -> DataFrame:
-    pattern = r"^([A-Za-z0-9_]+)\s*(?:\(([^)]+)\))?\s*:\s*(.+)"
-    t = F.trim("text")
+    return rows(df, commit_facts(F.col("text")))
+
+
+def commit_facts(text: Column) -> Column:
+    pattern = COMMIT_PARTS
+    t = F.trim(text)
     part = lambda k: F.regexp_extract(t, pattern, k)
     both = F.array(fact("commit", part(1), F.trim(part(3)), 0.8), fact("commit", "affects", part(2), 0.8))
-    return rows(df.where(t.rlike(pattern)), F.filter(both, lambda f: F.length(f["object"]) > 0))
+    return F.when(t.rlike(pattern), F.filter(both, lambda f: F.length(f["object"]) > 0)).otherwise(F.array().cast(FACT))
 
 
 def social(df: DataFrame) -> DataFrame:
-    t = F.col("text")
+    return rows(df, social_facts(F.col("text"), F.col("user_id")))
+
+
+def social_facts(t: Column, user: Column) -> Column:
     named = F.transform(find_all(t, "@([A-Za-z0-9_]+)"), lambda m: fact(m, "mentioned", F.substring(t, 1, 100), 0.5))
-    tickets = F.transform(find_all(t, "([A-Z]+-[0-9]+)"), lambda m: fact(F.col("user_id"), "works_on", m, 0.6))
-    tags = F.transform(find_all(t, "#([A-Za-z0-9_]+)"), lambda m: fact(F.col("user_id"), "tagged", m, 0.5))
-    return rows(df, F.concat(named, tickets, tags))
+    tickets = F.transform(find_all(t, "([A-Z]+-[0-9]+)"), lambda m: fact(user, "works_on", m, 0.6))
+    tags = F.transform(find_all(t, "#([A-Za-z0-9_]+)"), lambda m: fact(user, "tagged", m, 0.5))
+    return F.concat(named, tickets, tags)
 
 
 def resume(df: DataFrame) -> DataFrame:
+    return rows(df, resume_facts(F.col("text"), F.col("user_id")))
+
+
+def resume_facts(text: Column, u: Column) -> Column:
     """``Company — Role (dates)`` lines; lines in capitals are headings."""
-    pattern = r"^(.+?)\s*[—–-]\s*(.+?)(?:\s*\(([^()]+)\))?\s*$"
-    lines = F.filter(F.transform(F.split(F.trim("text"), "\n"), lambda x: F.trim(x)), lambda x: x.rlike(pattern) & ~(x == F.upper(x)))
+    pattern = RESUME_LINE
+    lines = F.filter(F.transform(F.split(F.trim(text), "\n"), lambda x: F.trim(x)), lambda x: x.rlike(pattern) & ~(x == F.upper(x)))
 
     def line(x: Column) -> Column:
         company, role, dates = (F.trim(F.regexp_extract(x, pattern, k)) for k in (1, 2, 3))
-        u = F.col("user_id")
         return F.array(fact(u, "works_at", company, 0.75), fact(u, "job_title", role, 0.75), fact(u, "period", F.when(F.length(dates) > 0, F.concat(company, F.lit(": "), dates)).otherwise(""), 0.6))
 
-    return rows(df, F.filter(F.flatten(F.transform(lines, line)), lambda f: F.length(f["object"]) > 0))
+    return F.filter(F.flatten(F.transform(lines, line)), lambda f: F.length(f["object"]) > 0)
 
 
 def fragments(df: DataFrame) -> DataFrame:
+    return rows(df, fragment_facts(F.col("text"), F.col("user_id")))
+
+
+def fragment_facts(text: Column, u: Column) -> Column:
     """Arrow chains, period-separated notes (``Python. 8 years.``), single words."""
-    t = F.trim("text")
-    u = F.col("user_id")
+    t = F.trim(text)
     chain = F.filter(F.transform(F.split(F.regexp_replace(F.regexp_replace(t, "[→>=-]+>", "->"), "→", "->"), r"\s*->\s*"), lambda p: F.trim(p)), lambda p: F.length(p) > 0)
     has = F.transform(F.slice(chain, 2, 1000), lambda p, i: F.struct(F.when(i == 0, chain[0]).otherwise(u).alias("subject"), F.lit("has").alias("predicate"), p.alias("object"), F.lit(0.55).alias("confidence")))
-    none = F.array().cast("array<struct<subject:string,predicate:string,object:string,confidence:double>>")
+    none = F.array().cast(FACT)
     arrows = F.when(F.size(chain) >= 2, F.concat(F.array(fact(u, "affiliated_with", chain[0], 0.6)), has)).otherwise(none)
     notes = F.filter(F.transform(F.split(t, r"\."), lambda p: F.trim(p)), lambda p: F.length(p) > 0)
-    span = r"(?i)^[0-9]+\s*(years?|months?|weeks?|days?)"
-    later = F.transform(F.slice(notes, 2, 1000), lambda p: F.when(p.rlike(span), fact(u, "experience_with", F.concat(notes[0], F.lit(" ("), p, F.lit(")")), 0.7)).otherwise(fact(u, "related_to", F.concat(notes[0], F.lit(": "), p), 0.5)))
+    later = F.transform(F.slice(notes, 2, 1000), lambda p: F.when(p.rlike(SPAN), fact(u, "experience_with", F.concat(notes[0], F.lit(" ("), p, F.lit(")")), 0.7)).otherwise(fact(u, "related_to", F.concat(notes[0], F.lit(": "), p), 0.5)))
     word = F.trim(t, F.lit(".,;:!?"))
     single = F.when((F.size(F.split(t, r"\s+")) == 1) & (F.length(word) > 1), F.array(fact(u, "mentions", word, 0.4))).otherwise(none)
-    return rows(df, F.when(t.rlike("[→=>-]"), arrows).when(F.size(notes) >= 2, later).otherwise(single))
+    return F.when(t.rlike("[→=>-]"), arrows).when(F.size(notes) >= 2, later).otherwise(single)
 
 
 def entities(text: Column) -> Column:
@@ -148,16 +178,47 @@ def entities(text: Column) -> Column:
     return F.filter(trimmed, lambda e, i: F.array_position(F.transform(trimmed, lambda x: F.lower(x)), F.lower(e)) == i + 1)
 
 
+def entity_pairs(found: Column) -> Column:
+    """array<struct<a, b>>: each entity with the two after it."""
+    return F.flatten(F.transform(found, lambda a, i: F.transform(F.slice(found, i + 2, F.lit(2)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+
+
+def between(text: Column, a: Column, b: Column) -> Column:
+    """The text between the first places of two entities, whichever comes first, without blanks and punctuation at its ends."""
+    t = F.lower(text)
+    at, bt = F.position(F.lower(a), t), F.position(F.lower(b), t)
+    cut = F.when(at < bt, F.substring(text, at + F.length(a), bt - at - F.length(a))).otherwise(F.substring(text, bt + F.length(b), at - bt - F.length(b)))
+    return F.trim(F.trim(F.trim(cut), F.lit(".,;:!?-–—")))
+
+
+def _near(text: Column) -> Column:
+    """Pairs of entities at most two apart with the text between them, of one to five words, as candidate facts."""
+    with_words = F.transform(entity_pairs(entities(text)), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), between(text, p["a"], p["b"]).alias("w")))
+    some = F.filter(with_words, lambda p: (F.length(p["w"]) > 0) & (F.size(F.split(p["w"], r"\s+")) <= 5))
+    return F.transform(some, lambda p: F.struct(p["a"].alias("subject"), T.relation_predicate(p["w"]).alias("predicate"), p["b"].alias("object"), F.lit(0.6).alias("confidence")))
+
+
 def cooccurrences(df: DataFrame) -> DataFrame:
     """Pairs of entities at most two apart and the text between them, if it has one to five words, as candidate facts."""
-    found = df.select("seq", "text", F.posexplode(entities(F.col("text"))).alias("i", "a"), entities(F.col("text")).alias("every"))
-    pairs = found.select("seq", "text", "a", F.explode(F.slice(F.col("every"), F.col("i") + 2, F.lit(2))).alias("b"))
-    t = F.lower("text")
-    at, bt = F.position(F.lower("a"), t), F.position(F.lower("b"), t)
-    between = F.when(at < bt, F.substring("text", at + F.length("a"), bt - at - F.length("a"))).otherwise(F.substring("text", bt + F.length("b"), at - bt - F.length("b")))
-    between = F.trim(F.trim(F.trim(between), F.lit(".,;:!?-–—")))
-    pairs = pairs.withColumn("between", between).where((F.length("between") > 0) & (F.size(F.split("between", r"\s+")) <= 5))
-    return pairs.select("seq", F.col("a").alias("subject"), T.relation_predicate(F.col("between")).alias("predicate"), F.col("b").alias("object"), F.lit(0.6).alias("confidence"))
+    return rows(df, _near(F.col("text")))
+
+
+def _own(text: Column, user: Column) -> Column:
+    """What stands between the writer's "I" (or "I am", "I have", ...) and an entity after it, if it is one to four words, as candidate
+    facts on the user. "I" counts as a word of its own only."""
+    low = F.lower(text)
+    word = lambda m: r"(?<![a-z0-9_'])" + m + r"(?![a-z0-9_])"
+    marker = F.coalesce(*[F.when(low.rlike(word(m)), F.lit(m)) for m in SELF])
+    start = F.coalesce(*[F.when(marker == m, F.regexp_instr(low, F.lit(word(m)))) for m in SELF]) + F.length(marker)
+    found = F.transform(entities(text), lambda e: F.struct(e.alias("e"), F.trim(F.trim(F.trim(F.substring(text, start, F.position(F.lower(e), low) - start)), F.lit(".,;:!?-–—"))).alias("w")))
+    some = F.filter(found, lambda p: (F.length(p["w"]) > 0) & (F.size(F.split(p["w"], r"\s+")) <= 4))
+    facts = F.transform(some, lambda p: F.struct(user.alias("subject"), T.relation_predicate(p["w"]).alias("predicate"), p["e"].alias("object"), F.lit(0.7).alias("confidence")))
+    return F.when(marker.isNotNull(), facts).otherwise(F.array().cast(FACT))
+
+
+def self_references(df: DataFrame) -> DataFrame:
+    """Candidate facts of the user about themself."""
+    return rows(df, _own(F.col("text"), F.col("user_id")))
 
 
 def best_candidates(cands: DataFrame, least: float = 0.4, top: int = 10) -> DataFrame:
@@ -179,8 +240,7 @@ def corrected(cands: DataFrame, learned: DataFrame) -> DataFrame:
 def split_objects(df: DataFrame) -> DataFrame:
     """Lists in the object of multi-valued predicates (``Python, Go and Rust``) as one row an item, confidence times 0.9."""
     obj = F.trim("object")
-    skip = ("some", "a", "few", "i", "we", "our", "the", "my")
-    parts = F.filter(F.transform(F.split(obj, r",\s*(?:and\s+)?|\s+and\s+"), lambda p: F.trim(F.trim(p), F.lit(".,"))), lambda p: (F.length(p) > 1) & ~F.lower(p).isin(list(skip)))
+    parts = F.filter(F.transform(F.split(obj, r",\s*(?:and\s+)?|\s+and\s+"), lambda p: F.trim(F.trim(p), F.lit(".,"))), lambda p: (F.length(p) > 1) & ~F.lower(p).isin(list(NO_ITEMS)))
     words = F.split(obj, r"\s+")
     capital = (F.size(words) >= 2) & F.forall(words, lambda w: w.rlike("^[A-Z]"))
     listed = obj.rlike(", | and ")
@@ -189,12 +249,15 @@ def split_objects(df: DataFrame) -> DataFrame:
     return df.where(ok).select(*[c for c in df.columns if c not in ("object", "confidence")], F.explode(items).alias("object"), (F.col("confidence") * 0.9).alias("confidence"))
 
 
-def grammar_free(df: DataFrame) -> DataFrame:
-    """The extractor that a text's kind asks for, and entity pairs of sentences, ranked."""
-    typed = df.withColumn("kind", source_type(F.col("text")))
-    of = lambda *k: typed.where(F.col("kind").isin(*k))
-    parts = [key_values(of("kv_pairs")), signature(of("email_signature")), commits(of("commit")), social(of("social")), fragments(of("fragment")), resume(of("resume")), cooccurrences(of("sentence", "chat"))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return best_candidates(out)
+def grammar_free(df: DataFrame, learned: DataFrame | None = None) -> DataFrame:
+    """The extractor that a text's kind asks for, entity pairs and self-references of sentences; ``learned`` corrections; ranked.
+
+    One pass: the kind is found once and chooses among arrays of facts, of which a text makes one.
+    """
+    text, user, kind = F.col("text"), F.col("user_id"), F.col("kind")
+    typed = df.select("seq", "user_id", "text", source_type(text).alias("kind"))
+    none = F.array().cast(FACT)
+    made = F.when(kind == "kv_pairs", key_value_facts(text, user)).when(kind == "email_signature", signature_facts(text, user)).when(kind == "commit", commit_facts(text)).when(kind == "social", social_facts(text, user))
+    made = made.when(kind == "fragment", fragment_facts(text, user)).when(kind == "resume", resume_facts(text, user)).when(kind.isin("sentence", "chat"), F.concat(_near(text), _own(text, user)))
+    out = rows(typed, F.coalesce(made.cast(FACT), none))
+    return best_candidates(corrected(out, learned) if learned is not None else out)
