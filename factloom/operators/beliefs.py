@@ -92,8 +92,8 @@ def cross_scope(shared: DataFrame, private: DataFrame, identity: Identity = PERS
 
 
 def losses(facts: DataFrame, events: DataFrame, as_of: float) -> DataFrame:
-    """Ids of live possessions whose object is the subject of a loss event."""
-    lost = events.select(F.trim(F.lower("subject")).alias("gone")).where(~F.col("gone").isin("", "i", "we", "me", "us", "my")).distinct()
+    """Ids of live possessions whose object is the subject of a loss event (subject, predicate): "passed away" and its like."""
+    lost = events.where(F.col("predicate").isin(list(L.LOSS_PREDICATES))).select(F.trim(F.lower("subject")).alias("gone")).where(~F.col("gone").isin("", "i", "we", "me", "us", "my")).distinct()
     return live(facts, as_of).where(F.col("predicate").isin(list(L.POSSESSION))).join(lost, F.trim(F.lower("object_value")) == F.col("gone"), "left_semi").select("id")
 
 
@@ -118,6 +118,14 @@ def consolidate(facts: DataFrame, as_of: float, replay: DataFrame | None = None,
     return rows.withColumn("decayed", subject & faded).withColumn("new_state", F.when(subject & (faded | weak), "archived").otherwise(F.col("state")))
 
 
+def accessed(facts: DataFrame, uses: DataFrame, now: float) -> DataFrame:
+    """Fold uses (id[, at]) into access counts and times; a use without a time is of ``now``."""
+    at = F.coalesce(F.col("at").cast("double"), F.lit(now)) if "at" in uses.columns else F.lit(now)
+    sums = uses.groupBy(F.col("id").alias("_id")).agg(F.count("*").alias("_n"), F.max(at).alias("_at"))
+    both = facts.join(sums, F.col("id") == F.col("_id"), "left")
+    return both.withColumn("access_count", F.col("access_count") + F.coalesce("_n", F.lit(0))).withColumn("last_accessed", F.greatest("last_accessed", F.coalesce("_at", "last_accessed"))).drop("_id", "_n", "_at")
+
+
 def feedback(facts: DataFrame, votes: DataFrame) -> DataFrame:
     """Fold votes (id, helpful) into evidence, access and contradiction counts."""
     sums = votes.groupBy("id").agg(F.count_if("helpful").alias("_up"), F.count_if(~F.col("helpful")).alias("_down")).withColumnRenamed("id", "_id")
@@ -135,6 +143,20 @@ def set_state(facts: DataFrame, ids: DataFrame, state: str, now: float) -> DataF
     return both.withColumn("state", F.when(chosen, state).otherwise(F.col("state"))).withColumn("deleted_at", F.when(chosen, gone).otherwise(F.col("deleted_at"))).drop("_id")
 
 
+def fold_states(facts: DataFrame, changes: DataFrame) -> DataFrame:
+    """Facts after a log of changes (id, seq, state): the last one of each id counts; deletion notes its ``seq`` as its time."""
+    last = changes.groupBy(F.col("id").alias("_id")).agg(F.max_by("state", "seq").alias("_state"), F.max("seq").alias("_seq"))
+    both = facts.join(last, F.col("id") == F.col("_id"), "left")
+    gone = F.when(F.col("_state") == "deleted", F.col("_seq").cast("double")).when(F.col("_state").isNotNull(), None).otherwise(F.col("deleted_at"))
+    return both.withColumn("state", F.coalesce("_state", "state")).withColumn("deleted_at", gone).drop("_id", "_state", "_seq")
+
+
+def purge(facts: DataFrame, scope: str, owner: str) -> DataFrame:
+    """All but one tenant's facts."""
+    who = F.when(F.col("scope") == "private", F.col("user_id")).when(F.col("scope") == "shared", F.col("org_id")).otherwise(F.col("repo_id") if "repo_id" in facts.columns else F.lit(""))
+    return facts.where(~((F.col("scope") == scope) & (who == owner)))
+
+
 def hard_delete(facts: DataFrame, ids: DataFrame) -> DataFrame:
     return facts.join(ids.select(F.col(ids.columns[0]).alias("_id")), F.col("id") == F.col("_id"), "left_anti")
 

@@ -25,11 +25,11 @@ def injection_score(text: Column, similarity: Column | None = None) -> Column:
     return F.when(has_tag(text), 1.0).otherwise(similarity if similarity is not None else F.lit(0.0))
 
 
-def flag_writes(facts: DataFrame, similarity: Column | None = None) -> DataFrame:
-    """Injected texts keep their raw row only, marked suspicious; hedged ones too, at confidence .35 at most; facts whose
+def flag_writes(facts: DataFrame, similarity: Column | None = None, injections: bool = True, hedges: bool = True) -> DataFrame:
+    """``injections`` and ``hedges`` turn the two checks on. Injected texts keep their raw row only, marked suspicious; hedged ones too, at confidence .35 at most; facts whose
     subject reports someone's words go to the speaker, at .45 at most. Flags are kept as columns."""
-    bad = injection_score(F.col("source_text"), similarity) >= THRESHOLD
-    hedged = ~bad & is_hedged(F.col("source_text"))
+    bad = F.lit(injections) & (injection_score(F.col("source_text"), similarity) >= THRESHOLD)
+    hedged = F.lit(hedges) & ~bad & is_hedged(F.col("source_text"))
     who = T.speaker(F.col("subject"))
     out = facts.withColumn("suspicious", bad).withColumn("hypothetical", hedged).where(~(F.col("suspicious") | F.col("hypothetical")) | (F.col("predicate") == "stated"))
     out = out.withColumn("source_type", F.when(F.col("suspicious"), "suspicious").otherwise(F.col("source_type")))

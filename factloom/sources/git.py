@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
 import subprocess
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,6 +13,11 @@ COMMITS = "sha string, author string, date double, message string, files array<s
 RECORD, FIELD = "\x1e", "\x1f"
 
 
+def repo_id(path: str) -> str:
+    """The id of a repository on the driver, as ``functions.text.repo_id`` has it of the resolved path."""
+    return hashlib.sha256(os.path.realpath(path).encode()).hexdigest()[:16]
+
+
 def read_commits(spark: SparkSession, path: str, limit: int = 50) -> DataFrame:
     """The latest commits; a repository is read where the driver is, and ``limit`` bounds what it holds."""
     log = subprocess.run(["git", "-C", path, "log", f"-{limit}", f"--format={RECORD}%H{FIELD}%an{FIELD}%at{FIELD}%s", "--numstat"], capture_output=True, text=True, timeout=60)
