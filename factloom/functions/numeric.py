@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import lexicon as L
@@ -11,6 +13,15 @@ from ..schema import lookup
 DAY = 86400.0
 
 
+def age_days(at: Column, as_of: float) -> Column:
+    return (as_of - at) / DAY
+
+
+def linear_boost(similarity: Column) -> Column:
+    """0 under a similarity of .3, rising to 1 at .8."""
+    return F.when(similarity >= 0.3, F.least(F.lit(1.0), (similarity - 0.3) / 0.5)).otherwise(0.0)
+
+
 def posterior(confidence: Column, source_type: Column, evidence: Column, contradictions: Column) -> Column:
     """Mean of a Beta posterior whose prior weighs two observations by confidence and source."""
     w = confidence * F.coalesce(lookup(L.SOURCE_WEIGHTS, source_type), F.lit(0.7))
@@ -67,3 +78,9 @@ def hash_embedding(text: Column, dims: int = 384) -> Column:
     # The length is computed once a text: a one-element array carries it into the division.
     with_length = F.transform(F.array(raw), lambda r: F.struct(r.alias("v"), norm(r).alias("n")))
     return F.flatten(F.transform(with_length, lambda s: F.transform(s["v"], lambda x: F.when(s["n"] > 0, x / s["n"]).otherwise(x))))
+
+
+def embedded(df: DataFrame, text: str, name: str, embed: Callable[[Column], Column] = hash_embedding) -> DataFrame:
+    """``df`` with the embedding of its texts, made once for each distinct one."""
+    made = df.where(F.col(text).isNotNull()).select(F.col(text).alias("_text")).distinct().withColumn(name, embed(F.col("_text")))
+    return df.join(made, F.col(text) == F.col("_text"), "left").drop("_text")

@@ -115,6 +115,30 @@ def safe_scope_id(x: Column) -> Column:
     return F.when(F.length(x) == 0, F.raise_error(F.lit("scope id must not be empty"))).when(x.rlike("^[A-Za-z0-9_-]{1,63}$"), x).otherwise(F.substring(F.sha2(x.cast("binary"), 256), 1, 16))
 
 
+def repo_id(path: Column) -> Column:
+    """A repository's id: the first 16 hex digits of its path's SHA-256."""
+    return F.substring(F.sha2(path.cast("binary"), 256), 1, 16)
+
+
+def merged_metadata(metadata: Column, more: Column) -> Column:
+    """A JSON object with further keys (a map), which win; what is no JSON object counts as empty."""
+    old = F.coalesce(F.from_json(metadata, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    return F.to_json(F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(more, k)), more))
+
+
+def passing_date(text: Column, as_of: Column | float) -> Column:
+    """When something happened, by phrases like ``yesterday``, ``last month``, ``a few days ago``; null without one."""
+    as_of = F.lit(as_of) if isinstance(as_of, (int, float)) else as_of
+    t = F.lower(text)
+    word = lambda p: t.rlike(rf"(^|[^a-z0-9_])(?:{p})($|[^a-z0-9_])")
+    some = F.regexp_extract(t, r"(?:a\s+)?(few|couple)\s+(day|week|month)s?\s+ago", 1)
+    unit = F.regexp_extract(t, r"(?:a\s+)?(few|couple)\s+(day|week|month)s?\s+ago", 2)
+    back = F.when(F.length(some) > 0, F.when(some == "few", 3).otherwise(2) * lookup(L.DURATION_SECONDS, unit))
+    for phrase, days in L.DAYS_BACK.items():
+        back = F.coalesce(back, F.when(word(phrase.replace(" ", r"\s+")), F.lit(days * 86400)))
+    return as_of - F.coalesce(back, F.when(word(r"last\s+(?:night|monday|tuesday|wednesday|thursday|friday|saturday|sunday)"), F.lit(7 * 86400)))
+
+
 def triplet(subject: Column, predicate: Column, obj: Column, negated: Column) -> Column:
     return F.concat(subject, F.lit(" "), F.when(negated, "not ").otherwise(""), predicate, F.lit(" "), obj)
 

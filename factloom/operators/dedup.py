@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import numeric as N
 from ..schema import PERSONAL, Identity
 
 
@@ -15,12 +16,42 @@ def exact(facts: DataFrame) -> DataFrame:
     return facts.withColumn("_n", F.row_number().over(order)).where("_n > 1").drop("_n")
 
 
-def near(new: DataFrame, old: DataFrame, threshold: float = 0.92) -> DataFrame:
-    """(a, b, cosine): new facts and later ones of the same subject whose embeddings are that close."""
-    left = new.select(F.col("id").alias("a"), F.col("subject").alias("_s"), F.col("embedding").alias("_x"))
-    right = old.select(F.col("id").alias("b"), "subject", F.col("embedding").alias("_y"))
-    both = left.join(right, (F.col("_s") == F.col("subject")) & (F.col("a") < F.col("b")))
-    return both.withColumn("cosine", N.cosine(F.col("_x"), F.col("_y"))).where(F.col("cosine") >= threshold).select("a", "b", "cosine")
+def near(facts: DataFrame, threshold: float = 0.92, identity: Identity = PERSONAL, block: int = 1024) -> DataFrame:
+    """(a, b, cosine): facts of one subject, canonical predicate and polarity whose embeddings are that close, of multi-valued
+    predicates only; not those that say the same predicate of different objects. ``a`` is the smaller id.
+
+    A group is cut into blocks; each pair of blocks meets in one task as a matrix product, so none holds a whole group.
+    """
+    rows = facts.where((F.col("predicate") != "stated") & (F.size("embedding") > 0)).withColumn("_canon", identity.canon(F.col("predicate")))
+    rows = rows.where(~F.col("_canon").isin(list(identity.single_valued)))
+    group = ["subject", "_canon", "is_negation"]
+    sizes = rows.groupBy(*group).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    rows = rows.select("id", *group, "predicate", F.lower("object_value").alias("object"), F.col("embedding").cast("array<double>").alias("embedding"))
+    dealt = rows.join(sizes, group).withColumn("_at", F.pmod(F.xxhash64("id"), F.col("_blocks").cast("long")).cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    dealt = dealt.withColumn("_x", F.least("_at", "_other")).withColumn("_y", F.greatest("_at", "_other")).drop("_blocks", "_other")
+    kind = dict(rows.dtypes)["id"]
+
+    def compare(f: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        x, y = f[f["_at"] == f["_x"].iloc[0]], f[f["_at"] == f["_y"].iloc[0]]
+        for dims in set(x["embedding"].map(len)) & set(y["embedding"].map(len)):
+            left, right = (s[s["embedding"].map(len) == dims] for s in (x, y))
+            u, v = (_unit(np.stack(s["embedding"].to_list())) for s in (left, right))
+            cos = u @ v.T
+            i, j = np.nonzero(cos >= threshold)
+            for p, q in zip(i, j, strict=True):
+                a, b = left.iloc[p], right.iloc[q]
+                if (a["id"] < b["id"] or f["_x"].iloc[0] != f["_y"].iloc[0]) and a["id"] != b["id"] and not (a["predicate"] == b["predicate"] and a["object"] != b["object"]):
+                    out.append((min(a["id"], b["id"]), max(a["id"], b["id"]), cos[p, q]))
+        return pd.DataFrame(out, columns=["a", "b", "cosine"])
+
+    return dealt.groupBy(*group, "_x", "_y").applyInPandas(compare, f"a {kind}, b {kind}, cosine double")
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    size = np.sqrt((m * m).sum(1, keepdims=True))
+    return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
 
 def superseded_by(facts: DataFrame, identity: Identity = PERSONAL) -> DataFrame:
@@ -36,6 +67,15 @@ def cross_tool(facts: DataFrame, identity: Identity = PERSONAL) -> DataFrame:
     return keyed.groupBy("subject", "canon", "object", "is_negation").agg(F.count("*").alias("n"), F.countDistinct("source_type").alias("tools")).where("n > 1")
 
 
+def expired(facts: DataFrame, as_of: float) -> DataFrame:
+    """Facts that repeat (predicate, object, polarity) of an expired one of the same subject."""
+    old = facts.where(F.col("valid_until") <= as_of).select(*[F.col(c).alias(f"_{c}") for c in ("subject", "predicate", "object_value", "is_negation")], F.col("seq").alias("_seq"))
+    on = F.col("_seq") < F.col("seq")
+    for c in ("subject", "predicate", "object_value", "is_negation"):
+        on &= F.col(c) == F.col(f"_{c}")
+    return facts.join(old, on, "left_semi")
+
+
 def tiers(facts: DataFrame, identity: Identity = PERSONAL) -> DataFrame:
     """What each write meets among all earlier ones: ``exact``, else ``supersede``, else ``merge``, else ``new``."""
     rows = facts.withColumn("canon", identity.canon(F.col("predicate")))

@@ -44,11 +44,12 @@ def nearest_rank(df: DataFrame, key: str, value: str, tie: str, points: dict[str
 
 
 def accuracy(results: DataFrame, expected: DataFrame, top: int) -> DataFrame:
-    """(category, n, hits, share): questions with an expected word in the text of one of their first ``top`` results.
+    """(category, n, hits, share): questions with half of their expected words, at least one, in the text of their first ``top`` results.
 
     results: (query_id, rank, text); expected: (query_id, category, words).
     """
     near = results.where(F.col("rank") <= top).groupBy("query_id").agg(F.concat_ws(" ", F.collect_list(F.lower("text"))).alias("said"))
     both = expected.join(near, "query_id", "left")
-    hit = F.exists("words", lambda w: F.contains(F.coalesce("said", F.lit("")), F.lower(w)))
+    there = F.size(F.filter("words", lambda w: F.contains(F.coalesce("said", F.lit("")), F.lower(w))))
+    hit = (there > 0) & (there >= 0.5 * F.size("words"))
     return both.groupBy("category").agg(F.count("*").alias("n"), F.count_if(hit).alias("hits")).withColumn("share", F.col("hits") / F.col("n"))

@@ -5,6 +5,8 @@ A query batch is (query_id, text[, user_id]); every step is keyed by query_id, s
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,16 @@ from ..functions import numeric as N
 from ..functions import text as T
 from ..schema import PERSONAL, Identity, lookup
 
+#: Vectors of a block.
+BLOCK = 2048
+#: A query's candidates are pooled and ranked scope by scope, as each scope is a store of its own.
+POOL = ("query_id", "scope")
+# ---- fixed values: what questions about denials and about the past are like ----
+PROTOTYPES = {
+    "negation": "what doesn't the person like, dislike, hate, avoid, can't, not",
+    "past": "what did the person do before, previously, in the past, former, used to, earlier, prior history",
+}
+PAST_KEYWORDS = ("before", "previous", "previously", "formerly", "used to", "earlier", "prior", "ago", "past")
 CHANNELS = ("semantic", "keyword", "temporal", "belief", "frequency", "graph", "resonance")
 WEIGHTS = dict(zip(CHANNELS, (0.30, 0.15, 0.10, 0.15, 0.10, 0.10, 0.10), strict=True))
 
@@ -55,18 +67,40 @@ def intents(text: Column) -> dict[str, Column]:
     }
 
 
+def with_intents(queries: DataFrame, embed: Callable[[Column], Column]) -> DataFrame:
+    """Adds ``negation`` and ``past``: how near a question is to the prototypes of the two, by the embedding in use."""
+    for name, words in PROTOTYPES.items():
+        queries = queries.withColumn(name, N.cosine(embed(F.col("text")), embed(F.lit(words))))
+    return queries
+
+
+def negation_alignment(similarity: Column, negated: Column) -> Column:
+    """Boost of negated facts for questions near enough to the prototype."""
+    return F.when(negated & (similarity >= 0.35), F.least(F.lit(2.0), (similarity - 0.25) * 4)).otherwise(0.0)
+
+
+def past_alignment(text: Column, similarity: Column, negated: Column, state: Column) -> Column:
+    """Boost of negated and superseded facts for questions about the past, by keyword or by nearness to the prototype. (Facts about
+    the present are not demoted: only positive alignments count.)"""
+    keyword = T.contains_any(F.lower(text), PAST_KEYWORDS)
+    by_word = F.greatest(F.lit(1.5), F.least(F.lit(2.5), (similarity - 0.1) * 5))
+    by_sense = F.greatest(F.lit(0.5), F.least(F.lit(2.5), (similarity - 0.15) * 5))
+    asked = F.when(keyword, by_word).when(similarity >= 0.2, by_sense).otherwise(0.0)
+    return F.when(negated | (state == "superseded"), asked).otherwise(0.0)
+
+
 def target_predicates(text: Column) -> Column:
     """Predicates that the curated keywords in a query ask for."""
     q = F.lower(text)
     words = F.filter(T.ANY_OF(L.QUERY_PREDICATES), lambda k: F.contains(q, k))
-    return F.array_distinct(F.flatten(F.transform(words, lambda k: lookup({k: v.split() for k, v in L.QUERY_PREDICATES.items()}, k))))
+    return F.array_distinct(F.flatten(F.transform(words, lambda k: lookup(L.QUERY_PREDICATES, k))))
 
 
 def predicate_alignment(query: Column, predicate: Column, obj: Column, source: Column, similarity: Column | float = 0.0, identity: Identity = PERSONAL) -> Column:
     """Boost for predicates that answer the query. A curated keyword lifts its predicates to 2 and takes the similarity
     base from all others; words shared with the predicate or the text come on top as maxima; nothing is negative."""
     similarity = F.lit(similarity) if isinstance(similarity, (int, float)) else similarity
-    base = F.when(similarity >= 0.3, F.least(F.lit(1.0), (similarity - 0.3) / 0.5)).otherwise(0.0)
+    base = N.linear_boost(similarity)
     targets, content = target_predicates(query), T.content_words(query)
     on_axis = F.array_contains(targets, predicate) | F.array_contains(targets, identity.canon(predicate))
     score = F.when(F.size(targets) == 0, base).when(on_axis, F.greatest(base, F.lit(2.0))).otherwise(-0.5)
@@ -110,38 +144,43 @@ def entity_boost(query: Column, obj: Column, source: Column) -> Column:
 
 
 def pool(queries: DataFrame, facts: DataFrame, as_of: float, top_k: int = 20, vectors: DataFrame | None = None) -> DataFrame:
-    """Candidate pool of each query, in order of entry: keyword matches (5k), the nearest vectors, the newest superseded facts (k), the
-    facts last read (k, where fewer than k came in so far), the query user's own newest facts (50) and structured ones (2000).
+    """Candidate pool of each query and scope, in order of entry: keyword matches (5k), the nearest vectors, the newest superseded facts
+    (k), the facts last read (k, where fewer than k came in so far), the query user's own newest facts (50) and structured ones (2000).
 
     Superseded facts come in for temporal questions only, all others are live. Vectors take part where ``vectors`` (id, embedding) is
     given and ``queries`` has an ``embedding``; all live facts are compared. Keywords and users are equi-joins; of the newest only k
-    rows are left before they meet the queries. Columns of both sides, with ``cand_ord`` as the order of entry.
+    rows a scope are left before they meet the queries. Columns of both sides, with ``cand_ord`` as the order of entry.
     """
     flags = intents(F.col("text"))
-    rows, past = live_rows(facts, as_of), facts.where("state = 'superseded'")
-    asked = queries.select("query_id", flags["temporal"].alias("temporal"), F.explode(F.array_distinct(expanded_terms(F.col("text")))).alias("term")).where("length(term) >= 2").withColumn("prefix", F.substring("term", 1, 4))
-    starts = lambda terms, of: terms.join(postings(of), "prefix").where(F.startswith(F.col("token"), F.col("term"))).select("query_id", "id", "seq")
-    hits = starts(asked, rows).unionByName(starts(asked.where("temporal"), past)).distinct()
-    ordered = lambda df, *by: df.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(*by)))
-    branch = lambda df, src: df.select("query_id", "id", F.lit(src).alias("src"), "n")
+    temporal = flags["temporal"] | (F.coalesce("past", F.lit(0.0)) > 0.25) if "past" in queries.columns else flags["temporal"]
+    asked = queries.withColumn("_past", temporal)
+    rows = facts.where("state = 'superseded'").withColumn("_live", F.lit(False)).unionByName(live_rows(facts, as_of).withColumn("_live", F.lit(True)))
+    terms = asked.select("query_id", "_past", F.explode(F.array_distinct(expanded_terms(F.col("text")))).alias("term")).where("length(term) >= 2").withColumn("prefix", F.substring("term", 1, 4))
+    # Only tokens with a prefix that some term has are worth a posting; there are as many as terms.
+    wanted = terms.select("prefix").distinct()
+    index = postings(rows).join(wanted, "prefix", "left_semi").join(rows.select(F.col("id").alias("_i"), "scope", "_live"), F.col("id") == F.col("_i")).drop("_i")
+    hits = terms.join(index, "prefix").where(F.startswith(F.col("token"), F.col("term")) & (F.col("_live") | F.col("_past"))).select(*POOL, "id", "seq").distinct()
+    ordered = lambda df, *by: df.withColumn("n", F.row_number().over(Window.partitionBy(*POOL).orderBy(*by)))
+    branch = lambda df, src: df.select(*POOL, "id", F.lit(src).alias("src"), "n")
     found = branch(ordered(hits, "seq").where(F.col("n") <= 5 * top_k), 0)
+    live, past = rows.where("_live"), rows.where("not _live")
     if vectors is not None and "embedding" in queries.columns:
-        known = vectors.select("id", F.col("embedding").alias("_v")).join(rows.select("id"), "id")
-        near = known.join(F.broadcast(queries.select("query_id", F.col("embedding").alias("_e"))), F.lit(True)).withColumn("_s", N.cosine(F.col("_e"), F.col("_v"))).where("_s > 0")
-        found = found.unionByName(branch(ordered(near, F.col("_s").desc(), "id").where(F.col("n") <= max(min(3 * top_k, 25), top_k)), 1))
-    newest = lambda df, by: df.select("id", "seq", by).orderBy(F.col(by).desc(), F.col("seq").desc()).limit(top_k)
+        known = vectors.select("id", F.col("embedding").alias("v")).join(live.select("id", "scope"), "id")
+        near = vector_top_k(queries.select("query_id", F.col("embedding").alias("q")), known, max(min(3 * top_k, 25), top_k), ("scope",))
+        found = found.unionByName(near.select(*POOL, "id", F.lit(1).alias("src"), F.col("rank").alias("n")))
     by_time = lambda by: (F.col(by).desc(), F.col("seq").desc())
-    old = queries.where(flags["temporal"]).select("query_id").join(F.broadcast(newest(past, "updated_at")), F.lit(True))
-    found = found.unionByName(branch(ordered(old, *by_time("updated_at")), 2))
-    enough = found.groupBy("query_id").agg(F.countDistinct("id").alias("n")).where(F.col("n") >= top_k).select("query_id")
-    recent = queries.select("query_id").join(enough, "query_id", "left_anti").join(F.broadcast(newest(rows, "last_accessed")), F.lit(True))
-    found = found.unionByName(branch(ordered(recent, *by_time("last_accessed")), 3))
-    own = queries.where(flags["first_person"]).select("query_id", F.col("user_id").alias("_u")).join(rows.select("id", "seq", "subject", "predicate", "updated_at"), F.col("subject") == F.col("_u"))
+    newest = lambda df, by: df.select("id", "seq", "scope", by, F.row_number().over(Window.partitionBy("scope").orderBy(*by_time(by))).alias("n")).where(F.col("n") <= top_k)
+    # k rows a scope, of three scopes.
+    found = found.unionByName(branch(asked.where("_past").select("query_id").join(F.broadcast(newest(past, "updated_at")), F.lit(True)), 2))
+    enough = found.groupBy(*POOL).agg(F.countDistinct("id").alias("_n")).where(F.col("_n") >= top_k).select(*POOL)
+    recent = queries.select("query_id").join(F.broadcast(newest(live, "last_accessed")), F.lit(True)).join(enough, list(POOL), "left_anti")
+    found = found.unionByName(branch(recent, 3))
+    own = asked.where(flags["first_person"]).select("query_id", F.col("user_id").alias("_u")).join(live.select("id", "seq", "scope", "subject", "predicate", "updated_at"), F.col("subject") == F.col("_u"))
     for src, of, limit in ((4, own, 50), (5, own.where("predicate <> 'stated'"), 2000)):
         found = found.unionByName(branch(ordered(of, *by_time("updated_at")).where(F.col("n") <= limit), src))
-    first = found.groupBy("query_id", "id").agg(F.min(F.struct("src", "n")).alias("at"))
-    ranked = first.withColumn("cand_ord", F.row_number().over(Window.partitionBy("query_id").orderBy("at"))).select("query_id", F.col("id").alias("_id"), "cand_ord")
-    every = rows.unionByName(past).drop("embedding")
+    first = found.groupBy(*POOL, "id").agg(F.min(F.struct("src", "n")).alias("at"))
+    ranked = first.withColumn("cand_ord", F.row_number().over(Window.partitionBy("query_id").orderBy("scope", "at"))).select("query_id", F.col("id").alias("_id"), "cand_ord")
+    every = rows.drop("embedding", "_live")
     return ranked.join(every, F.col("_id") == F.col("id")).drop("_id").join(queries.withColumnRenamed("user_id", "asker"), "query_id")
 
 
@@ -153,7 +192,7 @@ def live_rows(facts: DataFrame, as_of: float) -> DataFrame:
 
 def channel_scores(cands: DataFrame, as_of: float, semantic: Column | None = None) -> DataFrame:
     """Raw channel columns; graph and resonance are joined by the caller where there are edges or traces."""
-    per = Window.partitionBy("query_id")
+    per = Window.partitionBy(*POOL)
     return cands.select(
         "*",
         (semantic if semantic is not None else F.lit(0.0)).alias("semantic"),
@@ -164,7 +203,7 @@ def channel_scores(cands: DataFrame, as_of: float, semantic: Column | None = Non
     )
 
 
-def fuse(cands: DataFrame, channels: tuple[str, ...] = CHANNELS, weights: dict[str, float] = WEIGHTS, key: tuple[str, ...] = ("query_id",), order: str = "cand_ord") -> DataFrame:
+def fuse(cands: DataFrame, channels: tuple[str, ...] = CHANNELS, weights: dict[str, float] = WEIGHTS, key: tuple[str, ...] = POOL, order: str = "cand_ord") -> DataFrame:
     """Weighted reciprocal-rank fusion: score = sum of w / (20 + rank + 1), rank from 0 among the rows a channel scores
     (those above 0), the number of such rows for the others; plus 0.05 times the semantic score."""
     parts, out = Window.partitionBy(*key), cands
@@ -178,19 +217,30 @@ def fuse(cands: DataFrame, channels: tuple[str, ...] = CHANNELS, weights: dict[s
 
 
 def boosted(cands: DataFrame, identity: Identity = PERSONAL) -> DataFrame:
-    """The multiplicative boosts on ``score`` that need no embedding."""
-    flags = intents(F.col("text"))
+    """The multiplicative boosts on ``score``. ``negation`` and ``past`` (``with_intents``), ``predicate_hint`` and ``subject_hint``, and
+    the facts' ``metadata`` (hedged, reported) take part where the columns are there."""
+    flags, have = intents(F.col("text")), set(cands.columns)
     text, pred, obj, src = F.col("text"), F.col("predicate"), F.col("object_value"), F.col("source_text")
+    near = lambda name: F.coalesce(F.col(name), F.lit(0.0)) if name in have else F.lit(0.0)
+    temporal = flags["temporal"] | (near("past") > 0.25)
     cands = cands.withColumn("_align", predicate_alignment(text, pred, obj, src, identity=identity))
     align = F.col("_align")
     factor = 1.0 + align
+    factor = factor * (1.0 + negation_alignment(near("negation"), F.col("is_negation")))
+    factor = factor * (1.0 + past_alignment(text, near("past"), F.col("is_negation"), F.col("state")))
     factor = factor * F.when(flags["broad"], 1 + 0.3 * F.least(F.col("evidence_count"), F.lit(5)) / 5).otherwise(1.0)
     factor = factor * F.when(pred == "stated", 0.75).otherwise(1.3)
-    factor = factor * F.when(F.col("state") == "superseded", F.when(flags["temporal"], 1.5).otherwise(0.1)).otherwise(1.0)
+    factor = factor * F.when(F.col("state") == "superseded", F.when(temporal, 1.5).otherwise(0.1)).otherwise(1.0)
+    if "metadata" in have:
+        noted = lambda key: F.coalesce(F.get_json_object("metadata", f"$.{key}"), F.lit("")).isin("", "false") == F.lit(False)
+        factor = factor * F.when(noted("hypothetical"), 0.4).otherwise(1.0) * F.when(noted("source_speaker"), 0.6).otherwise(1.0)
     factor = factor * (1.0 + subject_alignment(text, F.col("asker"), F.col("subject"), obj, src))
     factor = factor * F.when(pred.isin(list(L.GENERIC_PREDICATES)) & (flags["specific"] | (align > 0)), 0.5).otherwise(1.0)
     factor = factor * (1.0 + entity_boost(text, obj, src))
     factor = factor * F.when(flags["company"] & (F.col("scope") == "shared"), 1.8).otherwise(1.0)
+    hint = lambda name: F.col(name) if name in have else F.lit(None).cast("string")
+    subject = F.when(F.lower(hint("subject_hint")) == "user", F.col("asker")).otherwise(hint("subject_hint"))
+    factor = factor * hints(hint("predicate_hint"), subject, identity)
     return cands.withColumn("score", F.col("score") * factor).drop("_align")
 
 
@@ -219,7 +269,8 @@ def certainty(ranked: DataFrame, threshold: float = 0.15, key: str = "query_id")
 
 
 def recall(queries: DataFrame, facts: DataFrame, as_of: float, top_k: int = 20, edges: DataFrame | None = None, traces: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
-    """The whole of retrieval: pool, channels, fusion, boosts, diversity. The graph, resonance and semantic channels are 0 without
+    """The whole of retrieval: pool, channels, fusion, boosts, diversity. ``queries`` (query_id, user_id, text) may have
+    hints and intents, see ``boosted``. The graph, resonance and semantic channels are 0 without
     ``edges``, ``traces`` (a, b, n) and ``vectors`` (id, embedding; ``queries`` then has an ``embedding`` too)."""
     cands, semantic = pool(queries, facts, as_of, top_k, vectors), None
     if vectors is not None and "embedding" in queries.columns:
@@ -246,11 +297,62 @@ def recall(queries: DataFrame, facts: DataFrame, as_of: float, top_k: int = 20,
     return diversify(boosted(fuse(cands)), top_k)
 
 
-def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Exact cosine top-k of each query vector (query_id, q) over all vectors (id, v), similarity above 0.
+def packed_vectors(rows: DataFrame, names: list[str], vector: str, block: int) -> DataFrame:
+    """Unit vectors of one length, ``block`` rows of a task as one: dims, matrix (float64, packed), and an array of each of ``names``.
+    Null, empty and zero vectors are left out."""
+    import numpy as np
+    import pandas as pd
+
+    kinds = dict(rows.dtypes)
+    schema = "dims int, matrix binary, " + ", ".join(f"{c} array<{kinds[c]}>" for c in names)
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            sizes = f[vector].map(len)
+            for dims in sorted(sizes.unique()):
+                same = f[sizes == dims]
+                for at in range(0, len(same), block):
+                    part = same.iloc[at : at + block]
+                    m = np.stack([np.asarray(v, np.float64) for v in part[vector]])
+                    length = np.sqrt((m * m).sum(1))
+                    ok = length > 0
+                    if ok.any():
+                        yield pd.DataFrame([{"dims": int(dims), "matrix": (m[ok] / length[ok, None]).tobytes(), **{c: part[c][ok].tolist() for c in names}}])
+
+    return rows.where(F.size(vector) > 0).select(*names, vector).mapInPandas(pack, schema)
+
+
+def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, per: tuple[str, ...] = ()) -> DataFrame:
+    """Exact cosine top-k of each query vector (query_id, q) over all vectors (id, v[, per]), similarity above 0 and not of a
+    query with itself: (query_id, *per, id, similarity, rank).
 
-    Query batches are small against the vectors; Spark picks the join, and partial top-k runs before the exchange.
+    Unit vectors are made once and packed in blocks of some thousand. Each block of queries meets each block of vectors as one
+    matrix product, of which the best k of a query are handed on: what is joined is blocks, never pairs of rows.
     """
-    sims = vectors.join(queries, F.col("id") != F.col("query_id")).withColumn("similarity", N.cosine(F.col("q"), F.col("v"))).where("similarity > 0")
-    order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "id")
-    return sims.select("query_id", "id", "similarity").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    import numpy as np
+    import pandas as pd
+
+    kinds = dict(vectors.dtypes)
+    asked = packed_vectors(queries, ["query_id"], "q", BLOCK).select("dims", F.col("matrix").alias("asked"), "query_id")
+    known = packed_vectors(vectors, ["id", *per], "v", BLOCK)
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, " + "".join(f"{c} {kinds[c]}, " for c in per) + f"id {kinds['id']}, similarity double"
+
+    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for x in f.to_dict("records"):
+                sims = np.frombuffer(x["asked"]).reshape(-1, x["dims"]) @ np.frombuffer(x["matrix"]).reshape(-1, x["dims"]).T
+                rows = pd.DataFrame({c: list(x[c]) for c in (*per, "id")})
+                for q, row in zip(x["query_id"], sims, strict=True):
+                    row = np.where(rows["id"].to_numpy() == q, 0.0, row)
+                    # Ties at the k-th place all stay; the rank below decides between them.
+                    groups = rows.groupby(list(per), sort=False).indices.values() if per else [np.arange(len(row))]
+                    for at in groups:
+                        mine = row[at]
+                        least = np.partition(mine, -k)[-k] if len(mine) > k else 0.0
+                        chosen = at[(mine > 0) & (mine >= least)]
+                        if len(chosen):
+                            yield rows.iloc[chosen].assign(query_id=q, similarity=row[chosen])[["query_id", *per, "id", "similarity"]]
+
+    sims = known.join(asked, "dims").mapInPandas(best, schema)
+    order = Window.partitionBy("query_id", *per).orderBy(F.col("similarity").desc(), "id")
+    return sims.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

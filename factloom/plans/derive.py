@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: 2024-02-01 00:00 UTC, as epoch seconds.
 AS_OF = 1706745600.0
@@ -71,6 +72,12 @@ def questions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(QUESTIONS), "query_id int, user_id string, text string")
 
 
+def each_question(rows: DataFrame) -> DataFrame:
+    """Every row under every question of the fixed list: an array of literals beside it, so there is no join."""
+    asks = F.array(*[F.struct(F.lit(q).alias("query_id"), F.lit(u).alias("user_id"), F.lit(t).alias("text")) for q, u, t in QUESTIONS])
+    return rows.drop("user_id").select("*", F.explode(asks).alias("_ask")).select("*", "_ask.*").drop("_ask")
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """customer -> nation -> region <- nation <- supplier."""
     t = lambda n: table(spark, sf_dir, n)

@@ -13,21 +13,23 @@ from ..operators import extract as X
 from ..operators import graph as G
 from ..operators import retrieval as R
 from ..schema import PERSONAL, lookup
-from .derive import AS_OF, duck, edges, facts, questions, table, utterances
+from .derive import AS_OF, duck, each_question, edges, facts, questions, table, utterances
 from .suite import _RANKED, _TARGETS, SQL_CANON, SQL_LIVE, SQL_POST, query, six, sql_tokens, texts
 
 _KEY = "subject, predicate, object_value, is_negation"
 
 
-@query("w02_access_bump", duck("facts", "SELECT concat('f', event_id // 4) AS id, count(*) AS accesses, max(epoch_us(ts) / 1e6) AS last_accessed FROM events GROUP BY 1"))
+@query("w02_access_bump", duck("facts", "SELECT id, access_count + coalesce(n, 0) AS access_count, greatest(last_accessed, coalesce(t, last_accessed)) AS last_accessed FROM facts LEFT JOIN (SELECT concat('f', event_id // 4) AS i, count(*) AS n, max(epoch_us(ts) / 1e6) AS t FROM events GROUP BY 1) ON id = i"))
 def _(spark, sf):
-    seen = facts(spark, sf).select(F.expr("concat('f', seq div 4)").alias("id"), "updated_at")
-    return seen.groupBy("id").agg(F.count("*").alias("accesses"), F.max("updated_at").alias("last_accessed"))
+    f = facts(spark, sf)
+    return B.accessed(f, f.select(F.expr("concat('f', seq div 4)").alias("id"), F.col("updated_at").alias("at")), AS_OF).select("id", "access_count", "last_accessed")
 
 
-@query("w04_state_fold", duck("facts", f"SELECT {_KEY}, arg_max(state, seq) AS state FROM facts GROUP BY {_KEY}"))
+@query("w04_state_fold", duck("facts", "SELECT id, coalesce(s, state) AS state, CASE WHEN s = 'deleted' THEN CAST(q AS DOUBLE) WHEN s IS NOT NULL THEN NULL ELSE deleted_at END AS deleted_at FROM facts LEFT JOIN (SELECT concat('f', event_id // 3) AS i, arg_max(CASE event_id % 3 WHEN 0 THEN 'deleted' WHEN 1 THEN 'archived' ELSE 'active' END, event_id) AS s, max(event_id) AS q FROM events WHERE event_id % 3 < 2 OR event_id % 2 = 0 GROUP BY 1) ON id = i"))
 def _(spark, sf):
-    return facts(spark, sf).groupBy(*_KEY.split(", ")).agg(F.max_by("state", "seq").alias("state"))
+    change = "CASE seq % 3 WHEN 0 THEN 'deleted' WHEN 1 THEN 'archived' ELSE 'active' END AS state"
+    log = facts(spark, sf).where("seq % 3 < 2 or seq % 2 = 0").selectExpr("concat('f', seq div 3) AS id", "seq", change)
+    return B.fold_states(facts(spark, sf), log).select("id", "state", "deleted_at")
 
 
 @query("w11_forget_subject", duck("facts", f"SELECT state, count(*) AS n FROM (SELECT CASE WHEN subject = 'u3' AND predicate = 'likes' THEN 'deleted' ELSE state END AS state FROM facts) GROUP BY 1"))
@@ -36,14 +38,29 @@ def _(spark, sf):
     return B.set_state(f, f.where("subject = 'u3' and predicate = 'likes'").select("id"), "deleted", AS_OF).groupBy("state").agg(F.count("*").alias("n"))
 
 
-@query("w12_purge_tenant", duck("facts", "SELECT user_id, count(*) AS n FROM facts WHERE user_id <> 'u3' GROUP BY 1"))
+@query("w12_purge_tenant", duck("facts", "SELECT scope, user_id, count(*) AS n FROM facts WHERE NOT (scope = 'private' AND user_id = 'u3') GROUP BY ALL"))
+def _(spark, sf):
+    return B.purge(facts(spark, sf), "private", "u3").groupBy("scope", "user_id").agg(F.count("*").alias("n"))
+
+
+@query("w15_llm_facts", duck("facts", "SELECT seq, CASE WHEN s IS NULL OR s = '' OR lower(trim(s)) = 'user' THEN user_id ELSE trim(s) END AS subject, p AS predicate, o AS object_value, coalesce(c, 0.9) AS confidence FROM (SELECT event_id AS seq, concat('u', user_id) AS user_id, CASE event_id % 4 WHEN 0 THEN 'User' WHEN 1 THEN NULL WHEN 2 THEN ' Ana ' ELSE '' END AS s, CASE event_id % 5 WHEN 0 THEN '' ELSE 'works_at' END AS p, CASE event_id % 7 WHEN 0 THEN ' ' ELSE event_type END AS o, CASE WHEN event_id % 3 = 0 THEN 0.5::DOUBLE END AS c FROM events) WHERE p <> '' AND trim(o) <> ''"))
 def _(spark, sf):
-    return facts(spark, sf).where("user_id <> 'u3'").groupBy("user_id").agg(F.count("*").alias("n"))
+    from ..session import llm_facts
+
+    e = table(spark, sf, "events").selectExpr(
+        "event_id AS seq", "concat('u', user_id) AS user_id", "'words' AS text",
+        "array(struct(CASE event_id % 4 WHEN 0 THEN 'User' WHEN 1 THEN NULL WHEN 2 THEN ' Ana ' ELSE '' END AS subject, CASE event_id % 5 WHEN 0 THEN '' ELSE 'Works At' END AS predicate, CASE event_id % 7 WHEN 0 THEN ' ' ELSE event_type END AS object, CASE WHEN event_id % 3 = 0 THEN 0.5D END AS confidence)) AS facts",
+    )
+    return llm_facts(e).where("predicate <> 'stated'").select("seq", "subject", "predicate", "object_value", "confidence")
 
 
-@query("w24_provenance", duck("facts", f"SELECT {_KEY}, count(*) AS records, array_to_string(list_sort(list_distinct(list(source_type))), ',') AS tools FROM facts GROUP BY {_KEY}"))
+@query("w24_provenance", duck("facts", f"SELECT {_KEY}, count(*) AS records FROM facts WHERE seq % 2 = 1 AND predicate = 'stated' GROUP BY {_KEY}, scope, CASE scope WHEN 'private' THEN user_id ELSE org_id END"))
 def _(spark, sf):
-    return facts(spark, sf).groupBy(*_KEY.split(", ")).agg(F.count("*").alias("records"), F.array_join(F.array_sort(F.collect_set("source_type")), ",").alias("tools"))
+    from .suite import _written
+
+    kept, log = _written(spark, sf)
+    per = log.where("predicate = 'stated'").groupBy("fact_id").agg(F.count("*").alias("records"))
+    return per.join(kept, F.col("fact_id") == F.col("id")).select(*_KEY.split(", "), "records")
 
 
 @query("k11_degree_cap", duck("edges", "SELECT seed, node, rank FROM (SELECT seed, node, row_number() OVER (PARTITION BY seed ORDER BY degree DESC, node) AS rank FROM near JOIN (SELECT src AS n, count(*) AS degree FROM both_ways GROUP BY 1) ON n = node) WHERE rank <= 5", "both_ways AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges)), near AS (SELECT DISTINCT seed, node FROM (SELECT b1.src AS seed, b1.dst AS node FROM both_ways b1 UNION ALL SELECT b1.src, b2.dst FROM both_ways b1 JOIN both_ways b2 ON b1.dst = b2.src) WHERE seed IN ('n3', 'r1') AND node <> seed)"))
@@ -116,14 +133,14 @@ def _(spark, sf):
     return docs.select("item_id", F.array_join(stems(F.col("t")), " ").alias("stems"))
 
 
-@query("f11_relation_predicate", None)
+@query("f11_relation_predicate", duck("utter", "SELECT seq, coalesce(nullif(trim(regexp_replace(regexp_replace(regexp_replace(" + f"s{len(L.RELATION_PREFIXES)}" + ", '\\s+', '_', 'g'), '[^a-z0-9_]', '', 'g'), '_+', '_', 'g'), '_'), ''), 'related_to') AS predicate FROM " + f"f{len(L.RELATION_PREFIXES)}", "f0 AS (SELECT seq, lower(trim(text)) AS s0 FROM utter), " + ", ".join(f"f{i + 1} AS (SELECT seq, CASE WHEN starts_with(s{i}, '{p}') THEN s{i}[{len(p) + 1}:] ELSE s{i} END AS s{i + 1} FROM f{i})" for i, p in enumerate(L.RELATION_PREFIXES))))
 def _(spark, sf):
     return utterances(spark, sf).select("seq", T.relation_predicate(F.col("text")).alias("predicate"))
 
 
 @query("f13_repo_id", duck("utter", "SELECT seq, sha256(concat('/srv/', user_id))[1:16] AS repo_id FROM utter"))
 def _(spark, sf):
-    return utterances(spark, sf).select("seq", F.substring(F.sha2(F.concat(F.lit("/srv/"), F.col("user_id")).cast("binary"), 256), 1, 16).alias("repo_id"))
+    return utterances(spark, sf).select("seq", T.repo_id(F.concat(F.lit("/srv/"), F.col("user_id"))).alias("repo_id"))
 
 
 @query("f18_truncate", "SELECT doc_id, length(text[1:500]) AS n, text[1:50] AS head FROM documents")
@@ -138,7 +155,7 @@ def _(spark, sf):
 
 @query("t03_age_days", duck("facts", f"SELECT id, round(({AS_OF} - created_at) / 86400.0, 6) AS age_days FROM facts"))
 def _(spark, sf):
-    return facts(spark, sf).select("id", six((AS_OF - F.col("created_at")) / N.DAY, "age_days"))
+    return facts(spark, sf).select("id", six(N.age_days(F.col("created_at"), AS_OF), "age_days"))
 
 
 @query("m07_fan", duck("edges", "SELECT src, round(1.0 / log2(count(*) + 2.0), 6) AS fan FROM edges GROUP BY 1"))
@@ -146,12 +163,12 @@ def _(spark, sf):
     return edges(spark, sf).groupBy("src").agg(F.count("*").alias("n")).select("src", six(N.fan(F.col("n")), "fan"))
 
 
-@query("m10_linear_map", "SELECT a.vec_id AS id, round(CASE WHEN s >= 0.3 THEN least(1.0, (s - 0.3) / 0.5) ELSE 0.0 END, 6) AS base FROM (SELECT a.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON b.vec_id = 0) a")
+@query("m10_linear_map", "SELECT a.vec_id AS id, round(CASE WHEN s >= 0.3 THEN least(1.0, (s - 0.3) / 0.5) ELSE 0.0 END, 6) AS base FROM (SELECT a.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1) a")
 def _(spark, sf):
     v = table(spark, sf, "embeddings")
-    one = v.where("vec_id = 0").select(F.col("embedding").alias("q"))
-    s = v.join(F.broadcast(one), F.lit(True)).select(F.col("vec_id").alias("id"), N.cosine(F.col("embedding"), F.col("q")).alias("s"))
-    return s.select("id", six(F.when(F.col("s") >= 0.3, F.least(F.lit(1.0), (F.col("s") - 0.3) / 0.5)).otherwise(0.0), "base"))
+    one = v.select((F.col("vec_id") - 1).alias("_id"), F.col("embedding").alias("q"))
+    s = v.join(one, F.col("vec_id") == F.col("_id")).select(F.col("vec_id").alias("id"), N.cosine(F.col("embedding"), F.col("q")).alias("s"))
+    return s.select("id", six(N.linear_boost(F.col("s")), "base"))
 
 
 @query("y01_ordered_dedupe", duck("utter", "SELECT seq, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ' ') AS words FROM (SELECT seq, string_split(lower(text), ' ') AS w FROM utter)"))
@@ -159,11 +176,12 @@ def _(spark, sf):
     return utterances(spark, sf).select("seq", F.array_join(F.array_distinct(F.split(F.lower("text"), " ")), " ").alias("words"))
 
 
-@query("y02_entity_pairs", duck("utter", "SELECT seq, w[i] AS a, w[j] AS b FROM (SELECT seq, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT seq, list_distinct(string_split(text, ' ')) AS d, string_split(text, ' ') AS w FROM utter WHERE seq % 10 = 3)), (VALUES (1), (2)) s(k), LATERAL (SELECT i + k AS j) WHERE j <= len(w)"))
+_ENTITIES = f"""list_transform(list_concat(list_filter(regexp_extract_all(text, '(^|[^A-Za-z0-9_])([A-Z][a-zA-Z]*(?:\\s+[A-Z][a-zA-Z]*)*)', 2), lambda x: length(x) > 1 AND lower(x) NOT IN ({texts(L.FIRST_PERSON_CONTRACTED)})), regexp_extract_all(text, '"([^"]+)"', 1), list_filter(regexp_extract_all(text, '\'\'([^\'\']+)\'\'', 1), lambda x: length(x) > 1), regexp_extract_all(text, '(^|[^A-Za-z0-9_])([a-z]+(?:[A-Z][a-z]+)+)', 2), regexp_extract_all(text, '(^|[^A-Za-z0-9_])([a-z]+(?:_[a-z]+)+)', 2)), lambda x: trim(x))"""
+
+
+@query("y02_entity_pairs", duck("utter", "SELECT seq, e[i] AS a, e[j] AS b FROM (SELECT seq, e, unnest(range(1, len(e) + 1)) AS i FROM (SELECT seq, list_filter(e, lambda x, i: list_position(list_transform(e, lambda y: lower(y)), lower(x)) = i) AS e FROM (SELECT seq, " + _ENTITIES + " AS e FROM utter))), (VALUES (1), (2)) s(k), LATERAL (SELECT i + k AS j) WHERE j <= len(e)"))
 def _(spark, sf):
-    w = utterances(spark, sf).where("seq % 10 = 3").select("seq", F.split("text", " ").alias("w"))
-    first = w.select("seq", "w", F.posexplode("w").alias("i", "a"))
-    return first.select("seq", "a", F.explode(F.slice(F.col("w"), F.col("i") + 2, F.lit(2))).alias("b"))
+    return utterances(spark, sf).select("seq", F.explode(X.entity_pairs(X.entities(F.col("text")))).alias("p")).select("seq", "p.a", "p.b")
 
 
 @query("y05_json_tolerant", duck("facts", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"))
@@ -171,17 +189,24 @@ def _(spark, sf):
     return table(spark, sf, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query("y06_metadata_merge", duck("facts", "SELECT id, concat('{\"k\":\"', id, '\",\"hypothetical\":\"true\"}') AS metadata FROM facts"))
+@query("y06_metadata_merge", duck("facts", "SELECT id, CASE seq % 3 WHEN 0 THEN concat('{\"k\":\"', id, '\",\"hypothetical\":\"true\"}') ELSE '{\"hypothetical\":\"true\"}' END AS metadata FROM facts"))
+def _(spark, sf):
+    old = F.when(F.col("seq") % 3 == 0, F.concat(F.lit('{"k":"'), F.col("id"), F.lit('","hypothetical":"false"}'))).when(F.col("seq") % 3 == 1, "{bad").otherwise("[1]")
+    return facts(spark, sf).select("id", T.merged_metadata(old, F.create_map(F.lit("hypothetical"), F.lit("true"))).alias("metadata"))
+
+
+@query("r10_r11_past_alignment", duck("facts asks", f"SELECT query_id, id, CASE WHEN NOT (f.is_negation OR f.state = 'superseded') THEN 0.0 WHEN len(list_filter([{texts(R.PAST_KEYWORDS)}], lambda k: contains(lower(q.text), k))) > 0 THEN greatest(1.5, least(2.5, (s - 0.1) * 5)) WHEN s >= 0.2 THEN greatest(0.5, least(2.5, (s - 0.15) * 5)) ELSE 0.0 END::DOUBLE AS past, CASE WHEN f.is_negation AND s >= 0.35 THEN least(2.0, (s - 0.25) * 4) ELSE 0.0 END::DOUBLE AS negation FROM (SELECT *, query_id / 12.0 AS s FROM asks) q, facts f"))
 def _(spark, sf):
-    merged = F.map_concat(F.create_map(F.lit("k"), F.col("id")), F.create_map(F.lit("hypothetical"), F.lit("true")))
-    return facts(spark, sf).select("id", F.to_json(merged).alias("metadata"))
+    # Stands for a similarity to the prototypes.
+    near = F.col("query_id") / 12.0
+    c = each_question(facts(spark, sf))
+    return c.select("query_id", "id", R.past_alignment(F.col("text"), near, F.col("is_negation"), F.col("state")).alias("past"), R.negation_alignment(near, F.col("is_negation")).alias("negation"))
 
 
-@query("r10_r11_past_alignment", duck("facts asks", f"SELECT query_id, id, CASE WHEN f.is_negation OR f.state = 'superseded' THEN 1.5 ELSE 0.0 END::DOUBLE AS boost FROM asks q, facts f WHERE f.seq % 50 = 0 AND regexp_matches(lower(q.text), '{'|'.join(L.TEMPORAL_KEYWORDS[:9])}')"))
+@query("t02_passing_date", duck("utter", f"SELECT seq, CASE WHEN seq % 6 = 0 THEN {AS_OF} - 86400 WHEN seq % 6 = 1 THEN {AS_OF} - 30 * 86400 WHEN seq % 6 = 2 THEN {AS_OF} - 3 * 86400 WHEN seq % 6 = 3 THEN {AS_OF} - 2 * 2592000 WHEN seq % 6 = 4 THEN {AS_OF} - 7 * 86400 END AS at FROM utter"))
 def _(spark, sf):
-    past = T.contains_any(F.lower("text"), L.TEMPORAL_KEYWORDS[:9])
-    cands = facts(spark, sf).where("seq % 50 = 0").drop("user_id").join(F.broadcast(questions(spark).where(past)), F.lit(True))
-    return cands.select("query_id", "id", F.when(F.col("is_negation") | (F.col("state") == "superseded"), 1.5).otherwise(0.0).alias("boost"))
+    phrases = F.array(*[F.lit(x) for x in ("I left yesterday", "moved Last  month", "a few days ago we met", "couple months ago", "last friday it rained", "I live in Rome at last")])
+    return utterances(spark, sf).select("seq", T.passing_date(phrases[(F.col("seq") % 6).cast("int")], AS_OF).alias("at"))
 
 
 @query("r15_hints", duck("facts", f"SELECT id, CASE WHEN predicate = 'lives_in' OR {SQL_CANON} = 'lives_in' THEN 3.0 ELSE 1.0 END::DOUBLE * CASE WHEN subject = 'u3' THEN 2.0 ELSE 1.0 END::DOUBLE AS factor FROM facts"))

@@ -16,7 +16,7 @@ from ..operators import graph as G
 from ..operators import retrieval as R
 from ..operators import safety as S
 from ..schema import PERSONAL
-from .derive import AS_OF, duck, edges, facts, questions, table, utterances
+from .derive import AS_OF, duck, each_question, edges, facts, questions, table, utterances
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,6 +60,7 @@ def six(c, name: str):  # noqa: ANN001, ANN201
 SQL_LIVE = f"state = 'active' AND (valid_until IS NULL OR valid_until > {AS_OF})"
 _W = "confidence * " + mapped("source_type", L.SOURCE_WEIGHTS, "0.7")
 SQL_POST = f"(({_W}) * 2 + evidence_count) / (({_W}) * 2 + evidence_count + (1 - ({_W})) * 2 + contradiction_count)"
+PLAIN_LIVE = SQL_LIVE + " AND seq % 2 = 0"
 SQL_CANON = mapped("predicate", L.PERSONAL_ALIASES, "predicate")
 SQL_SINGLE = f"({SQL_CANON}) IN ({texts(L.PERSONAL_SINGLE)})"
 SQL_DECAY = mapped(f"({SQL_CANON})", L.PERSONAL_DECAY, "0.3")
@@ -296,9 +297,10 @@ def _(spark, sf):
 
 
 @query("m02_hash_embedding", duck("utter", """SELECT seq, round(v[1] / n, 6) AS first, round(v[384] / n, 6) AS last, round(list_sum(v) / n, 5) AS total FROM (SELECT seq, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM (
-SELECT seq, flatten(list_transform(range(0, 384, 8), lambda i: list_transform(range(8), lambda k: CAST(concat('0x', sha256(encode(text) || unhex(lpad(hex(i), 8, '0')))[1 + 2 * k : 2 + 2 * k]) AS INT) / 127.5 - 1))) AS v FROM utter WHERE seq % 10 = 3))"""))
+SELECT seq, flatten(list_transform(range(0, 384, 8), lambda i: list_transform(range(8), lambda k: CAST(concat('0x', sha256(encode(text) || unhex(lpad(hex(i), 8, '0')))[1 + 2 * k : 2 + 2 * k]) AS INT) / 127.5 - 1))) AS v FROM utter))"""))
 def _(spark, sf):
-    e = utterances(spark, sf).where("seq % 10 = 3").select("seq", N.hash_embedding(F.col("text")).alias("v"))
+    # The same few texts come again and again: each is embedded once.
+    e = N.embedded(utterances(spark, sf).select("seq", "text"), "text", "v")
     return e.select("seq", six(F.col("v")[0], "first"), six(F.col("v")[383], "last"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
 
 
@@ -391,6 +393,46 @@ def _(spark, sf):
     return merged.groupBy("state").agg(F.count("*").alias("n"), F.sum("evidence_count").alias("evidence"))
 
 
+#: Old facts are the even events, writes the odd ones, a day after all of them.
+_OLD = "SELECT *, '' AS repo_id, updated_at AS moment, false AS fresh FROM facts WHERE seq % 2 = 0"
+_NEW = f"SELECT * REPLACE ('active' AS state, NULL::DOUBLE AS valid_until, {AS_OF} + 86400 + seq / 1e6 AS updated_at), '' AS repo_id, {AS_OF} + 86400 + seq / 1e6 AS moment, true AS fresh FROM facts WHERE seq % 2 = 1"
+_SLOT = "{a}.scope = {b}.scope AND {a}.own = {b}.own AND {a}.subject = {b}.subject AND {a}.canon = {b}.canon"
+#: Definitions by look-up, one for each rule: a fact begins a value (or a sign) if the last sure one before it in its slot had another; a
+#: fact is gone at the first later beginning of something else; a write repeats if the fact before it in its group is still there.
+_SETTLE = f"""every AS (SELECT *, CASE scope WHEN 'private' THEN user_id ELSE org_id END AS own, {SQL_CANON} AS canon, {SQL_SINGLE} AS single FROM ({_OLD} UNION ALL {_NEW}) WHERE predicate <> 'stated'),
+live AS (SELECT *, CASE WHEN single THEN object_value ELSE lower(object_value) END AS form FROM every WHERE fresh OR (state = 'active' AND (valid_until IS NULL OR valid_until > {AS_OF}))),
+v AS (SELECT *, fresh AND NOT is_negation AND single AND (said IS NULL OR said <> object_value) AS begins_v FROM (SELECT l.*, (SELECT arg_max(p.object_value, p.moment) FROM live p WHERE {_SLOT.format(a="p", b="l")} AND p.moment < l.moment AND NOT p.is_negation) AS said FROM live l)),
+w AS (SELECT *, fresh AND (sign IS NULL OR sign <> is_negation) AS begins_s FROM (SELECT l.*, (SELECT arg_max(p.is_negation, p.moment) FROM v p WHERE {_SLOT.format(a="p", b="l")} AND p.object_value = l.object_value AND p.moment < l.moment) AS sign FROM v l)),
+g AS (SELECT l.*, least((SELECT min(n.moment) FROM w n WHERE {_SLOT.format(a="n", b="l")} AND n.begins_v AND n.moment > l.moment AND n.object_value <> l.object_value), (SELECT min(n.moment) FROM w n WHERE {_SLOT.format(a="n", b="l")} AND n.object_value = l.object_value AND n.begins_s AND n.moment > l.moment AND n.is_negation <> l.is_negation)) AS gone FROM w l),
+h AS (SELECT *, fresh AND before_moment IS NOT NULL AND (before_gone IS NULL OR before_gone > moment) AS again FROM (SELECT *, lag(moment) OVER o AS before_moment, lag(gone) OVER o AS before_gone FROM g WINDOW o AS (PARTITION BY scope, own, subject, canon, form, is_negation ORDER BY moment)))"""
+
+
+def _written(spark, sf):
+    from ..operators import writes
+
+    f = facts(spark, sf).withColumn("repo_id", F.lit("")).withColumn("embedding", F.lit(None).cast("array<float>")).withColumn("metadata", F.lit("{}"))
+    old, new = f.where("seq % 2 = 0"), f.where("seq % 2 = 1")
+    new = new.withColumn("at", F.lit(AS_OF + 86400) + F.col("seq") / 1e6).withColumn("valid_until", F.lit(None).cast("double")).withColumn("single_valued", F.lit(False)).withColumn("source_tool", F.lit("t"))
+    return writes.settle(old, new.select(*[c.split(" ")[0] for c in writes.NEW.split(", ")]), AS_OF)
+
+
+@query("w13_write_log", duck("facts", "SELECT seq, CASE WHEN NOT again THEN 'new' WHEN predicate = head THEN 'rejected' ELSE 'deduplicated' END AS action FROM (SELECT *, first_value(predicate) OVER (PARTITION BY scope, own, subject, canon, form, is_negation, run ORDER BY moment) AS head FROM (SELECT *, sum(CASE WHEN again THEN 0 ELSE 1 END) OVER (PARTITION BY scope, own, subject, canon, form, is_negation ORDER BY moment) AS run FROM h)) WHERE fresh", _SETTLE))
+def _(spark, sf):
+    log = _written(spark, sf)[1].where("predicate <> 'stated'")
+    return log.select("seq", F.when(F.col("action").isin("created", "revived"), "new").otherwise(F.col("action")).alias("action"))
+
+
+@query("w13_superseded", duck("facts", "SELECT id FROM h WHERE NOT fresh AND gone IS NOT NULL", _SETTLE))
+def _(spark, sf):
+    return _written(spark, sf)[0].where("_beaten and id like 'f%' and length(id) < 20").join(facts(spark, sf).where(PLAIN_LIVE).select(F.col("id").alias("_i")), F.col("id") == F.col("_i"), "left_semi").select("id")
+
+
+@query("w13_stated", duck("facts", f"SELECT count(*) AS n, CAST(sum(e) AS BIGINT) AS evidence, count(CASE WHEN state = 'active' THEN 1 END) AS active FROM (SELECT CASE WHEN b.subject IS NOT NULL THEN 'active' ELSE s.state END AS state, coalesce(s.evidence_count, 0) + coalesce(b.n, 0) AS e FROM (SELECT *, row_number() OVER (PARTITION BY scope, own, subject, object_value, is_negation ORDER BY state = 'superseded', state <> 'active', updated_at DESC, id) AS rn FROM (SELECT *, CASE scope WHEN 'private' THEN user_id ELSE org_id END AS own FROM facts WHERE seq % 2 = 0 AND predicate = 'stated')) s FULL JOIN (SELECT scope, CASE scope WHEN 'private' THEN user_id ELSE org_id END AS own, subject, object_value, is_negation, count(*) AS n FROM facts WHERE seq % 2 = 1 AND predicate = 'stated' GROUP BY ALL) b ON s.rn = 1 AND s.state <> 'superseded' AND s.scope = b.scope AND s.own = b.own AND s.subject = b.subject AND s.object_value = b.object_value AND s.is_negation = b.is_negation)"))
+def _(spark, sf):
+    raw = _written(spark, sf)[0].where("predicate = 'stated'")
+    return raw.agg(F.count("*").alias("n"), F.sum("evidence_count").alias("evidence"), F.count_if(F.col("state") == "active").alias("active"))
+
+
 @query("w05_hard_delete", duck("facts", "SELECT count(*) AS n, count(DISTINCT subject) AS subjects FROM facts WHERE id NOT IN (SELECT id FROM facts WHERE subject = 'u3')"))
 def _(spark, sf):
     f = facts(spark, sf)
@@ -453,10 +495,14 @@ def _(spark, sf):
     return B.cross_scope(f.where("scope = 'shared'"), f.where("scope = 'private'"))
 
 
-@query("j07_loss_event", duck("facts", f"SELECT id FROM facts WHERE {SQL_LIVE} AND predicate = 'likes' AND lower(trim(object_value)) IN (SELECT DISTINCT lower(trim(concat(' ITEM ', user_id % 4))) FROM events)"))
+_LOSS = "SELECT concat(' ITEM ', user_id % 12) AS subject, CASE event_type WHEN 'click' THEN 'pass_away' WHEN 'view' THEN 'die' WHEN 'purchase' THEN 'smile' ELSE 'leave' END AS predicate FROM events WHERE user_id < 6"
+
+
+@query("j07_loss_event", duck("facts", f"SELECT id FROM facts WHERE {SQL_LIVE} AND predicate = 'likes' AND lower(trim(object_value)) IN (SELECT lower(trim(subject)) FROM ({_LOSS}) WHERE predicate IN ({texts(L.LOSS_PREDICATES)}))"))
 def _(spark, sf):
     f = facts(spark, sf).withColumn("predicate", F.when(F.col("predicate") == "likes", "own").otherwise(F.col("predicate")))
-    return B.losses(f, table(spark, sf, "events").selectExpr("concat(' ITEM ', user_id % 4) AS subject"), AS_OF)
+    said = table(spark, sf, "events").where("user_id < 6").selectExpr("concat(' ITEM ', user_id % 12) AS subject", "CASE event_type WHEN 'click' THEN 'pass_away' WHEN 'view' THEN 'die' WHEN 'purchase' THEN 'smile' ELSE 'leave' END AS predicate")
+    return B.losses(f, said, AS_OF)
 
 
 @query("j10_import_anti", duck("facts", "SELECT id FROM facts WHERE seq % 3 = 0 AND id NOT IN (SELECT id FROM facts WHERE seq % 2 = 0)"))
@@ -478,12 +524,25 @@ def _(spark, sf):
     return exact(facts(spark, sf).where("predicate <> 'stated'")).select("id", "seq")
 
 
-@query("d02_near_dup_cosine", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id % 50 = 0 AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3")
+_CLOSE = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
+
+
+@query("d02_near_dup_cosine", f"SELECT a.vec_id AS a, b.vec_id AS b, round({_CLOSE}, 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id AND a.vec_id % 2 <> b.vec_id % 2 WHERE {_CLOSE} >= 0.92")
 def _(spark, sf):
     from ..operators.dedup import near
+    from ..schema import CARE
 
-    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("subject"), "embedding")
-    return near(v.where("id % 50 = 0"), v, 0.3).select("a", "b", six(F.col("cosine"), "cosine"))
+    # Two spellings of a multi-valued predicate; every fact has an object of its own.
+    kinds = "CASE WHEN vec_id % 2 = 0 THEN 'experiencing' ELSE 'suffering_from' END AS predicate"
+    v = table(spark, sf, "embeddings").selectExpr("vec_id AS id", "cast(label AS string) AS subject", kinds, "concat('o', vec_id) AS object_value", "false AS is_negation", "embedding")
+    return near(v, identity=CARE).select("a", "b", six(F.col("cosine"), "cosine"))
+
+
+@query("d05_expired_repeat", duck("facts", f"SELECT DISTINCT n.id FROM facts n JOIN facts o ON o.valid_until <= {AS_OF} AND o.seq < n.seq AND o.subject = n.subject AND o.predicate = n.predicate AND o.object_value = n.object_value AND o.is_negation = n.is_negation"))
+def _(spark, sf):
+    from ..operators.dedup import expired
+
+    return expired(facts(spark, sf), AS_OF).select("id")
 
 
 @query("d03_supersede_single", duck("facts", f"SELECT id, by_id FROM (SELECT id, lead(id) OVER w AS by_id, object_value, lead(object_value) OVER w AS next_value FROM (SELECT *, {SQL_CANON} AS canon FROM facts WHERE NOT is_negation AND predicate <> 'stated') WHERE canon IN ({texts(L.PERSONAL_SINGLE)}) WINDOW w AS (PARTITION BY subject, canon ORDER BY seq)) WHERE next_value <> object_value"))
@@ -576,7 +635,7 @@ def _(spark, sf):
     return utterances(spark, sf).select("seq", F.array_join(F.array_sort(e), "|").alias("entities"))
 
 
-@query("x03_split_objects", None)
+@query("x03_split_objects", duck("utter", "SELECT seq, 'like' AS predicate, o AS object, CAST(0.72 AS DOUBLE) AS confidence FROM (SELECT seq, unnest([concat('Tea', seq % 9), 'Rye', concat('Oat', seq % 5)]) AS o FROM utter WHERE seq % 2 = 0)"))
 def _(spark, sf):
     u = utterances(spark, sf).selectExpr("seq", "user_id AS subject", "CASE WHEN seq % 2 = 0 THEN 'like' ELSE 'lives_in' END AS predicate", "concat('Tea', seq % 9, ', Rye and ', 'Oat', seq % 5) AS object", "0.8D AS confidence")
     return X.split_objects(u).select("seq", "predicate", "object", six(F.col("confidence"), "confidence"))
@@ -670,13 +729,13 @@ def _kw_sql(terms: str) -> str:
     return f"CASE WHEN len({terms}) > 0 AND {near('every')} > 0 THEN least(1.0, {near('every')} / len({terms}) + 0.3 * {near('objects')} / len({terms}) + 0.5 * len(list_filter({terms}, lambda t: list_contains(objects, t))) / len({terms})) ELSE 0.0 END"
 
 
-_DOCS = f"docs AS (SELECT *, list_distinct(list_concat(list_concat(src, objects), {sql_tokens('replace(predicate, chr(95), chr(32))')})) AS every FROM (SELECT *, {sql_tokens('source_text')} AS src, {sql_tokens('object_value')} AS objects FROM facts WHERE seq % 20 = 0))"
+_DOCS = f"docs AS (SELECT *, list_distinct(list_concat(list_concat(src, objects), {sql_tokens('replace(predicate, chr(95), chr(32))')})) AS every FROM (SELECT *, {sql_tokens('source_text')} AS src, {sql_tokens('object_value')} AS objects FROM facts))"
 _Q = f"qs AS (SELECT *, {sql_tokens('text')} AS terms FROM asks)"
 
 
-@query("r02_keyword", duck("facts asks", f"SELECT query_id, id, round({_kw_sql('terms')}, 6) AS keyword FROM qs, docs WHERE query_id % 4 = 0", f"{_DOCS}, {_Q}"))
+@query("r02_keyword", duck("facts asks", f"SELECT query_id, id, round({_kw_sql('terms')}, 6) AS keyword FROM qs, docs", f"{_DOCS}, {_Q}"))
 def _(spark, sf):
-    cands = facts(spark, sf).where("seq % 20 = 0").drop("user_id").join(F.broadcast(questions(spark).where("query_id % 4 = 0")), F.lit(True))
+    cands = each_question(facts(spark, sf))
     return cands.select("query_id", "id", six(R.keyword_score(T.tokens(F.col("text")), F.col("source_text"), F.col("object_value"), F.col("predicate")), "keyword"))
 
 
@@ -686,25 +745,28 @@ def _(spark, sf):
 
 
 _AXIS = "CASE WHEN len(targets) = 0 THEN 0.0 WHEN list_contains(targets, predicate) OR list_contains(targets, canon) THEN 2.0 ELSE -0.5 END"
-_TARGETS = "list_distinct(flatten([" + ", ".join(f"CASE WHEN contains(lower(text), '{k}') THEN [{texts(v.split())}] ELSE [] END" for k, v in L.QUERY_PREDICATES.items()) + "]))"
+_TARGETS = "list_distinct(flatten([" + ", ".join(f"CASE WHEN contains(lower(text), '{k}') THEN [{texts(v)}] ELSE [] END" for k, v in L.QUERY_PREDICATES.items()) + "]))"
 
 
 @query("r09_predicate_alignment", duck("facts asks", f"""SELECT query_id, id, CAST(round(CASE WHEN predicate = 'stated' THEN 0.0 ELSE greatest(0.0, CASE WHEN s2 < 0.4 AND len(list_filter(content, lambda w: contains(lower(concat_ws(' ', object_value, source_text)), w))) >= 2 THEN greatest(s2, 0.3) ELSE s2 END) END, 6) AS DOUBLE) AS alignment FROM (
-SELECT *, CASE WHEN len(list_intersect(string_split(replace(predicate, '_', ' '), ' '), content)) > 0 THEN greatest({_AXIS}, least(1.0, 0.5 * len(list_intersect(string_split(replace(predicate, '_', ' '), ' '), content)))) ELSE {_AXIS} END AS s2 FROM (SELECT q.query_id, f.id, f.predicate, f.object_value, f.source_text, {SQL_CANON.replace('predicate', 'f.predicate')} AS canon, {_TARGETS.replace('lower(text)', 'lower(q.text)')} AS targets, {sql_content('q.text')} AS content FROM asks q, facts f WHERE f.seq % 50 = 0))"""))
+SELECT *, CASE WHEN len(list_intersect(string_split(replace(predicate, '_', ' '), ' '), content)) > 0 THEN greatest({_AXIS}, least(1.0, 0.5 * len(list_intersect(string_split(replace(predicate, '_', ' '), ' '), content)))) ELSE {_AXIS} END AS s2 FROM (SELECT q.query_id, f.id, f.predicate, f.object_value, f.source_text, {SQL_CANON.replace('predicate', 'f.predicate')} AS canon, {_TARGETS.replace('lower(text)', 'lower(q.text)')} AS targets, {sql_content('q.text')} AS content FROM asks q, facts f))"""))
 def _(spark, sf):
-    cands = facts(spark, sf).where("seq % 50 = 0").drop("user_id").join(F.broadcast(questions(spark)), F.lit(True))
+    cands = each_question(facts(spark, sf))
     return cands.select("query_id", "id", six(R.predicate_alignment(F.col("text"), F.col("predicate"), F.col("object_value"), F.col("source_text")), "alignment"))
 
 
-@query("r13_subject_alignment", None)
+_SYN = " OR ".join(f"(contains(q, '{k}') AND len(list_filter([{texts(v)}], lambda r: contains(t, r))) > 0)" for k, v in L.RELATION_SYNONYMS.items())
+
+
+@query("r13_subject_alignment", duck("facts asks", f"""SELECT query_id, id, CASE WHEN fp AND NOT named AND length(asker) > 0 AND subject = asker THEN 1.5 WHEN len(list_filter([{texts(L.QUERY_RELATIONSHIPS)}], lambda r: contains(q, r) AND contains(t, r))) > 0 THEN 1.5 WHEN {_SYN} THEN 1.2 WHEN hits >= 2 THEN 0.6 ELSE 0.0 END::DOUBLE AS alignment FROM (SELECT a.query_id, f.id, f.subject, a.user_id AS asker, lower(a.text) AS q, lower(concat_ws(' ', f.subject, f.object_value, f.source_text)) AS t, regexp_matches(lower(a.text), '(^|[^a-z0-9_])(i|my|me|mine|myself)($|[^a-z0-9_])') AS fp, len(list_filter([{texts(L.QUERY_RELATIONSHIPS)}], lambda r: contains(lower(a.text), r))) > 0 AS named, len(list_filter({sql_content('a.text')}, lambda w: contains(lower(concat_ws(' ', f.subject, f.object_value, f.source_text)), w))) AS hits FROM asks a, facts f)"""))
 def _(spark, sf):
-    cands = facts(spark, sf).where("seq % 50 = 0").drop("user_id").join(F.broadcast(questions(spark)), F.lit(True))
+    cands = each_question(facts(spark, sf))
     return cands.select("query_id", "id", six(R.subject_alignment(F.col("text"), F.col("user_id"), F.col("subject"), F.col("object_value"), F.col("source_text")), "alignment"))
 
 
-@query("r14_entity_boost", duck("facts asks", """SELECT query_id, id, round(CASE WHEN len(e) > 0 THEN 0.8 * len(list_filter(e, lambda x: contains(lower(concat_ws(' ', object_value, source_text)), x))) / len(e) ELSE 0.0 END, 6) AS boost FROM (SELECT q.query_id, f.*, list_distinct(list_transform(list_filter(list_transform(regexp_split_to_array(trim(q.text), '\\s+'), lambda w: trim(w, '?.,!"''')), lambda w: regexp_matches(w, '^[A-Z]') OR length(w) > 3), lambda w: lower(w))) AS e FROM asks q, facts f WHERE f.seq % 50 = 0)"""))
+@query("r14_entity_boost", duck("facts asks", """SELECT query_id, id, round(CASE WHEN len(e) > 0 THEN 0.8 * len(list_filter(e, lambda x: contains(lower(concat_ws(' ', object_value, source_text)), x))) / len(e) ELSE 0.0 END, 6) AS boost FROM (SELECT q.query_id, f.*, list_distinct(list_transform(list_filter(list_transform(regexp_split_to_array(trim(q.text), '\\s+'), lambda w: trim(w, '?.,!"''')), lambda w: regexp_matches(w, '^[A-Z]') OR length(w) > 3), lambda w: lower(w))) AS e FROM asks q, facts f)"""))
 def _(spark, sf):
-    cands = facts(spark, sf).where("seq % 50 = 0").drop("user_id").join(F.broadcast(questions(spark)), F.lit(True))
+    cands = each_question(facts(spark, sf))
     return cands.select("query_id", "id", six(R.entity_boost(F.col("text"), F.col("object_value"), F.col("source_text")), "boost"))
 
 
@@ -745,10 +807,14 @@ def _(spark, sf):
     return compact(facts(spark, sf), AS_OF, 60).select("subject", "id", "used")
 
 
-@query("k12_best_candidates", duck("utter", "SELECT seq, predicate, object FROM (SELECT seq, 'name' AS predicate, 'Ana' AS object, unnest([1, 2]) AS i FROM utter) GROUP BY ALL"))
+@query("k12_best_candidates", duck("utter", """SELECT seq, predicate, object, confidence FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY confidence DESC, subject, predicate, object) AS r FROM (
+SELECT *, row_number() OVER (PARTITION BY seq, lower(subject), lower(predicate), lower(object) ORDER BY confidence DESC, subject, predicate, object) AS n FROM (
+SELECT seq, CASE i % 2 WHEN 0 THEN user_id ELSE upper(user_id) END AS subject, concat('p', i % 3) AS predicate, concat(CASE WHEN i % 5 < 2 THEN 'Item ' ELSE 'ITEM ' END, i // 6) AS object, ((seq * 7 + i * 13) % 100) / 100.0::DOUBLE AS confidence FROM utter, range(24) t(i))
+WHERE confidence >= 0.4) WHERE n = 1) WHERE r <= 10"""))
 def _(spark, sf):
-    c = utterances(spark, sf).selectExpr("seq", "'U' AS subject", "'name' AS predicate", "explode(array(struct('Ana' AS o, 0.9D AS c), struct('ANA' AS o, 0.5D AS c), struct('no' AS o, 0.1D AS c))) AS x")
-    return X.best_candidates(c.selectExpr("seq", "subject", "predicate", "x.o AS object", "x.c AS confidence")).select("seq", "predicate", "object")
+    c = utterances(spark, sf).select("seq", "user_id", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("i"))
+    c = c.selectExpr("seq", "CASE i % 2 WHEN 0 THEN user_id ELSE upper(user_id) END AS subject", "concat('p', i % 3) AS predicate", "concat(CASE WHEN i % 5 < 2 THEN 'Item ' ELSE 'ITEM ' END, i div 6) AS object", "((seq * 7 + i * 13) % 100) / 100D AS confidence")
+    return X.best_candidates(c).select("seq", "predicate", "object", "confidence")
 
 
 @query("u02_multi_scope", duck("facts", f"SELECT label, subject, id, rn FROM (SELECT scope AS label, subject, id, row_number() OVER (PARTITION BY scope, subject ORDER BY updated_at DESC, seq) AS rn FROM facts WHERE {SQL_LIVE}) WHERE rn <= 3"))

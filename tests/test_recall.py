@@ -20,7 +20,15 @@ def cosine(a, b):
 
 
 def fold(rows, asked, vectors, k):
-    """(query_id -> ids in order of entry)."""
+    """(query_id -> ids in order of entry), scope by scope."""
+    out = {}
+    for scope in sorted({r["scope"] for r in rows}):
+        for q, ids in fold_one([r for r in rows if r["scope"] == scope], asked, vectors, k).items():
+            out[q] = out.get(q, []) + ids
+    return out
+
+
+def fold_one(rows, asked, vectors, k):
     newest = lambda some, by: sorted(some, key=lambda r: (-r[by], -r["seq"]))
     live = [r for r in rows if r["live"]]
     past = [r for r in rows if r["state"] == "superseded"]
