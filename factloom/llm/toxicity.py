@@ -20,8 +20,8 @@ from .hashing import Rolling, words
 
 #: Feature buckets (the last stands for padding), embedding size, filters of each width, widths.
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 16, 4, (1, 2, 3)
-#: Training documents of each class at most; words taken of one training document at most (in spread pieces).
-DOCS_PER_CLASS, WORDS_PER_DOC = 2500, 4000
+#: Training documents of each class at most, with their whole texts.
+DOCS_PER_CLASS = 2000
 #: Training documents a bucket must occur in; steps of training at least.
 MIN_DOCS, MIN_STEPS = 4, 400
 PREFIXES = (4, 5, 6)
@@ -194,8 +194,8 @@ def held_out() -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, docs_per_class: int = DOCS_PER_CLASS, epochs: int = 12) -> Cnn | None:
-    """Fit on a bounded sample: about ``docs_per_class`` labelled documents of each class, picked by a hash of doc_id, and of
-    a text longer than ``WORDS_PER_DOC`` words that many, in pieces spread over it. Held-out rows have no part. A document
+    """Fit on a bounded sample of rows: about ``docs_per_class`` labelled documents of each class, picked by a hash of doc_id, with
+    their whole texts. Held-out rows have no part. A document
     labelled more than once counts as toxic if any label says so; null labels are left out. None without two classes."""
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.where(~held_out())
@@ -210,14 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, docs_per_class: int = DOCS_PER_CLA
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, bounds = features(column(batch, "text"))
-        out = []
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            doc = ids[a:b]
-            if len(doc) > WORDS_PER_DOC:
-                piece = 50
-                first = np.linspace(0, len(doc) - piece, WORDS_PER_DOC // piece).astype(int)
-                doc = doc[(first[:, None] + np.arange(piece)).ravel()]
-            out.append(np.ascontiguousarray(doc).tobytes())
+        out = [np.ascontiguousarray(ids[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), column(batch, "toxic"), column(batch, "lang"), column(batch, "doc_id")], ["ids", "toxic", "lang", "doc_id"])
 
     kinds = dict(rows.dtypes)
