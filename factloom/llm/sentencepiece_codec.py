@@ -19,6 +19,8 @@ from .common import binaries, column, flat, lists, map_arrow, project
 from .hashing import Rolling
 
 MARK, SPACE = "▁", 0x20
+#: Words that are done byte by byte once no more are left: long ones, without blanks.
+FEW = 8
 UNKNOWN_PENALTY = 10.0
 _roll = Rolling(61)
 
@@ -149,6 +151,11 @@ class Codec:
         for t in range(1, int(size[0]) + 1 if len(size) else 1):
             while size[active - 1] < t:
                 active = int(np.searchsorted(-size, -t, "right"))
+            if active <= FEW:  # a step of arrays costs more than that many bytes one by one
+                for k in range(active):
+                    a = slice(base[k], base[k] + size[k] + 1)
+                    self._one(symbols[start[k] : start[k] + size[k]], inner[start[k] : start[k] + size[k]], t, int(state[k]), int(width[k]), best[a], back[a], chosen[a])
+                break
             at = start[:active] + t - 1
             state[:active] = s = self.move[state[:active], symbols[at]]
             width[:active] = w = np.where(inner[at], width[:active] + 1, 1)  # bytes of the character so far
@@ -179,6 +186,17 @@ class Codec:
         token = np.full(total, -1, np.int64)
         lane, pos = np.arange(len(size)), size.copy()
         while len(lane):
+            if len(lane) <= FEW:
+                for k, p in zip(lane.tolist(), pos.tolist(), strict=True):
+                    a, first = int(base[k]), int(start[k])
+                    ids, steps = chosen[a : a + p + 1].tolist(), back[a : a + p + 1].tolist()
+                    while p > 0:
+                        if ids[p] >= 0:
+                            token[a + p] = ids[p]
+                        else:
+                            token[a + p - steps[p] + 1 : a + p + 1] = self.byte_id[data[first + p - steps[p] : first + p]]
+                        p -= steps[p]
+                break
             at = base[lane] + pos
             ids, n = chosen[at], back[at]
             known = ids >= 0
@@ -198,6 +216,30 @@ class Codec:
         bounds = np.concatenate([[0], np.cumsum(counts[rank])])
         return ids[np.repeat(own[:-1][rank] - bounds[:-1], counts[rank]) + np.arange(bounds[-1])], bounds
 
+    def _one(self, symbols: np.ndarray, inner: np.ndarray, t: int, state: int, width: int, best: np.ndarray, back: np.ndarray, chosen: np.ndarray) -> None:
+        """The rest of one word from its byte ``t`` on, as in ``_lanes``; best, back and chosen are the word's own, and are filled."""
+        move, first, link, length, score, piece = self.move, self.first, self.link, self.length, self.score, self.piece
+        top, steps, ids = best[:t].tolist(), [], []
+        after, last = inner.tolist(), len(inner)
+        for at, symbol in enumerate(symbols[t - 1 :].tolist(), t):
+            state = int(move[state, symbol])
+            width = width + 1 if after[at - 1] else 1
+            most, step, chose, single = -np.inf, 0, -2, False
+            node = int(first[state])
+            while node:  # along the output links
+                n = int(length[node])
+                single |= n == width
+                value = top[at - n] + float(score[node])
+                if value > most:
+                    most, step, chose = value, n, int(piece[node])
+                node = int(link[node])
+            if not single and (at == last or not after[at]) and top[at - width] + self.unknown > most:
+                most, step, chose = top[at - width] + self.unknown, width, -1
+            top.append(most)
+            steps.append(step)
+            ids.append(chose)
+        best[t:], back[t:], chosen[t:] = top[t:], steps, ids
+
     def _spelled(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.diff(self.starts)[ids]
         bounds = np.concatenate([[0], np.cumsum(sizes)])
