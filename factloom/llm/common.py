@@ -22,9 +22,12 @@ STEP_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset (tests) one of our own is set."""
+    """The folder in ``spark.checkpoint.dir``. Where that is unset, one of our own on a single machine; an error on a cluster, whose
+    executors do not see each other's local folders."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
