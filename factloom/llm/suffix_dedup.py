@@ -33,7 +33,7 @@ from .hashing import Rolling
 #: Bytes of a match; of a minimizer; suffixes of a batch of the index.
 WIDTH, GRAM, BATCH_SUFFIXES = 50, 30, 1 << 16
 #: Bytes of text in a block, in a bucket of blocks, of one vectorised step, for an owner of pieces; entries of a key bucket.
-BLOCK_BYTES, PART_BYTES, STEP, OWNER_BYTES, BUCKET_ENTRIES = 2 << 20, 64 << 20, 1 << 20, 6 << 20, 1 << 20
+BLOCK_BYTES, PART_BYTES, STEP, OWNER_BYTES, BUCKET_ENTRIES = 2 << 20, 64 << 20, 1 << 20, 3 << 20, 1 << 20
 #: Bytes of the shortest string whose hash chooses a minimizer.
 SEED = 4
 _roll = Rolling(41)
@@ -137,20 +137,24 @@ def slabs(offsets: np.ndarray, width: int, step: int) -> Iterator[tuple[int, int
 class Entries:
     """The minimizers of a block of texts: bucket and key of each distinct one, and where it occurs."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, skip: np.ndarray, width: int, gram: int, n_buckets: int):
-        codes, rows, firsts, lasts, whole = [], [], [], [], []
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, skip: np.ndarray, width: int, gram: int, n_buckets: int, pieces: bool = False):
+        """``pieces`` adds the two hashes of all bytes around each minimizer."""
+        codes, rows, firsts, lasts, whole, one, two = [], [], [], [], [], [], []
         for s, e, inner, row in slabs(offsets, width, STEP):
             h, second, _, first, last = minimizers(data[s:e], inner, width, gram)
             r = row + np.searchsorted(inner[1:], first, "right")
             keep = ~skip[r]
             # A key of 32 bits tells the million entries of a bucket apart; a chance hit only adds strings to look at.
             code = (second % np.uint64(n_buckets)) << np.uint64(32) | h >> np.uint64(32)
-            for store, x in ((codes, code), (rows, r), (firsts, first + s), (lasts, last + s), (whole, h)):
+            for store, x in ((codes, code), (rows, r), (firsts, first + s), (lasts, last + s), *([(whole, h)] if pieces else [])):
                 store.append(x[keep])
+            if pieces:
+                for store, roll in ((one, _roll), (two, _second)):
+                    store.append(roll.of(roll.sums(data[s:e]), first[keep], last[keep] + width))
         none = np.zeros(0, np.int64)
         self.row, self.first, self.last = (np.concatenate([none, *x]) for x in (rows, firsts, lasts))
-        self.hash = np.concatenate([none.astype(np.uint64), *whole])
-        code = np.concatenate([none.astype(np.uint64), *codes])
+        self.hash, self.one, self.two, code = (np.concatenate([none.astype(np.uint64), *x]) for x in (whole, one, two, codes))
+        del codes, rows, firsts, lasts, whole, one, two
         self.distinct, self.nth = np.unique(code, return_inverse=True)
         least, most = np.full(len(self.distinct), len(skip)), np.zeros(len(self.distinct), np.int64)
         np.minimum.at(least, self.nth, self.row)
@@ -332,7 +336,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         for batch in batches:
             for b, k in blocks_of(batch):
                 skip = ~b.known | b.copies(width, column(batch, "lows")[k].as_py())
-                x = Entries(b.data, b.offsets, skip, width, gram, n_buckets)
+                x = Entries(b.data, b.offsets, skip, width, gram, n_buckets, pieces=True)
                 hit = x.told([(a["bucket"], a["bits"]) for a in column(batch, "answers")[k].as_py() or () if a["part"] == b.part])
                 yield _table(_pieces(b, x, hit, width, n_owners), _SENT)
         tidy()
@@ -401,10 +405,7 @@ def _pieces(b: Block, x: Entries, hit: np.ndarray, width: int, n_owners: int) ->
     row, s, e = x.row[hit], x.first[hit], x.last[hit] + width
     if not len(row):
         return []
-    at, of = ranges(s, e - 1)
-    data = b.data[at]
-    bounds = np.concatenate([[0], np.cumsum(e - s)])
-    one, two = piece_hashes(data, bounds)
+    one, two = x.one[hit], x.two[hit]
     doc = b.ids[row]
     order = np.lexsort((doc, two, one))
     new = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])])
@@ -422,9 +423,9 @@ def _pieces(b: Block, x: Entries, hit: np.ndarray, width: int, n_owners: int) ->
     for part in np.split(at_sent, np.flatnonzero(np.diff(bucket[at_sent])) + 1):
         # ``ids`` holds a doc_id a document of the block that takes part; ``rows`` says whose each piece is.
         rows, nth = np.unique(row[part], return_inverse=True)
-        pos, _ = ranges(bounds[part], bounds[part + 1] - 1)
+        pos, _ = ranges(s[part], e[part] - 1)
         whose = np.concatenate([np.array([len(rows)], np.uint32), rows.astype(np.uint32), nth.astype(np.uint32)])
-        out.append((int(bucket[part[0]]), b.home, b.part, whose.tobytes(), start[part].astype(np.uint32).tobytes(), (e - s)[part].astype(np.uint16).tobytes(), b.ids[rows].tobytes(), data[pos].tobytes()))
+        out.append((int(bucket[part[0]]), b.home, b.part, whose.tobytes(), start[part].astype(np.uint32).tobytes(), (e - s)[part].astype(np.uint16).tobytes(), b.ids[rows].tobytes(), b.data[pos].tobytes()))
     return out
 
 
