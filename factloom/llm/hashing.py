@@ -29,37 +29,55 @@ def seeds(n: int, seed: int) -> np.ndarray:
 
 
 class Rolling:
-    """Hash of any substring from prefix sums of value[byte] * R^i modulo 2^64, and of R's inverse powers."""
+    """Hash of any substring from prefix sums of value[byte] * R^i modulo 2^64, and of R's inverse powers.
+
+    R^i is the product of two table entries, of i's low and high half, so that the tables stay small whatever a text's length.
+    """
+
+    LOW = 16
 
     def __init__(self, seed: int = 1):
         self.values = seeds(256, seed)
-        self.base = int(seeds(1, seed + 77)[0]) | 1
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self.powers = self.inverses = np.ones(1, _U)
-
-    def _grow(self, n: int) -> None:
-        size = 1 << max(16, (n - 1).bit_length())
-        for name, base in (("powers", self.base), ("inverses", self.inverse)):
-            out = np.ones(1, _U)
-            while len(out) < size:
-                out = np.concatenate([out, out * _U(pow(base, len(out), 1 << 64))])
-            setattr(self, name, out)
+        base = int(seeds(1, seed + 77)[0]) | 1
+        self.bases = (base, pow(base, -1, 1 << 64))
+        self.low = tuple(self._series(b, 1 << self.LOW) for b in self.bases)
+        self.high = tuple(np.ones(1, _U) for _ in self.bases)
+
+    @staticmethod
+    def _series(base: int, n: int) -> np.ndarray:
+        """base^0 .. base^(n-1), at least."""
+        out = np.ones(1, _U)
+        while len(out) < n:
+            out = np.concatenate([out, out * _U(pow(base, len(out), 1 << 64))])
+        return out
+
+    def _factors(self, which: int, n: int, at: np.ndarray | None = None) -> np.ndarray:
+        """R^i, or R^-i, for i in ``at`` (below n), or for all i below n."""
+        rows = (n >> self.LOW) + 1
+        if rows > len(self.high[which]):
+            self.high = tuple(self._series(pow(b, 1 << self.LOW, 1 << 64), rows) for b in self.bases)
+        low, high = self.low[which], self.high[which]
+        if at is None:
+            return (high[:rows, None] * low[None, :]).ravel()[:n] if rows > 1 else low[:n]
+        at = np.asarray(at, np.int64)
+        out = low[at & ((1 << self.LOW) - 1)]
+        if rows > 1:
+            out *= high[at >> self.LOW]
+        return out
 
     def sums(self, data: np.ndarray) -> np.ndarray:
-        if len(data) + 1 > len(self.powers):
-            self._grow(len(data) + 1)
         out = np.zeros(len(data) + 1, _U)
-        np.cumsum(self.values[data] * self.powers[: len(data)], out=out[1:])
+        np.cumsum(self.values[data] * self._factors(0, len(data)), out=out[1:])
         return out
 
     def of(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Mixed hashes of the substrings [start, end)."""
-        return mix((sums[ends] - sums[starts]) * self.inverses[starts])
+        return mix((sums[ends] - sums[starts]) * self._factors(1, len(sums), starts))
 
     def windows(self, sums: np.ndarray, width: int) -> np.ndarray:
         """Mixed hashes of all windows of ``width`` bytes (they may cross texts; the caller masks those)."""
         n = len(sums) - width
-        return mix((sums[width:] - sums[:n]) * self.inverses[:n]) if n > 0 else np.zeros(0, _U)
+        return mix((sums[width:] - sums[:n]) * self._factors(1, n)) if n > 0 else np.zeros(0, _U)
 
 
 #: Bytes that belong to words: ASCII letters and digits, and every byte of a non-ASCII character.

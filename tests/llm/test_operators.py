@@ -663,3 +663,18 @@ def test_suffix_spans_and_texts(docs):
     out = suffix_dedup.removals(docs, texts=True).select("n_bytes", "n_removed", "spans", "kept").collect()
     for n, gone, spans, kept in out:
         assert gone == sum(b - a for a, b in spans) and len(kept) == n - gone
+
+
+def test_rolling_hashes_do_not_depend_on_the_place():
+    r = np.random.default_rng(1)
+    data = r.integers(0, 256, 400_000).astype(np.uint8)
+    data[300_000:300_100] = data[10:110]
+    roll = hashing.Rolling(5)
+    sums = roll.sums(data)
+    one, two = roll.of(sums, np.array([10, 300_000, 11]), np.array([110, 300_100, 111])), roll.windows(sums, 100)
+    assert one[0] == one[1] == two[10] == two[300_000] != one[2] and len(np.unique(two)) == len(two) - 1
+    # In plain integers.
+    base, mask = roll.bases[0], (1 << 64) - 1
+    want = sum(int(roll.values[b]) * pow(base, i, 1 << 64) for i, b in enumerate(data[10:110])) & mask
+    assert hashing.mix(np.array([want], np.uint64))[0] == one[0]
+    assert sum(len(x) for x in (*roll.low, *roll.high)) < 200_000
