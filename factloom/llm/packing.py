@@ -9,6 +9,7 @@ depends on the sequence length alone. Pieces find their place by their rank amon
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -67,6 +68,7 @@ class Encoder:
         if not texts:
             return []
         if self.whole is None:  # only where a text asks for it
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks run side by side as it is
             from tokenizers import Tokenizer
 
             self.whole = Tokenizer.from_file(self.path)
