@@ -345,5 +345,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all pieces of all documents in sequences of 1024 tokens."""
+    """Places of all pieces of all documents in sequences of 1024 tokens. Null and empty texts are their end mark alone; rows with
+    null or repeated ids are packed like others. Empty table: no rows. Other columns do not matter, whatever their names."""
     return pack(docs, tokenizer_path())
