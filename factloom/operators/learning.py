@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,19 +15,33 @@ RATE, FLOOR = 0.1, 0.02
 
 
 def fold_weights(updates: DataFrame) -> DataFrame:
-    """(key, weights): an exponential moving average over each key's updates (key, seq, scores), in order; each step is
-    floored and normalised. An ordered fold within one row; a group is one key's updates."""
-    start = F.create_map(*[x for c in CHANNELS for x in (F.lit(c), F.lit(WEIGHTS[c]))])
-
-    def step(w, u):  # noqa: ANN001, ANN202
-        total = F.aggregate(F.map_values(u["scores"]), F.lit(0.0), lambda s, x: s + x)
-        moved = F.transform_values(w, lambda k, v: F.when(u["scores"][k].isNotNull(), (1 - RATE) * v + RATE * u["scores"][k] / total).otherwise(v))
-        whole = lambda m: F.aggregate(F.map_values(m), F.lit(0.0), lambda s, x: s + x)
-        floored = F.transform_values(moved, lambda k, v: F.greatest(F.lit(FLOOR), v / whole(moved)))
-        return F.when(total > 0, F.transform_values(floored, lambda k, v: v / whole(floored))).otherwise(w)
-
-    lists = updates.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seq", "scores")), lambda a, b: F.when(a["seq"] < b["seq"], -1).when(a["seq"] > b["seq"], 1).otherwise(0)).alias("_u"))
-    return lists.select("key", F.aggregate("_u", start, step).alias("weights"), F.size("_u").alias("updates"))
+    """(key, weights, updates): an exponential moving average over each key's updates (key, seq, scores), in order; each step is
+    floored and normalised. Updates stream past in the order of their keys: what is held is one key's weights."""
+    kind = dict(updates.dtypes)["key"]
+    start = np.array([WEIGHTS[c] for c in CHANNELS])
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, w, n = None, start, 0
+        for f in frames:
+            out = []
+            given = np.array([[s.get(c) if s.get(c) is not None else np.nan for c in CHANNELS] for s in f["scores"].map(dict)], np.float64)
+            total = f["scores"].map(lambda s: sum(x for x in dict(s).values() if x is not None)).to_numpy(np.float64)
+            for k, u, t in zip(f["key"], given, total, strict=True):
+                if n and k != key:
+                    out.append((key, dict(zip(CHANNELS, w.tolist(), strict=True)), n))
+                    w, n = start, 0
+                key, n = k, n + 1
+                if t > 0:
+                    moved = np.where(np.isnan(u), w, (1 - RATE) * w + RATE * u / t)
+                    floored = np.maximum(FLOOR, moved / moved.sum())
+                    w = floored / floored.sum()
+            if out:
+                yield pd.DataFrame(out, columns=["key", "weights", "updates"])
+        if n:
+            yield pd.DataFrame([(key, dict(zip(CHANNELS, w.tolist(), strict=True)), n)], columns=["key", "weights", "updates"])
+
+    laid = updates.where("key is not null").select("key", "seq", "scores").repartition("key").sortWithinPartitions("key", "seq")
+    return laid.mapInPandas(fold, f"key {kind}, weights map<string,double>, updates int")
 
 
 def cooccurrence_counts(entities: DataFrame, least: int = 2) -> DataFrame:

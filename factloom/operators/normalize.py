@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -48,24 +50,26 @@ def canonicalize_objects(rows: DataFrame, key: str, ratio: float = 0.85) -> Data
     """(key, seq, object_value, canonical): each tenant's objects in order; suffixes go, then the same text in any case,
     then the first containing or contained one (the shorter wins), then the nearest by edit distance, else a new form.
 
-    An ordered fold by nature: a tenant's values meet in one task, deduplicated first, so that memory follows distinct values.
+    An ordered fold by nature: a tenant's distinct values stream past in order; its canonical forms are all that is held.
     """
-    first = rows.groupBy(key, "object_value").agg(F.min("seq").alias("seq"))
+    first = rows.where(F.col(key).isNotNull() & F.col("object_value").isNotNull()).groupBy(key, "object_value").agg(F.min("seq").alias("seq"))
     first = first.withColumn("_norm", F.lower(T.strip_suffixes(F.col("object_value"))))
     kind = dict(rows.dtypes)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        forms: dict[str, str] = {}
-        out = []
-        for norm, raw in zip(pdf["_norm"], pdf["object_value"], strict=True):
-            raw = raw.strip()
-            if norm not in forms:
-                forms[norm] = _match(norm, raw, forms, ratio)
-            out.append(forms[norm])
-        return pdf[[key, "object_value"]].assign(canonical=out)
-
-    done = first.groupBy(key).applyInPandas(fold, f"{key} {kind[key]}, object_value string, canonical string")
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tenant, forms = None, {}
+        for f in frames:
+            out = []
+            for k, norm, raw in zip(f[key], f["_norm"], f["object_value"], strict=True):
+                if k != tenant:
+                    tenant, forms = k, {}
+                if norm not in forms:
+                    forms[norm] = _match(norm, raw.strip(), forms, ratio)
+                out.append(forms[norm])
+            yield f[[key, "object_value"]].assign(canonical=out)
+
+    laid = first.repartition(key).sortWithinPartitions(key, "seq", "object_value")
+    done = laid.mapInPandas(fold, f"{key} {kind[key]}, object_value string, canonical string")
     done = done.select(F.col(key).alias("_k"), F.col("object_value").alias("_o"), "canonical")
     return rows.join(done, (F.col(key) == F.col("_k")) & (F.col("object_value") == F.col("_o"))).select(key, "seq", "object_value", "canonical")
 
@@ -76,6 +80,8 @@ def _match(norm: str, raw: str, forms: dict[str, str], ratio: float) -> str:
         if norm in other or other in norm:
             return min((form if len(other) <= len(norm) else raw), form, key=len)
         bound = max(len(norm), len(other))
+        if abs(len(norm) - len(other)) > (1 - best) * bound:  # that many edits at least
+            continue
         score = 1 - edit_distance(norm, other) / bound if bound else 0.0
         if score > best:
             nearest, best = form, score
@@ -96,26 +102,37 @@ def edit_distance(a: str, b: str) -> int:
 
 def leader_clusters(rows: DataFrame, threshold: float = 0.82) -> DataFrame:
     """(key, seq, leader): leader clustering of each key's embeddings in order: a row joins the most similar leader that is
-    near enough, else leads a cluster. An ordered fold; leaders' vectors are all that is held."""
-    kind = dict(rows.dtypes)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        leaders: list[np.ndarray] = []
-        names: list[int] = []
-        out = []
-        for seq, v in zip(pdf["seq"], pdf["embedding"], strict=True):
-            u = np.asarray(v, np.float64)
-            u = u / (np.linalg.norm(u) or 1.0)
-            sims = np.array(leaders) @ u if leaders else np.zeros(0)
-            if len(sims) and sims.max() >= threshold:
-                out.append(names[int(sims.argmax())])
-            else:
-                leaders.append(u)
-                names.append(seq)
-                out.append(seq)
-        return pdf[["key", "seq"]].assign(leader=out)
-
-    return rows.groupBy("key").applyInPandas(fold, f"key {kind['key']}, seq {kind['seq']}, leader {kind['seq']}")
+    near enough, else leads a cluster. An ordered fold; rows stream past by key, and leaders' vectors are all that is held.
 
+    Each batch meets the leaders known before it as one matrix product; only rows that none of them takes are looked at one by
+    one, against the leaders of the batch itself. Rows with a null key or embedding are left out."""
+    kind = dict(rows.dtypes)
 
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, leaders, names = None, np.zeros((0, 0)), []
+        for f in frames:
+            for k, part in f.groupby("key", sort=False):  # keys come sorted: groups are runs
+                if k != key or not names:
+                    key, leaders, names = k, np.zeros((0, len(part["embedding"].iloc[0]))), []
+                out = []
+                for at in range(0, len(part), 256):
+                    block = part.iloc[at : at + 256]
+                    u = np.stack([np.asarray(v, np.float64) for v in block["embedding"]])
+                    length = np.sqrt((u * u).sum(1, keepdims=True))
+                    u = u / np.where(length > 0, length, 1.0)
+                    sims = u @ leaders.T
+                    before = len(names)
+                    for i, seq in enumerate(block["seq"]):
+                        here = sims[i]
+                        if len(names) > before:
+                            here = np.concatenate([here, leaders[before:] @ u[i]])
+                        if len(here) and here.max() >= threshold:
+                            out.append(names[int(here.argmax())])
+                        else:
+                            leaders = np.concatenate([leaders, u[i : i + 1]])
+                            names.append(seq)
+                            out.append(seq)
+                yield pd.DataFrame({"key": key, "seq": part["seq"].to_numpy(), "leader": out})
+
+    laid = rows.where("key is not null and embedding is not null").select("key", "seq", "embedding").repartition("key").sortWithinPartitions("key", "seq")
+    return laid.mapInPandas(fold, f"key {kind['key']}, seq {kind['seq']}, leader {kind['seq']}")

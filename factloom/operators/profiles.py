@@ -36,11 +36,28 @@ def compact(facts: DataFrame, as_of: float, budget: int, newest: int = 50) -> Da
     return fresh.withColumn("used", F.sum(cost).over(order)).where(F.col("used") <= budget).drop("_n")
 
 
-def nearest_rank(df: DataFrame, key: str, value: str, tie: str, points: dict[str, float]) -> DataFrame:
-    """Exact nearest-rank percentiles of each key: the value at position round(p * (n - 1))."""
-    per = Window.partitionBy(key)
-    ranked = df.select(key, value, (F.row_number().over(per.orderBy(value, tie)) - 1).alias("_r"), F.count("*").over(per).alias("_n"))
-    return ranked.groupBy(key).agg(*[F.max(F.when(F.col("_r") == F.round(p * (F.col("_n") - 1)), F.col(value))).alias(name) for name, p in points.items()])
+def nearest_rank(df: DataFrame, key: str, value: str, points: dict[str, float], cells: int = 256) -> DataFrame:
+    """Exact nearest-rank percentiles of each key: the value at position round(p * (n - 1)). Null values count last.
+
+    Rows are counted by cell, of equal widths between a key's least and greatest value; only the rows of the cells that hold a
+    wanted position are ranked, so a key with a large share of all rows is no one task's work.
+    """
+    rows = df.select(F.col(key).alias("_k"), F.col(value).alias("_v"))
+    ends = rows.groupBy("_k").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
+    both = rows.join(ends.withColumnRenamed("_k", "_e"), F.col("_k").eqNullSafe(F.col("_e"))).drop("_e")
+    width = (F.col("_hi") - F.col("_lo")).cast("double")
+    cell = F.when(F.col("_v").isNull(), cells).when(width > 0, F.least(F.lit(cells - 1), F.floor((F.col("_v") - F.col("_lo")) / width * cells).cast("int"))).otherwise(0)
+    both = both.withColumn("_c", cell)
+    counts = both.groupBy("_k", "_n", "_c").agg(F.count("*").alias("_m"))
+    below = Window.partitionBy("_k").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_below", F.coalesce(F.sum("_m").over(below), F.lit(0)))
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), F.round(F.lit(p) * (F.col("_n") - 1)).cast("long").alias("at")) for name, p in points.items()])
+    found = counts.select("_k", "_c", "_below", "_m", F.explode(wanted).alias("_w")).where((F.col("_w")["at"] >= F.col("_below")) & (F.col("_w")["at"] < F.col("_below") + F.col("_m")))
+    few = found.groupBy(F.col("_k").alias("_fk"), F.col("_c").alias("_fc"), "_below").agg(F.collect_list("_w").alias("_w"))
+    some = both.join(few, F.col("_k").eqNullSafe(F.col("_fk")) & (F.col("_c") == F.col("_fc")))
+    rank = F.row_number().over(Window.partitionBy("_k", "_c").orderBy(F.col("_v").asc_nulls_last())) - 1 + F.col("_below")
+    hits = some.withColumn("_r", rank).select("_k", "_v", F.explode("_w").alias("_w"), "_r").where(F.col("_w")["at"] == F.col("_r"))
+    return hits.groupBy(F.col("_k").alias(key)).agg(*[F.max(F.when(F.col("_w")["name"] == name, F.col("_v"))).alias(name) for name in points])
 
 
 def accuracy(results: DataFrame, expected: DataFrame, top: int) -> DataFrame:

@@ -128,8 +128,9 @@ def subject_alignment(query: Column, user: Column, subject: Column, obj: Column,
 
 
 def hints(predicate_hint: Column, subject_hint: Column, identity: Identity = PERSONAL) -> Column:
-    """A caller's hints boost and never filter: 3 for the predicate as written or canonical, 2 for the subject."""
-    wanted = T.norm_predicate(predicate_hint)
+    """A caller's hints boost and never filter: 3 for the predicate as written or canonical, 2 for the subject. Null and blank hints
+    do nothing."""
+    wanted = F.when(F.trim(predicate_hint) != "", T.norm_predicate(predicate_hint))
     p = F.col("predicate")
     hit = p.isin(wanted) | (identity.canon(p) == wanted) | (p == identity.canon(wanted)) | (identity.canon(p) == identity.canon(wanted))
     return F.when(hit, 3.0).otherwise(1.0) * F.when(F.col("subject") == subject_hint, 2.0).otherwise(1.0)

@@ -219,12 +219,12 @@ def _(spark, sf):
     return facts(spark, sf).select("id", "scope", "context", "subject", "predicate", "object_value", "is_negation", "state", "created_at").orderBy("created_at", "id")
 
 
-@query("s19_commits_to_facts", duck("utter", "SELECT concat('c', seq) AS sha, 'committed' AS predicate, text[1:200] AS object_value, CAST(0.95 AS DOUBLE) AS confidence FROM utter WHERE text LIKE 'fix(%' UNION ALL SELECT * FROM (SELECT concat('c', seq), 'changed_by', concat('src/', unnest(['a', 'b']), seq % 7, '.py'), CAST(0.95 AS DOUBLE) FROM utter WHERE text LIKE 'fix(%')"))
+@query("s19_commits_to_facts", duck("utter", "SELECT user_id AS subject, 'committed' AS predicate, text[1:200] AS object_value, concat('sha:c', seq, ' files:src/a', seq % 7, '.py,src/b', seq % 7, '.py +1-2') AS source_text, CAST(0.95 AS DOUBLE) AS confidence FROM utter WHERE text LIKE 'fix(%' UNION ALL SELECT concat('src/', unnest(['a', 'b']), seq % 7, '.py'), 'changed_by', user_id, text[1:200], CAST(0.95 AS DOUBLE) FROM utter WHERE text LIKE 'fix(%'"))
 def _(spark, sf):
     from ..sources.git import commits_to_facts
 
-    made = utterances(spark, sf).where("text LIKE 'fix(%'").selectExpr("concat('c', seq) AS sha", "user_id AS author", "cast(seq as double) AS date", "text AS message", "array(concat('src/a', seq % 7, '.py'), concat('src/b', seq % 7, '.py')) AS files", "1 AS insertions", "1 AS deletions")
-    return commits_to_facts(made).select("sha", "predicate", "object_value", "confidence")
+    made = utterances(spark, sf).where("text LIKE 'fix(%'").selectExpr("concat('c', seq) AS sha", "user_id AS author", "cast(seq as double) AS date", "text AS message", "array(concat('src/a', seq % 7, '.py'), concat('src/b', seq % 7, '.py')) AS files", "1 AS insertions", "2 AS deletions")
+    return commits_to_facts(made).select("subject", "predicate", "object_value", "source_text", "confidence")
 
 
 @query("s20_tree_counts", duck("utter", "SELECT kind, name, n FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, name) AS rk FROM (SELECT 'directory' AS kind, split_part(p, '/', 1) AS name, count(*) AS n FROM (SELECT concat('d', seq % 30, '/f', seq, '.x', seq % 12) AS p FROM utter) GROUP BY 2 UNION ALL SELECT 'extension', split_part(p, '.', 2), count(*) FROM (SELECT concat('d', seq % 30, '/f', seq, '.x', seq % 12) AS p FROM utter) GROUP BY 2)) WHERE rk <= CASE kind WHEN 'directory' THEN 20 ELSE 10 END"))
@@ -372,7 +372,7 @@ def _(spark, sf):
 def _(spark, sf):
     from ..operators.profiles import nearest_rank
 
-    return nearest_rank(table(spark, sf, "events"), "event_type", "value", "event_id", {"p50": 0.5, "p95": 0.95})
+    return nearest_rank(table(spark, sf, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95})
 
 
 @query("a17_isolation_leaks", duck("facts", "SELECT user_id, count_if(subject <> user_id) AS leaks FROM facts WHERE scope = 'private' GROUP BY 1"))

@@ -128,10 +128,10 @@ class Memory:
     def ingest_repo(self, path: str, now: float, user_id: str = "", commits: int = 50) -> dict[str, int]:
         """Commits and the file tree of a git repository on the driver, as facts of the repository."""
         repo = git.repo_id(path)
-        said = git.commits_to_facts(git.read_commits(self.spark, path, commits)).select("subject", "predicate", "object_value", "confidence", F.col("sha").alias("_order"))
-        counts = git.tree_counts(git.read_tree(self.spark, path))
-        tree = counts.select(F.lit(repo).alias("subject"), F.when(F.col("kind") == "directory", "has_directory").otherwise("uses_language").alias("predicate"), F.concat(F.col("name"), F.lit(" ("), F.col("n").cast("string"), F.lit(" files)")).alias("object_value"), F.lit(0.9).alias("confidence"), F.lit("").alias("_order"))
-        rows = said.unionByName(tree).withColumn("seq", F.row_number().over(W.Window.orderBy("_order", "predicate", "object_value"))).drop("_order")  # at most 50 commits and 30 counts
+        said = git.commits_to_facts(git.read_commits(self.spark, path, commits)).withColumnRenamed("created_at", "at").drop("sha")
+        tree = git.tree_to_facts(git.read_tree(self.spark, path)).withColumn("source_text", F.lit("")).withColumn("at", F.lit(float(now)))
+        rows = said.unionByName(tree).withColumn("source_type", F.lit("system"))
+        rows = rows.withColumn("seq", F.row_number().over(W.Window.orderBy("at", "predicate", "subject", "object_value")))  # of 50 commits at most
         return self._write(rows.withColumn("user_id", F.lit(user_id)), now, "repo", "repo", "", "repo_parser", repo_id=repo)
 
     def _write(self, rows: DataFrame, now: float, context: str, scope: str, org_id: str, tool: str, aliases: DataFrame | None = None, repo_id: str = "") -> dict[str, int]:
@@ -148,7 +148,7 @@ class Memory:
         flags |= {"source_speaker": F.col("source_speaker")} if "source_speaker" in rows.columns else {}
         flags |= {"single_valued": F.when(F.col("single_valued"), "true")}
         meta = F.map_filter(F.create_map(*[x for k, v in flags.items() for x in (F.lit(k), v)]), lambda _, v: v.isNotNull() & (v != "false"))
-        rows = rows.withColumn("metadata", F.to_json(meta)).withColumn("at", F.lit(float(now)) + F.col("seq") / 1e6).withColumn("seq", F.col("seq").cast("long"))
+        rows = rows.withColumn("metadata", F.to_json(meta)).withColumn("at", F.col("at").cast("double") if "at" in rows.columns else F.lit(float(now)) + F.col("seq") / 1e6).withColumn("seq", F.col("seq").cast("long"))
         tables = {}
         if scope == "private":
             known = self.table.extra("aliases", ALIASES)

@@ -37,13 +37,24 @@ def read_tree(spark: SparkSession, path: str, limit: int = 500) -> DataFrame:
 
 
 def commits_to_facts(commits: DataFrame) -> DataFrame:
-    """One ``committed`` fact a commit and one ``changed_by`` for each of its first ten files."""
-    said = commits.select("sha", F.col("author").alias("subject"), F.lit("committed").alias("predicate"), F.substring("message", 1, 200).alias("object_value"), F.lit(0.95).alias("confidence"), F.col("date").alias("created_at"))
-    files = commits.select("sha", "author", "date", F.explode(F.slice("files", 1, 10)).alias("f"))
-    changed = files.select("sha", F.col("author").alias("subject"), F.lit("changed_by").alias("predicate"), F.col("f").alias("object_value"), F.lit(0.95).alias("confidence"), F.col("date").alias("created_at"))
+    """One ``committed`` fact of the author a commit and one ``changed_by`` of each of its first ten files."""
+    text = F.concat(F.lit("sha:"), F.col("sha"), F.lit(" files:"), F.array_join(F.slice("files", 1, 5), ","), F.lit(" +"), F.col("insertions").cast("string"), F.lit("-"), F.col("deletions").cast("string"))
+    head = [F.lit(0.95).alias("confidence"), F.col("date").alias("created_at")]
+    said = commits.select("sha", F.col("author").alias("subject"), F.lit("committed").alias("predicate"), F.substring("message", 1, 200).alias("object_value"), text.alias("source_text"), *head)
+    files = commits.select("sha", "author", "date", "message", F.explode(F.slice("files", 1, 10)).alias("f"))
+    changed = files.select("sha", F.col("f").alias("subject"), F.lit("changed_by").alias("predicate"), F.col("author").alias("object_value"), F.substring("message", 1, 200).alias("source_text"), *head)
     return said.unionByName(changed)
 
 
+def tree_to_facts(paths: DataFrame) -> DataFrame:
+    """The repository's top directories and its languages by extension, with their numbers of files."""
+    counts = tree_counts(paths)
+    folder = F.col("kind") == "directory"
+    name = F.when(folder, F.concat("name", F.lit("/"))).otherwise(F.concat(F.lit("."), F.col("name")))
+    value = F.concat(name, F.lit(" ("), F.col("n").cast("string"), F.lit(" files)"))
+    return counts.select(F.lit("repo").alias("subject"), F.when(folder, "has_directory").otherwise("uses_language").alias("predicate"), value.alias("object_value"), F.lit(0.99).alias("confidence"))
+
+
 def tree_counts(paths: DataFrame, directories: int = 20, extensions: int = 10) -> DataFrame:
     """(kind, name, n): files by top directory and by extension, the most frequent of each."""
     top = paths.where("path LIKE '%/%'").select(F.lit("directory").alias("kind"), F.split("path", "/")[0].alias("name"))

@@ -252,6 +252,14 @@ def test_weights_stay_a_distribution(spark):
     got = {r["key"]: r["weights"] for r in fold_weights(spark.createDataFrame(rows, "key string, seq int, scores map<string,double>")).collect()}
     assert abs(sum(got["k"].values()) - 1) < 1e-9 and min(got["k"].values()) >= 0.02 / 1.14
     assert got["z"] == R.WEIGHTS
+    w = list(R.WEIGHTS.values())
+    for _, _, scores in rows[:20]:
+        total = sum(scores.values())
+        if total > 0:
+            w = [0.9 * x + 0.1 * s / total for x, s in zip(w, scores.values(), strict=True)]
+            w = [max(0.02, x / sum(w)) for x in w]
+            w = [x / sum(w) for x in w]
+    assert all(abs(got["k"][c] - x) < 1e-12 for c, x in zip(R.CHANNELS, w, strict=True))
 
 
 @pytest.mark.parametrize(("word", "stem"), [("caresses", "caress"), ("ponies", "poni"), ("cats", "cat"), ("agreed", "agre"), ("plastered", "plaster"), ("motoring", "motor"), ("hopping", "hop"), ("falling", "fall"), ("filing", "file"), ("happy", "happi"), ("relational", "relat"), ("conditional", "condit"), ("generalizations", "gener"), ("adoption", "adopt"), ("rate", "rate"), ("controll", "control"), ("café", "cafe")])
@@ -386,3 +394,33 @@ def test_writes_equal_the_sequential_fold(spark, seed):
     got, done = W.settle(facts, batch, NOW + 1000)
     assert [x["action"] for x in done.orderBy("seq").collect()] == log
     assert sorted(tuple(x) for x in got.select("subject", "predicate", "object_value", "is_negation", "state", "evidence_count").collect()) == want
+
+
+def test_leader_clusters_equal_the_plain_fold(spark):
+    import numpy as np
+
+    r = np.random.default_rng(7)
+    rows = [("ab"[i % 2], i, [float(x) for x in r.standard_normal(3)]) for i in range(1200)]
+    want = []
+    for key in "ab":
+        leaders = []
+        for k, seq, v in rows:
+            if k == key:
+                u = np.array(v, np.float32).astype(np.float64)
+                u /= np.linalg.norm(u)
+                near = max(leaders, key=lambda x: x[1] @ u, default=None)
+                if near is None or near[1] @ u < 0.82:
+                    leaders.append(near := (seq, u))
+                want.append((key, seq, near[0]))
+    df = spark.createDataFrame(rows, "key string, seq int, embedding array<float>")
+    assert sorted(tuple(x) for x in normalize.leader_clusters(df).collect()) == sorted(want)
+
+
+def test_nearest_rank_of_skewed_keys(spark):
+    r = random.Random(3)
+    rows = [("hot", r.choice([r.random(), 0.5, 1e6])) for _ in range(2000)] + [("one", 3.0), ("same", 1.0), ("same", 1.0), (None, 2.0), ("none", None), ("none", 4.0)]
+    got = {x["k"]: (x["p50"], x["p95"]) for x in profiles.nearest_rank(spark.createDataFrame(rows, "k string, v double"), "k", "v", {"p50": 0.5, "p95": 0.95}).collect()}
+    for key in {k for k, _ in rows}:
+        v = sorted((x for k, x in rows if k == key), key=lambda x: (x is None, x))
+        at = lambda p: v[int(p * (len(v) - 1) + 0.5)]  # noqa: B023, E731
+        assert got[key] == (at(0.5), at(0.95)), key
