@@ -191,34 +191,34 @@ def between(text: Column, a: Column, b: Column) -> Column:
     return F.trim(F.trim(F.trim(cut), F.lit(".,;:!?-–—")))
 
 
-def _near(text: Column) -> Column:
+def _near(text: Column, found: Column) -> Column:
     """Pairs of entities at most two apart with the text between them, of one to five words, as candidate facts."""
-    with_words = F.transform(entity_pairs(entities(text)), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), between(text, p["a"], p["b"]).alias("w")))
+    with_words = F.transform(entity_pairs(found), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), between(text, p["a"], p["b"]).alias("w")))
     some = F.filter(with_words, lambda p: (F.length(p["w"]) > 0) & (F.size(F.split(p["w"], r"\s+")) <= 5))
     return F.transform(some, lambda p: F.struct(p["a"].alias("subject"), T.relation_predicate(p["w"]).alias("predicate"), p["b"].alias("object"), F.lit(0.6).alias("confidence")))
 
 
 def cooccurrences(df: DataFrame) -> DataFrame:
     """Pairs of entities at most two apart and the text between them, if it has one to five words, as candidate facts."""
-    return rows(df, _near(F.col("text")))
+    return rows(df.withColumn("_found", entities(F.col("text"))), _near(F.col("text"), F.col("_found")))
 
 
-def _own(text: Column, user: Column) -> Column:
+def _own(text: Column, user: Column, found: Column) -> Column:
     """What stands between the writer's "I" (or "I am", "I have", ...) and an entity after it, if it is one to four words, as candidate
     facts on the user. "I" counts as a word of its own only."""
     low = F.lower(text)
     word = lambda m: r"(?<![a-z0-9_'])" + m + r"(?![a-z0-9_])"
     marker = F.coalesce(*[F.when(low.rlike(word(m)), F.lit(m)) for m in SELF])
     start = F.coalesce(*[F.when(marker == m, F.regexp_instr(low, F.lit(word(m)))) for m in SELF]) + F.length(marker)
-    found = F.transform(entities(text), lambda e: F.struct(e.alias("e"), F.trim(F.trim(F.trim(F.substring(text, start, F.position(F.lower(e), low) - start)), F.lit(".,;:!?-–—"))).alias("w")))
-    some = F.filter(found, lambda p: (F.length(p["w"]) > 0) & (F.size(F.split(p["w"], r"\s+")) <= 4))
+    after = F.transform(found, lambda e: F.struct(e.alias("e"), F.trim(F.trim(F.trim(F.substring(text, start, F.position(F.lower(e), low) - start)), F.lit(".,;:!?-–—"))).alias("w")))
+    some = F.filter(after, lambda p: (F.length(p["w"]) > 0) & (F.size(F.split(p["w"], r"\s+")) <= 4))
     facts = F.transform(some, lambda p: F.struct(user.alias("subject"), T.relation_predicate(p["w"]).alias("predicate"), p["e"].alias("object"), F.lit(0.7).alias("confidence")))
     return F.when(marker.isNotNull(), facts).otherwise(F.array().cast(FACT))
 
 
 def self_references(df: DataFrame) -> DataFrame:
     """Candidate facts of the user about themself."""
-    return rows(df, _own(F.col("text"), F.col("user_id")))
+    return rows(df.withColumn("_found", entities(F.col("text"))), _own(F.col("text"), F.col("user_id"), F.col("_found")))
 
 
 def best_candidates(cands: DataFrame, least: float = 0.4, top: int = 10) -> DataFrame:
@@ -256,8 +256,9 @@ def grammar_free(df: DataFrame, learned: DataFrame | None = None) -> DataFrame:
     """
     text, user, kind = F.col("text"), F.col("user_id"), F.col("kind")
     typed = df.select("seq", "user_id", "text", source_type(text).alias("kind"))
+    typed = typed.withColumn("found", F.when(kind.isin("sentence", "chat"), entities(text)))
     none = F.array().cast(FACT)
     made = F.when(kind == "kv_pairs", key_value_facts(text, user)).when(kind == "email_signature", signature_facts(text, user)).when(kind == "commit", commit_facts(text)).when(kind == "social", social_facts(text, user))
-    made = made.when(kind == "fragment", fragment_facts(text, user)).when(kind == "resume", resume_facts(text, user)).when(kind.isin("sentence", "chat"), F.concat(_near(text), _own(text, user)))
+    made = made.when(kind == "fragment", fragment_facts(text, user)).when(kind == "resume", resume_facts(text, user)).when(kind.isin("sentence", "chat"), F.concat(_near(text, F.col("found")), _own(text, user, F.col("found"))))
     out = rows(typed, F.coalesce(made.cast(FACT), none))
     return best_candidates(corrected(out, learned) if learned is not None else out)

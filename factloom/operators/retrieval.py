@@ -29,13 +29,13 @@ CHANNELS = ("semantic", "keyword", "temporal", "belief", "frequency", "graph", "
 WEIGHTS = dict(zip(CHANNELS, (0.30, 0.15, 0.10, 0.15, 0.10, 0.10, 0.10), strict=True))
 
 
-def postings(facts: DataFrame, longest: int = 4) -> DataFrame:
-    """(prefix, id, seq, token): the inverted index. Each token stands under its first two to ``longest`` letters, so that a
+def postings(facts: DataFrame, longest: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(prefix, id, seq, token, and the columns ``keep``): the inverted index. Each token stands under its first two to ``longest`` letters, so that a
     term's prefix match is one equi-join whatever the term's length."""
     text = F.concat_ws(" ", "source_text", "object_value", F.regexp_replace("predicate", "_", " "))
-    tokens = facts.select("id", "seq", F.explode(F.array_distinct(T.tokens(text))).alias("token"))
+    tokens = facts.select("id", "seq", *keep, F.explode(F.array_distinct(T.tokens(text))).alias("token"))
     heads = F.array_distinct(F.transform(F.sequence(F.lit(2), F.lit(longest)), lambda n: F.substring(F.col("token"), F.lit(1), n)))
-    return tokens.select("id", "seq", "token", F.explode(heads).alias("prefix"))
+    return tokens.select("id", "seq", *keep, "token", F.explode(heads).alias("prefix"))
 
 
 def keyword_score(terms: Column, source: Column, obj: Column, predicate: Column) -> Column:
@@ -159,7 +159,7 @@ def pool(queries: DataFrame, facts: DataFrame, as_of: float, top_k: int = 20, ve
     terms = asked.select("query_id", "_past", F.explode(F.array_distinct(expanded_terms(F.col("text")))).alias("term")).where("length(term) >= 2").withColumn("prefix", F.substring("term", 1, 4))
     # Only tokens with a prefix that some term has are worth a posting; there are as many as terms.
     wanted = terms.select("prefix").distinct()
-    index = postings(rows).join(wanted, "prefix", "left_semi").join(rows.select(F.col("id").alias("_i"), "scope", "_live"), F.col("id") == F.col("_i")).drop("_i")
+    index = postings(rows, keep=("scope", "_live")).join(wanted, "prefix", "left_semi")
     hits = terms.join(index, "prefix").where(F.startswith(F.col("token"), F.col("term")) & (F.col("_live") | F.col("_past"))).select(*POOL, "id", "seq").distinct()
     ordered = lambda df, *by: df.withColumn("n", F.row_number().over(Window.partitionBy(*POOL).orderBy(*by)))
     branch = lambda df, src: df.select(*POOL, "id", F.lit(src).alias("src"), "n")
@@ -173,13 +173,16 @@ def pool(queries: DataFrame, facts: DataFrame, as_of: float, top_k: int = 20, ve
     newest = lambda df, by: df.select("id", "seq", "scope", by, F.row_number().over(Window.partitionBy("scope").orderBy(*by_time(by))).alias("n")).where(F.col("n") <= top_k)
     # k rows a scope, of three scopes.
     found = found.unionByName(branch(asked.where("_past").select("query_id").join(F.broadcast(newest(past, "updated_at")), F.lit(True)), 2))
-    enough = found.groupBy(*POOL).agg(F.countDistinct("id").alias("_n")).where(F.col("_n") >= top_k).select(*POOL)
-    recent = queries.select("query_id").join(F.broadcast(newest(live, "last_accessed")), F.lit(True)).join(enough, list(POOL), "left_anti")
+    recent = queries.select("query_id").join(F.broadcast(newest(live, "last_accessed")), F.lit(True))
     found = found.unionByName(branch(recent, 3))
     own = asked.where(flags["first_person"]).select("query_id", F.col("user_id").alias("_u")).join(live.select("id", "seq", "scope", "subject", "predicate", "updated_at"), F.col("subject") == F.col("_u"))
     for src, of, limit in ((4, own, 50), (5, own.where("predicate <> 'stated'"), 2000)):
         found = found.unionByName(branch(ordered(of, *by_time("updated_at")).where(F.col("n") <= limit), src))
-    first = found.groupBy(*POOL, "id").agg(F.min(F.struct("src", "n")).alias("at"))
+    # Recent facts count where what came in before them falls short; a fact may then stand as one of the user's own.
+    entry = F.struct("src", "n")
+    first = found.groupBy(*POOL, "id").agg(F.min(entry).alias("any"), F.min(F.when(F.col("src") != 3, entry)).alias("other"))
+    before = F.count_if(F.col("any.src") < 3).over(Window.partitionBy(*POOL))
+    first = first.withColumn("at", F.when(before < top_k, F.col("any")).otherwise(F.col("other"))).where("at is not null")
     ranked = first.withColumn("cand_ord", F.row_number().over(Window.partitionBy("query_id").orderBy("scope", "at"))).select("query_id", F.col("id").alias("_id"), "cand_ord")
     every = rows.drop("embedding", "_live")
     return ranked.join(every, F.col("_id") == F.col("id")).drop("_id").join(queries.withColumnRenamed("user_id", "asker"), "query_id")
