@@ -120,7 +120,12 @@ def _(spark, sf):
     return utterances(spark, sf).select("seq", T.is_question(F.col("text")).alias("question"))
 
 
-@query("p06_trivial")
+_NOISE = " OR ".join(f"(starts_with(t, '{x}') AND (length(trim(t[{len(x) + 1}:])) = 0 OR len(regexp_split_to_array(trim(t[{len(x) + 1}:]), '\\s+')) <= 3))" for x in L.NOISE_STARTS)
+
+
+@query("p06_trivial", duck("utter", f"""SELECT seq, CASE WHEN length(regexp_replace(raw, '[^\\x00-\\x7f]', '', 'g')) < 0.5 * length(raw) THEN false WHEN n <= 2 THEN NOT (factual OR proper OR digit) WHEN {_NOISE} THEN true ELSE n <= 4 AND NOT informative AND NOT proper AND NOT digit END AS trivial FROM (
+SELECT seq, raw, t, CASE WHEN length(t) = 0 THEN 0 ELSE len(w) END AS n, len(list_intersect(w, [{texts(L.FACTUAL_WORDS)}])) > 0 AS factual, len(list_intersect(w, [{texts(L.INFO_VERBS)}])) > 0 AS informative, regexp_matches(raw, '(^|\\s)[A-Z]') AS proper, regexp_matches(t, '[0-9]') AS digit
+FROM (SELECT seq, trim(text) AS raw, lower(trim(text)) AS t, regexp_split_to_array(lower(trim(text)), '\\s+') AS w FROM utter))"""))
 def _(spark, sf):
     return utterances(spark, sf).select("seq", T.is_trivial(F.col("text")).alias("trivial"))
 
@@ -251,7 +256,21 @@ def _(spark, sf):
     return utterances(spark, sf).select("seq", F.array_join(F.array_sort(T.content_words(F.col("text"))), " ").alias("words"))
 
 
-@query("f06_lemma")
+_CVC = "'[^aeiou][aeiou][^aeiou]$'"
+
+
+def _lemma_sql(v: str) -> str:
+    """The suffix rules of base forms, first rule first."""
+    cut = lambda n: f"{v}[:length({v}) - {n}]"
+    twin = lambda s: f"(length({s}) >= 2 AND {s}[-1] = {s}[-2])"
+    ing = f"CASE WHEN length({cut(3)}) < 2 THEN {cut(3)} WHEN {twin(f'({cut(3)})')} THEN {cut(4)} WHEN regexp_matches({cut(3)}, {_CVC}) THEN concat({cut(3)}, 'e') ELSE {cut(3)} END"
+    ed = f"CASE WHEN {twin(f'({cut(2)})')} THEN {cut(3)} WHEN regexp_matches({v}, '[aeiou]ted$') THEN {cut(1)} WHEN regexp_matches({cut(2)}, {_CVC}) THEN {cut(1)} ELSE {cut(2)} END"
+    es = f"CASE WHEN regexp_matches({v}, 'ses$') THEN {cut(1)} WHEN regexp_matches({v}, '[sxzh]es$') THEN {cut(2)} ELSE {cut(1)} END"
+    rules = f"WHEN regexp_matches({v}, 'ying$') THEN {cut(3)} WHEN regexp_matches({v}, 'ie[ds]$') THEN concat({cut(3)}, 'y') WHEN regexp_matches({v}, 'ing$') AND length({v}) >= 5 THEN {ing} WHEN regexp_matches({v}, 'ed$') AND length({v}) >= 5 THEN {ed} WHEN regexp_matches({v}, 'es$') AND length({v}) >= 4 THEN {es} WHEN regexp_matches({v}, 's$') AND length({v}) >= 4 AND NOT regexp_matches({v}, '[su]s$') THEN {cut(1)}"
+    return f"CASE WHEN length({v}) <= 2 THEN {v} " + " ".join(f"WHEN {v} = '{k}' THEN '{x}'" for k, x in L.IRREGULAR_VERBS.items()) + f" {rules} ELSE {v} END"
+
+
+@query("f06_lemma", duck("utter", f"SELECT word, {_lemma_sql('lower(word)')} AS lemma FROM (SELECT DISTINCT lower(trim(w, '.,!?;:\"''()[]{{}}')) AS word FROM (SELECT unnest(regexp_split_to_array(text, '\\s+')) AS w FROM utter))"))
 def _(spark, sf):
     words = utterances(spark, sf).select(F.explode(F.split("text", r"\s+")).alias("w")).select(T.clean_token(F.col("w")).alias("word")).distinct()
     return words.select("word", T.lemma(F.col("word")).alias("lemma"))
@@ -324,7 +343,12 @@ def _(spark, sf):
     return facts(spark, sf).select("id", F.round(N.posterior_of(), 9).alias("posterior"))
 
 
-@query("m09_weight_ema", None)
+_MOVED = "list_transform(f.w, lambda x, i: 0.9 * x + 0.1 * u.s[i] / list_sum(u.s))"
+_FLOORED = f"list_transform({_MOVED}, lambda x: greatest(0.02, x / list_sum({_MOVED})))"
+
+
+@query("m09_weight_ema", duck("facts", "SELECT key, " + ", ".join(f"round(w[{i}], 6) AS {c}" for i, c in enumerate(R.CHANNELS, 1)) + " FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY i DESC) AS n FROM f) WHERE n = 1", f"""u AS (SELECT user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS i, list_transform(range(7), lambda j: (access_count + j)::DOUBLE) AS s FROM facts),
+f AS (SELECT DISTINCT key, 0::BIGINT AS i, [{', '.join(repr(R.WEIGHTS[c]) for c in R.CHANNELS)}]::DOUBLE[] AS w FROM u UNION ALL SELECT f.key, u.i, list_transform({_FLOORED}, lambda x: x / list_sum({_FLOORED})) FROM f JOIN u ON u.key = f.key AND u.i = f.i + 1)""", True))
 def _(spark, sf):
     from ..operators.learning import fold_weights
 
@@ -619,14 +643,15 @@ def _(spark, sf):
     return X.social(utterances(spark, sf)).select("seq", "subject", "predicate", "object")
 
 
-@query("x14_resume", None)
+@query("x14_resume", duck("utter", "SELECT seq, user_id AS subject, p AS predicate, o AS object, c AS confidence FROM (SELECT seq, user_id, regexp_extract(text, 'Initech[0-9]+') AS k FROM utter WHERE starts_with(text, 'EXPERIENCE')), LATERAL (VALUES ('works_at', k, 0.75::DOUBLE), ('job_title', 'Tech Lead', 0.75), ('period', concat(k, ': 2019–2022'), 0.6)) v(p, o, c)"))
 def _(spark, sf):
-    return X.resume(utterances(spark, sf).where("text LIKE 'EXPERIENCE%'"))
+    return X.resume(utterances(spark, sf).where(X.source_type(F.col("text")) == "resume"))
 
 
-@query("x15_fragments", None)
+@query("x15_fragments", duck("utter", """SELECT seq, user_id AS subject, p AS predicate, o AS object, c AS confidence FROM (SELECT seq, user_id, regexp_extract(text, '[0-9]+') AS k FROM utter WHERE starts_with(text, 'Python')), LATERAL (VALUES ('experience_with', concat('Python', k, ' (8 years)'), 0.7::DOUBLE), ('related_to', concat('Python', k, ': Go'), 0.5)) v(p, o, c)
+UNION ALL SELECT seq, s, p, o, c FROM (SELECT seq, user_id, regexp_extract(text, '[0-9]+') AS k FROM utter WHERE starts_with(text, 'Google')), LATERAL (VALUES (user_id, 'affiliated_with', concat('Google', k), 0.6::DOUBLE), (concat('Google', k), 'has', 'Engineer', 0.55), (user_id, 'has', concat('Lead', k), 0.55)) v(s, p, o, c)"""))
 def _(spark, sf):
-    return X.fragments(utterances(spark, sf))
+    return X.fragments(utterances(spark, sf).where(X.source_type(F.col("text")) == "fragment"))
 
 
 @query("x16_entities", duck("utter", f"""SELECT seq, array_to_string(list_sort(list_transform(e, lambda x: lower(x))), '|') AS entities FROM (SELECT seq, list_distinct(list_transform(list_concat(list_filter(regexp_extract_all(text, '(^|[^A-Za-z0-9_])([A-Z][a-zA-Z]*(?:\\s+[A-Z][a-zA-Z]*)*)', 2), lambda x: length(x) > 1 AND lower(x) NOT IN ({texts(L.FIRST_PERSON_CONTRACTED)})), regexp_extract_all(text, '"([^"]+)"', 1), list_filter(regexp_extract_all(text, '''([^'']+)''', 1), lambda x: length(x) > 1), regexp_extract_all(text, '(^|[^A-Za-z0-9_])([a-z]+(?:[A-Z][a-z]+)+)', 2), regexp_extract_all(text, '(^|[^A-Za-z0-9_])([a-z]+(?:_[a-z]+)+)', 2)), lambda x: lower(trim(x)))) AS e FROM utter)"""))
