@@ -14,7 +14,7 @@ from ..operators import graph as G
 from ..operators import retrieval as R
 from ..schema import PERSONAL, lookup
 from .derive import AS_OF, duck, each_question, edges, facts, questions, table, utterances
-from .suite import _RANKED, _TARGETS, SQL_CANON, SQL_LIVE, SQL_POST, query, six, sql_tokens, texts
+from .suite import _AXIS, _DIV, _Q, _RANKED, _SYN, _TARGETS, SQL_CANON, SQL_LIVE, SQL_POST, SQL_RECENCY, _kw_sql, query, six, sql_content, sql_tokens, texts
 
 _KEY = "subject, predicate, object_value, is_negation"
 
@@ -104,13 +104,28 @@ def _(spark, sf):
     return questions(spark).select("query_id", F.explode(R.target_predicates(F.col("text"))).alias("predicate"))
 
 
-@query("u01_ordered_union", duck("facts", f"SELECT subject, id, src, row_number() OVER (PARTITION BY subject ORDER BY src, n, id) AS cand_ord FROM (SELECT subject, id, min((src, n)).src AS src, min((src, n)).n AS n FROM (SELECT subject, id, {{'src': 0, 'n': rn}}.src AS src, rn AS n FROM (SELECT subject, id, row_number() OVER (PARTITION BY subject ORDER BY seq) AS rn FROM facts WHERE {SQL_LIVE} AND access_count > 3) WHERE rn <= 5 UNION ALL SELECT subject, id, 1, rn FROM (SELECT subject, id, row_number() OVER (PARTITION BY subject ORDER BY updated_at DESC, seq) AS rn FROM facts WHERE {SQL_LIVE}) WHERE rn <= 5) GROUP BY ALL)".replace("min((src, n)).src", "min(src)").replace("min((src, n)).n", "arg_min(n, src)").replace("{'src': 0, 'n': rn}.src", "0").replace("GROUP BY ALL)", "GROUP BY subject, id)")))
+_TEMPORAL = "(" + " OR ".join(f"contains(lower(text), '{k}')" for k in L.TEMPORAL_KEYWORDS) + r" OR regexp_matches(lower(text), '(^|[^a-z0-9_])(my|the|our|their|his|her|a|an)\s+old($|[^a-z0-9_])'))"
+_FIRST = "regexp_matches(lower(text), '(^|[^a-z0-9_])(i|my|me|mine|myself)($|[^a-z0-9_])')"
+_SYNONYMS = "flatten(list_transform(list_filter(terms, lambda t: t IN (" + texts(L.SYNONYMS) + ")), lambda t: CASE t " + " ".join(f"WHEN '{k}' THEN [{texts(v)}]" for k, v in L.SYNONYMS.items()) + " END))"
+_NEWEST = "(SELECT *, row_number() OVER (PARTITION BY scope ORDER BY {by} DESC, seq DESC) AS n FROM r WHERE {of})"
+#: The candidate pool with k = 10, branch by branch.
+_POOL = f"""{_Q}, q AS (SELECT query_id, user_id AS asker, text, terms, list_filter(list_concat(terms, {_SYNONYMS}), lambda t: length(t) >= 2) AS wanted, {_TEMPORAL} AS temporal, {_FIRST} AS first_person FROM qs),
+r AS (SELECT *, {sql_tokens("concat_ws(' ', source_text, object_value, replace(predicate, '_', ' '))")} AS toks FROM (SELECT *, {SQL_LIVE} AND {SQL_POST} > 0.15 AS live FROM facts) WHERE live OR state = 'superseded'),
+b0 AS (SELECT query_id, scope, id, row_number() OVER (PARTITION BY query_id, scope ORDER BY seq) AS n FROM q JOIN r ON r.live OR q.temporal WHERE len(list_filter(wanted, lambda t: len(list_filter(toks, lambda d: starts_with(d, t))) > 0)) > 0),
+own AS (SELECT query_id, scope, id, predicate, updated_at, seq FROM q JOIN r ON r.live AND q.first_person AND r.subject = q.asker),
+b AS (SELECT query_id, scope, id, 0 AS src, n FROM b0 WHERE n <= 50
+UNION ALL SELECT query_id, scope, id, 2, n FROM q, {_NEWEST.format(by="updated_at", of="NOT live")} WHERE temporal AND n <= 10
+UNION ALL SELECT query_id, scope, id, 3, n FROM q, {_NEWEST.format(by="last_accessed", of="live")} WHERE n <= 10
+UNION ALL SELECT query_id, scope, id, 4, n FROM (SELECT *, row_number() OVER (PARTITION BY query_id, scope ORDER BY updated_at DESC, seq DESC) AS n FROM own) WHERE n <= 50
+UNION ALL SELECT query_id, scope, id, 5, n FROM (SELECT *, row_number() OVER (PARTITION BY query_id, scope ORDER BY updated_at DESC, seq DESC) AS n FROM own WHERE predicate <> 'stated') WHERE n <= 2000),
+e AS (SELECT query_id, scope, id, min(src * 1000000 + n) AS a1, min(CASE WHEN src <> 3 THEN src * 1000000 + n END) AS a2 FROM b GROUP BY ALL),
+entered AS (SELECT query_id, scope, id, CASE WHEN early < 10 THEN a1 ELSE a2 END AS place FROM (SELECT *, count(CASE WHEN a1 < 3000000 THEN 1 END) OVER (PARTITION BY query_id, scope) AS early FROM e)),
+pool AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY scope, place) AS cand_ord FROM entered WHERE place IS NOT NULL)"""
+
+
+@query("u01_candidate_pool", duck("facts asks", "SELECT query_id, id, cand_ord FROM pool", _POOL))
 def _(spark, sf):
-    live = B.live(facts(spark, sf), AS_OF)
-    top = lambda df, src, *order: df.withColumn("n", F.row_number().over(Window.partitionBy("subject").orderBy(*order))).where("n <= 5").select("subject", "id", F.lit(src).alias("src"), "n")
-    both = top(live.where("access_count > 3"), 0, "seq").unionByName(top(live, 1, F.col("updated_at").desc(), "seq"))
-    one = both.groupBy("subject", "id").agg(F.min(F.struct("src", "n")).alias("at"))
-    return one.select("subject", "id", F.col("at.src").alias("src"), F.row_number().over(Window.partitionBy("subject").orderBy("at", "id")).cast("long").alias("cand_ord"))
+    return R.pool(questions(spark), facts(spark, sf), AS_OF, 10).select("query_id", "id", F.col("cand_ord").cast("long").alias("cand_ord"))
 
 
 @query("u03_token_sets", f"SELECT a.item_id AS a, b.item_id AS b, len(list_intersect(a.t, b.t)) AS both, len(list_distinct(list_filter(a.t, lambda x: NOT list_contains(b.t, x)))) AS only_a FROM (SELECT item_id, list_distinct({sql_tokens('text')}) AS t FROM benchmark) a JOIN (SELECT item_id, list_distinct({sql_tokens('text')}) AS t FROM benchmark) b ON b.item_id = a.item_id + 1")
@@ -246,3 +261,46 @@ def _(spark, sf):
 @query("p14_p18_guards", duck("utter", f"SELECT seq, length(trim(text)) > 0 AS asked, lower(text) IN ({texts(L.GENERIC_PREDICATES)}) AS generic FROM utter"))
 def _(spark, sf):
     return utterances(spark, sf).select("seq", (F.length(F.trim("text")) > 0).alias("asked"), F.lower("text").isin(list(L.GENERIC_PREDICATES)).alias("generic"))
+
+
+# ---- recall as a whole ------------------------------------------------------------------------------------------------
+_HOPS = """edges AS (SELECT DISTINCT lower(subject) AS src, lower(object_value) AS dst FROM facts WHERE subject <> '' AND object_value <> ''),
+fwd AS (SELECT src, dst, 1.0 / log2(count(*) OVER (PARTITION BY src) + 2.0) AS fan FROM edges),
+rev AS (SELECT dst AS src, src AS dst, 1.0 / log2(count(*) OVER (PARTITION BY dst) + 2.0) AS fan FROM edges),
+seeds AS (SELECT DISTINCT query_id, unnest(terms) AS seed FROM qs),
+h1 AS (SELECT query_id, seed, dst AS node, max(0.5 * fan) AS a FROM seeds JOIN (SELECT * FROM fwd UNION ALL SELECT * FROM rev) ON src = seed GROUP BY ALL),
+h2 AS (SELECT query_id, seed, f.dst AS node, max(a * 0.5 * fan) AS a FROM h1 JOIN fwd f ON f.src = node WHERE f.dst <> seed AND a * 0.5 * fan > 0.01 GROUP BY ALL),
+h3 AS (SELECT query_id, seed, f.dst AS node, max(a * 0.5 * fan) AS a FROM h2 JOIN fwd f ON f.src = node WHERE f.dst <> seed AND a * 0.5 * fan > 0.005 GROUP BY ALL),
+act AS (SELECT query_id, node, max(a) AS a FROM (SELECT query_id, seed AS node, 1.0 AS a FROM seeds UNION ALL SELECT query_id, node, a FROM h1 UNION ALL SELECT query_id, node, a FROM h2 UNION ALL SELECT query_id, node, a FROM h3) GROUP BY ALL)"""
+_TEXT = "lower(concat_ws(' ', object_value, source_text))"
+_ABOUT = "lower(concat_ws(' ', subject, object_value, source_text))"
+_WORDS = r"regexp_split_to_array(trim({0}), '\s+')"
+#: Channels of each candidate, then what single boosts ask for.
+_CANDS = f"""d AS (SELECT *, list_distinct(list_concat(list_concat(src, objects), {sql_tokens("replace(predicate, '_', ' ')")})) AS every FROM (SELECT *, {sql_tokens("source_text")} AS src, {sql_tokens("object_value")} AS objects FROM facts)),
+met AS (SELECT p.cand_ord, q.query_id, q.asker, q.text, lower(q.text) AS lt, q.temporal, q.first_person, q.terms, d.*, coalesce(x.a, 0.0) AS xa, coalesce(y.a, 0.0) AS ya
+ FROM pool p JOIN d ON d.id = p.id JOIN q ON q.query_id = p.query_id LEFT JOIN act x ON x.query_id = p.query_id AND x.node = lower(d.subject) LEFT JOIN act y ON y.query_id = p.query_id AND y.node = lower(d.object_value)),
+cands AS (SELECT *, {_kw_sql('terms')} AS keyword, {SQL_RECENCY} AS recency, {SQL_POST} AS belief, log2(1.0 + access_count) / log2(1.0 + greatest(max(access_count) OVER (PARTITION BY query_id, scope), 1)) AS frequency,
+ least(1.0, greatest(xa, ya)) AS graph, {SQL_CANON} AS canon, {_TARGETS} AS targets, {sql_content('text')} AS content FROM met),
+asked AS (SELECT *, len(list_intersect(string_split(replace(predicate, '_', ' '), ' '), content)) AS shared, len(list_filter(content, lambda w: contains({_TEXT}, w))) AS hits, len(list_filter(content, lambda w: contains({_ABOUT}, w))) AS about, {_ABOUT} AS t, lt AS q,
+ {_AXIS} AS axis, list_distinct(list_transform(list_filter(list_transform({_WORDS.format('text')}, lambda w: trim(w, '?.,!"''')), lambda w: regexp_matches(w, '^[A-Z]') OR length(w) > 3), lambda w: lower(w))) AS ents,
+ len(list_filter({_WORDS.format('lt')}, lambda w: length(w) > 2 AND w NOT IN ({texts(L.INTENT_STOPWORDS)}))) > 0 AS specific, len(list_filter([{texts(L.COMPANY_KEYWORDS)}], lambda k: contains(lt, k))) > 0 AS company, len(list_filter([{texts(("tell me about", "what do you know", "what about", "describe", "summarize"))}], lambda k: contains(lt, k))) > 0 AS broad,
+ len(list_filter([{texts(L.QUERY_RELATIONSHIPS)}], lambda r: contains(lt, r))) > 0 AS named, len(list_filter([{texts(R.PAST_KEYWORDS)}], lambda k: contains(lt, k))) > 0 AS past FROM cands),
+scored AS (SELECT *, CASE WHEN shared > 0 THEN greatest(axis, least(1.0, 0.5 * shared)) ELSE axis END AS s2 FROM asked),
+aligned AS (SELECT *, CASE WHEN predicate = 'stated' THEN 0.0 ELSE greatest(0.0, CASE WHEN s2 < 0.4 AND hits >= 2 THEN greatest(s2, 0.3) ELSE s2 END) END AS align FROM scored)"""
+
+
+def _rank_sql(channel: str) -> str:
+    per = "PARTITION BY query_id, scope"
+    return f"CASE WHEN {channel} > 0 THEN row_number() OVER ({per} ORDER BY {channel} > 0 DESC, {channel} DESC, cand_ord) - 1 ELSE count(CASE WHEN {channel} > 0 THEN 1 END) OVER ({per}) END"
+
+
+_RRF = " + ".join(f"{R.WEIGHTS[c]}::DOUBLE / (20 + {_rank_sql(name) if name else '0'} + 1)" for c, name in zip(R.CHANNELS, ("", "keyword", "recency", "belief", "frequency", "graph", ""), strict=True))
+_FACTOR = f"""(1.0 + align) * (1.0 + CASE WHEN past AND (is_negation OR state = 'superseded') THEN 1.5 ELSE 0.0 END) * CASE WHEN broad THEN 1 + 0.3 * least(evidence_count, 5) / 5 ELSE 1.0 END * CASE WHEN predicate = 'stated' THEN 0.75 ELSE 1.3 END
+ * CASE WHEN state = 'superseded' THEN CASE WHEN temporal THEN 1.5 ELSE 0.1 END ELSE 1.0 END * (1.0 + CASE WHEN first_person AND NOT named AND length(asker) > 0 AND subject = asker THEN 1.5 WHEN len(list_filter([{texts(L.QUERY_RELATIONSHIPS)}], lambda r: contains(lt, r) AND contains(t, r))) > 0 THEN 1.5 WHEN {_SYN} THEN 1.2 WHEN about >= 2 THEN 0.6 ELSE 0.0 END)
+ * CASE WHEN predicate IN ({texts(L.GENERIC_PREDICATES)}) AND (specific OR align > 0) THEN 0.5 ELSE 1.0 END * (1.0 + CASE WHEN len(ents) > 0 THEN 0.8 * len(list_filter(ents, lambda x: contains({_TEXT}, x))) / len(ents) ELSE 0.0 END) * CASE WHEN company AND scope = 'shared' THEN 1.8 ELSE 1.0 END"""
+
+
+@query("r16_recall", duck("facts asks", "SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(final, 6) AS score FROM ranks", f"{_POOL}, {_HOPS}, {_CANDS}, fused AS (SELECT *, CAST(({_RRF}) * ({_FACTOR}) AS DOUBLE) AS score FROM aligned), {_DIV}"))
+def _(spark, sf):
+    f = facts(spark, sf)
+    return R.recall(questions(spark), f, AS_OF, 10, G.edges_of(f)).select("query_id", "rank", "id", six(F.col("score"), "score"))

@@ -848,12 +848,6 @@ def _(spark, sf):
     return B.live(facts(spark, sf), AS_OF).select(F.col("scope").alias("label"), "subject", "id", F.row_number().over(order).cast("long").alias("rn")).where("rn <= 3")
 
 
-@query("r16_recall", None)
-def _(spark, sf):
-    f = facts(spark, sf)
-    return R.recall(questions(spark), f, AS_OF, 10, G.edges_of(f)).select("query_id", "rank", "id", six(F.col("score"), "score"))
-
-
 # ---- safety ----------------------------------------------------------------------------------------------------------
 @query("g01_tag_injection", "SELECT page_id AS id, regexp_matches(html, '<[!/a-zA-Z][^>]*>') AS flagged FROM pages UNION ALL SELECT -1 - doc_id, regexp_matches(text, '<[!/a-zA-Z][^>]*>') FROM documents")
 def _(spark, sf):
