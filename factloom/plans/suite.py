@@ -548,18 +548,20 @@ def _(spark, sf):
     return exact(facts(spark, sf).where("predicate <> 'stated'")).select("id", "seq")
 
 
-_CLOSE = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
+_TWICE = "two AS (SELECT 2 * vec_id AS id, label, 'experiencing' AS predicate, embedding::DOUBLE[] AS e FROM embeddings UNION ALL SELECT 2 * vec_id + 1, label, 'suffering_from', list_transform(embedding::DOUBLE[], lambda x: x + 0.03 * (vec_id % 12)) FROM embeddings)"
 
 
-@query("d02_near_dup_cosine", f"SELECT a.vec_id AS a, b.vec_id AS b, round({_CLOSE}, 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id AND a.vec_id % 2 <> b.vec_id % 2 WHERE {_CLOSE} >= 0.92")
+@query("d02_near_dup_cosine", f"WITH {_TWICE} SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS cosine FROM two a JOIN two b ON a.label = b.label AND a.id < b.id AND a.predicate <> b.predicate WHERE list_cosine_similarity(a.e, b.e) >= 0.92")
 def _(spark, sf):
     from ..operators.dedup import near
     from ..schema import CARE
 
-    # Two spellings of a multi-valued predicate; every fact has an object of its own.
-    kinds = "CASE WHEN vec_id % 2 = 0 THEN 'experiencing' ELSE 'suffering_from' END AS predicate"
-    v = table(spark, sf, "embeddings").selectExpr("vec_id AS id", "cast(label AS string) AS subject", kinds, "concat('o', vec_id) AS object_value", "false AS is_negation", "embedding")
-    return near(v, identity=CARE).select("a", "b", six(F.col("cosine"), "cosine"))
+    # Each vector as two facts in two spellings of a multi-valued predicate, the second moved by more or less; objects all differ.
+    v = table(spark, sf, "embeddings").selectExpr("vec_id", "cast(label AS string) AS subject", "transform(embedding, x -> cast(x AS double)) AS e")
+    one = v.selectExpr("2 * vec_id AS id", "subject", "'experiencing' AS predicate", "e AS embedding")
+    two = v.selectExpr("2 * vec_id + 1 AS id", "subject", "'suffering_from' AS predicate", "transform(e, x -> x + 0.03D * (vec_id % 12)) AS embedding")
+    both = one.unionByName(two).withColumn("object_value", F.concat(F.lit("o"), F.col("id").cast("string"))).withColumn("is_negation", F.lit(False))
+    return near(both, identity=CARE).select("a", "b", six(F.col("cosine"), "cosine"))
 
 
 @query("d05_expired_repeat", duck("facts", f"SELECT DISTINCT n.id FROM facts n JOIN facts o ON o.valid_until <= {AS_OF} AND o.seq < n.seq AND o.subject = n.subject AND o.predicate = n.predicate AND o.object_value = n.object_value AND o.is_negation = n.is_negation"))
@@ -802,7 +804,7 @@ _FUSED = "fused AS (SELECT *, " + " + ".join(f"{w} / (21.0 + CASE WHEN {c} > 0 T
 def _fused(spark, sf):
     f = B.live(facts(spark, sf), AS_OF)
     cands = f.select(F.col("subject").alias("query_id"), "id", F.col("seq").alias("cand_ord"), "predicate", "object_value", "subject", F.round(N.recency(F.col("updated_at"), F.col("valid_until"), AS_OF), 9).alias("temporal"), F.round(N.posterior_of(), 9).alias("belief"), F.round(N.frequency(F.col("access_count"), F.max("access_count").over(Window.partitionBy("subject"))), 9).alias("frequency"))
-    return R.fuse(cands, ("temporal", "belief", "frequency"))
+    return R.fuse(cands, ("temporal", "belief", "frequency"), key=("query_id",))
 
 
 @query("k02_rrf", duck("facts", "SELECT query_id, id, round(score, 6) AS score FROM fused", f"{_CH}, {_FUSED}"))
