@@ -163,6 +163,20 @@ def keep_only(docs: DataFrame, ids: DataFrame, how: str, id_col: str = "doc_id")
     return docs.join(ids.toDF(key), F.col(id_col) == F.col(key), how)
 
 
+def join_hot(rows: DataFrame, table: DataFrame, on: dict[str, str], weight: str, share: int = 1000) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has one row for each key and in ``weight`` how many rows have it.
+
+    Keys of more than a ``share``-th of all rows, fewer than ``share`` of them, are broadcast; only the rows of the others are
+    shuffled, of which no key has many. ``rows`` is read twice, so it should be a written table of few columns.
+    """
+    total = int(table.agg(F.sum(weight)).first()[0] or 0)
+    meet = lambda: [F.col(a) == F.col(b) for a, b in on.items()]
+    hot = table.where(F.col(weight) * share > total)
+    few = rows.join(F.broadcast(hot), meet())
+    rest = rows.join(F.broadcast(hot.select(*on.values())), meet(), "left_anti").join(table.where(F.col(weight) * share <= total), meet())
+    return few.unionByName(rest)
+
+
 def numbered(df: DataFrame, order: list[str], name: str = "row_number", slots: int | None = None) -> DataFrame:
     """Add a gapless global row number (from 0) in the order of the columns ``order``.
 

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, fresh, project, shared_dir, ship, slices
+from .common import column, fresh, join_hot, materialize, project, shared_dir, ship, slices
 
 #: Bytes of distinct text a bucket may hold before it splits, as long as that makes no more than MOST_BUCKETS of them; beyond,
 #: buckets hold as much more. (Owners stream their buckets, so a larger one needs no more memory.)
@@ -207,8 +207,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     index, _ = build_index(docs, id_col, text_col, capacity)
     found = index.select(F.col("h").alias("_h"), F.col("digest").alias("_d"), F.nullif(F.col("doc_id"), F.lit(NO_ID)).alias("keep_id"), F.col("copies").alias("group_size"), "bucket", "chain")
-    rows = _keyed(docs, id_col, text_col).select("doc_id", "h", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
-    out = rows.join(found, (F.col("h") == F.col("_h")) & (F.col("text_sha256") == F.col("_d")))
+    rows = materialize(_keyed(docs, id_col, text_col).select("doc_id", "h", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")), "digests")
+    out = join_hot(rows, found, {"h": "_h", "text_sha256": "_d"}, "group_size")
     return out.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256", "bucket", "chain")
 
 
