@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binaries, column, fresh, lists, map_arrow, materialize, project, ship, tidy
+from .common import binaries, column, fresh, join_hot, lists, map_arrow, materialize, project, ship, tidy
 from .components import components, least_reachable, least_reachable_dense
 from .hashing import mix, seeds, sequence_keys, shingles, words
 
@@ -200,9 +200,10 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = named.groupBy("_root").agg(F.min(F.struct("rep", "k1", "k2", "cid")).alias("least")).select(F.col("_root").alias("_r"), "least")
     heads = named.join(least, F.col("_root") == F.col("_r")).select(F.col("cid").alias("_m"), F.col("least")["rep"].alias("group_id"), F.col("least")["cid"].alias("head"))
     per_class = classes.select("cid", "k1", "k2", F.col("rep").alias("class_id"), "copies").join(links, F.col("cid") == F.col("_l"), "left").join(heads, F.col("cid") == F.col("_m"), "left")
-    per_class = per_class.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("group_id", "class_id").alias("group_id"), (F.coalesce("head", "cid") == F.col("cid")).alias("head"))
+    per_class = per_class.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("group_id", "class_id").alias("group_id"), (F.coalesce("head", "cid") == F.col("cid")).alias("head"), "copies")
+    per_class = materialize(per_class, "per-class")
     alone = signed.where("k1 is null or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("group_id"), "text_key", F.lit(True).alias("kept"))
-    out = worded.join(per_class, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")))
+    out = join_hot(worded.drop("bands"), per_class, {"k1": "_k1", "k2": "_k2"}, "copies")
     return out.select("doc_id", "class_id", "n_links", "group_id", "text_key", (F.col("head") & (F.col("doc_id") == F.col("class_id"))).alias("kept")).unionByName(alone)
 
 
