@@ -61,8 +61,8 @@ class Encoder:
         byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
         special = {t["content"] for t in x.get("added_tokens", [])}
         ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if token not in special}
-        core = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
-        return core.encode_single_piece, regex.compile(public_tokenizers.PATTERN).findall
+        whole = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})  # a word is one piece
+        return whole.encode_ordinary, regex.compile(public_tokenizers.PATTERN).findall
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         if not texts:
@@ -80,7 +80,7 @@ class Encoder:
         for word in self.split(part):
             ids = known.get(word)
             if ids is None:
-                ids = known[word] = np.array(self.merge(word.encode()), "<u4").tobytes()
+                ids = known[word] = np.array(self.merge(word), "<u4").tobytes()
             out.append(ids)
         ids = known[part] = b"".join(out)
         return ids
