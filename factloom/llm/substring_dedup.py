@@ -256,7 +256,7 @@ def find_windows(rows: DataFrame, width: int, n_buckets: int) -> DataFrame:
             yield _found(np.where(full, FULL, PART)[told], doc[told], text[told], at[told], size[told])
 
     packed = map_arrow(rows, send, _PACKED, step=BATCH_BYTES)
-    spread = F.when(F.col("kind") == PART, F.col("bucket").cast("long")).otherwise(F.xxhash64("docs"))
+    spread = F.when(F.col("kind") == PART, F.col("bucket").cast("long")).otherwise(F.xxhash64("base", "docs", "places"))
     return packed.repartition(n_buckets, spread).sortWithinPartitions("kind", "bucket").mapInArrow(own, _FOUND)
 
 
