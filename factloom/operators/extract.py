@@ -230,10 +230,12 @@ def best_candidates(cands: DataFrame, least: float = 0.4, top: int = 10) -> Data
 
 
 def corrected(cands: DataFrame, learned: DataFrame) -> DataFrame:
-    """Apply learned corrections (wrong, right, object or null): those for the very object first, then those for any."""
-    exact = learned.where("object is not null").select(F.col("wrong").alias("_w"), F.col("object").alias("_o"), F.col("right").alias("_x"))
-    plain = learned.where("object is null").select(F.col("wrong").alias("_v"), F.col("right").alias("_y"))
-    both = cands.join(exact, (F.col("predicate") == F.col("_w")) & (F.col("object") == F.col("_o")), "left").join(plain, F.col("predicate") == F.col("_v"), "left")
+    """Apply learned corrections (wrong, right, object or null[, at]), in any case: those for the very object first, then those for any.
+    Of several the last learned counts; one for an object counts for others too, where none is for any."""
+    rules = learned.select(F.lower("wrong").alias("wrong"), F.lower("right").alias("right"), F.nullif(F.lower("object"), F.lit("")).alias("object"), F.col("at") if "at" in learned.columns else F.lit(0.0).alias("at"))
+    exact = rules.where("object is not null").groupBy(F.col("wrong").alias("_w"), F.col("object").alias("_o")).agg(F.max_by("right", "at").alias("_x"))
+    plain = rules.groupBy(F.col("wrong").alias("_v")).agg(F.coalesce(F.max_by("right", F.when(F.col("object").isNull(), F.col("at"))), F.max_by("right", "at")).alias("_y"))
+    both = cands.join(exact, (F.lower("predicate") == F.col("_w")) & (F.lower("object") == F.col("_o")), "left").join(plain, F.lower("predicate") == F.col("_v"), "left")
     return both.withColumn("predicate", F.coalesce("_x", "_y", "predicate")).drop("_w", "_o", "_x", "_v", "_y")
 
 

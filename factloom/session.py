@@ -26,17 +26,18 @@ from .sources.snapshots import BUCKETS, Snapshots, bucket_of, owner
 PROVENANCE = "seq long, subject string, predicate string, object_value string, source_text string, source_tool string, at double, fact_id string, action string"
 ALIASES = "user_id string, alias string"
 EDGES = "owner string, src string, dst string"
+CORRECTIONS = "wrong string, right string, object string, at double"
 
 
 @dataclass(frozen=True)
 class Options:
-    """``similarity``: of a text to known payloads (0 to 1), from an embedding, where one is at hand. ``buckets`` of tenants count
-    when the table is made."""
+    """``embed``: a model of meaning as a column expression or Arrow UDF; writes are then checked by likeness too, and questions for what
+    they ask about. ``buckets`` of tenants count when the table is made."""
 
     injection_defense: bool = True
     hypothetical_detection: bool = True
     clarification: float = 0.15
-    similarity: Callable[[Column], Column] | None = None
+    embed: Callable[[Column], Column] | None = None
     buckets: int = BUCKETS
 
 
@@ -94,13 +95,13 @@ class Memory:
         rows = _filled(self.extractor(said, context))
         if context == "personal":
             other = said.where(X.source_type(F.col("text")) != "sentence")
-            rows = rows.unionByName(_filled(X.grammar_free(other)))
+            rows = rows.unionByName(_filled(X.grammar_free(other, self.corrections())))
         return self._store_said(rows, said, now, context, scope, org_id, tool)
 
     def store_from_tool(self, utterances: DataFrame, tool: str, now: float) -> dict[str, int]:
         """Any tool's texts, read both without grammar and with it."""
         said = utterances.where(F.length(F.trim(F.col("text").cast("string"))) > 0).withColumn("text", F.substring(F.trim(F.col("text").cast("string")), 1, 50_000))
-        return self._store_said(_filled(X.grammar_free(said)).unionByName(_filled(self.extractor(said, "personal"))), said, now, "personal", "private", "", tool)
+        return self._store_said(_filled(X.grammar_free(said, self.corrections())).unionByName(_filled(self.extractor(said, "personal"))), said, now, "personal", "private", "", tool)
 
     def _store_said(self, rows: DataFrame, said: DataFrame, now: float, context: str, scope: str, org_id: str, tool: str) -> dict[str, int]:
         text = said.select(F.col("seq").alias("_s"), "user_id", F.substring("text", 1, 500).alias("source_text"))
@@ -109,10 +110,17 @@ class Memory:
         past = F.coalesce(F.col("sentence"), F.lit("")).rlike(r"(?i)\b\w+ed\b") & (ends > now)
         rows = rows.withColumn("valid_until", F.when(F.col("predicate") != "stated", F.when(past, now - 1).otherwise(ends)))
         if context != "company" and (self.options.injection_defense or self.options.hypothetical_detection):
-            similar = self.options.similarity(F.col("source_text")) if self.options.similarity else None
-            rows = safety.flag_writes(rows, similar, self.options.injection_defense, self.options.hypothetical_detection)
+            rows = safety.flag_writes(rows, self.options.embed, self.options.injection_defense, self.options.hypothetical_detection)
         return self._write(rows, now, context, scope, org_id, tool, normalize.learned_aliases(said))
 
+    def corrections(self) -> DataFrame:
+        return self.table.extra("corrections", CORRECTIONS)
+
+    def learn_correction(self, wrong: str, right: str, now: float, about: str | None = None) -> None:
+        """From now on read the predicate ``wrong`` as ``right``, of the object ``about`` or of any, in texts read without grammar."""
+        row = self.spark.createDataFrame([(wrong, right, about, float(now))], CORRECTIONS)
+        self._commit(self.spark.createDataFrame([], FACTS), set(), {"corrections": row})
+
     def store_facts(self, utterances: DataFrame, now: float, context: str = "personal", scope: str = "private", org_id: str = "", tool: str = "") -> dict[str, int]:
         """Texts with the facts a model found in them: (seq, user_id, text, facts array<struct<subject, predicate, object[, confidence,
         is_negation]>>). The text is kept as ``stated``; facts without a predicate or object are left out; ``user`` is the user."""
@@ -206,6 +214,8 @@ class Memory:
         """Ranked facts for (query_id, text[, embedding, predicate_hint, subject_hint, negation, past]). Blank and null questions have
         no results. Reading changes nothing. ``traces`` and ``vectors`` as in ``retrieval.recall``."""
         asked = questions.where(F.length(F.trim(F.col("text").cast("string"))) > 0).withColumn("user_id", F.lit(user_id))
+        if self.options.embed is not None and "past" not in asked.columns:
+            asked = R.with_intents(asked, self.options.embed)
         seen = self.visible(user_id, org_id, repo_id).drop("user_id")
         return R.recall(asked, seen, now, top_k, G.edges_of(seen), traces, vectors)
 
