@@ -18,13 +18,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, fresh, join_hot, materialize, project, shared_dir, ship, slices
+from .common import STEP_BYTES, column, fresh, join_hot, materialize, project, shared_dir, ship, slices, tidy
 
 #: Bytes of distinct text a bucket may hold before it splits, as long as that makes no more than MOST_BUCKETS of them; beyond,
 #: buckets hold as much more. (Owners stream their buckets, so a larger one needs no more memory.)
 BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 1 << 16
 #: Bytes of a combined batch; of texts seen before that a map task holds back to send once.
-BATCH_BYTES, HELD_BYTES = 8 << 20, 16 << 20
+BATCH_BYTES, HELD_BYTES = 4 << 20, 8 << 20
 
 
 #: Stands for a null doc_id: it beats no other.
@@ -98,7 +98,7 @@ def build_directory(keyed: DataFrame, capacity: int = BUCKET_BYTES, old: Directo
 def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h, doc_id, copies, text): the copies in a batch as one entry, with the largest doc_id. A text that comes again is held
     back to the end of the task, so that one a third of all rows share costs its owner an entry a task."""
-    held: dict[str, list] = {}  # text: [h, doc_id, copies]
+    held: dict[int, dict[str, list]] = {}  # hash: text: [doc_id, copies]
     size = 0
     for whole in batches:
         for batch in slices(whole, "text", BATCH_BYTES):
@@ -111,12 +111,13 @@ def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first[code[::-1]] = np.arange(len(code))[::-1]
             h = np.asarray(column(batch, "h"))[first]
             out = np.ones(len(best), bool)
-            for k, text in enumerate(codes.dictionary.to_pylist()) if held or (copies > 1).any() else ():
-                if text in held:
-                    x = held[text]
-                    x[1], x[2] = max(x[1], int(best[k])), x[2] + int(copies[k])
+            for k in np.flatnonzero((copies > 1) | np.isin(h, list(held))).tolist():
+                text, there = codes.dictionary[k].as_py(), held.get(int(h[k]), {})
+                if text in there:
+                    x = there[text]
+                    x[0], x[1] = max(x[0], int(best[k])), x[1] + int(copies[k])
                 elif copies[k] > 1 and size + len(text) <= HELD_BYTES:
-                    held[text] = [int(h[k]), int(best[k]), int(copies[k])]
+                    held.setdefault(int(h[k]), {})[text] = [int(best[k]), int(copies[k])]
                     size += len(text)
                 else:
                     continue
@@ -124,8 +125,10 @@ def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = pa.array(np.flatnonzero(out))
             yield pa.RecordBatch.from_arrays([pa.array(h).take(at), pa.array(best).take(at), pa.array(copies).take(at), codes.dictionary.take(at)], ["h", "doc_id", "copies", "text"])
     if held:
-        cols = list(zip(*held.values(), strict=True))
-        yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols], pa.array(list(held), pa.string())], ["h", "doc_id", "copies", "text"])
+        cols = list(zip(*[(h, *x, text) for h, texts in held.items() for text, x in texts.items()], strict=True))
+        yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.string())], ["h", "doc_id", "copies", "text"])
+        held.clear()
+    tidy()
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET_BYTES) -> tuple[DataFrame, str]:
@@ -167,7 +170,7 @@ def _write(spark: SparkSession, entries: DataFrame, directory: Directory) -> tup
         chain: list[list] = []  # of the current hash: [bucket, h, doc_id, copies, text]
         out: list[tuple] = []
         size = 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text", STEP_BYTES)):
             for entry in zip(*(column(batch, n).to_pylist() for n in ("bucket", "h", "doc_id", "copies", "text")), strict=True):
                 if chain and chain[0][1] != entry[1]:
                     out += [(*x, k) for k, x in enumerate(chain)]
@@ -179,11 +182,13 @@ def _write(spark: SparkSession, entries: DataFrame, directory: Directory) -> tup
                 else:
                     chain.append(list(entry))
                     size += len(entry[4])
-            if size > 4 << 20:
+            if size > 1 << 20:
                 yield rows(out)
                 out, size = [], 0
         out += [(*x, k) for k, x in enumerate(chain)]
         yield rows(out)
+        del out, chain
+        tidy()
 
     def rows(out: list[tuple]) -> pa.RecordBatch:
         cols = list(zip(*out, strict=True)) or [()] * 6
