@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import column, map_arrow, materialize, numbered, project
 
 #: Tokens of a sequence, steps of the least-squares fit, whitespace-separated parts a worker remembers the ids of.
-LENGTH, STEPS, REMEMBERED = 1024, 300, 150_000
+LENGTH, STEPS, REMEMBERED = 1024, 300, 250_000
 END_ID = 2
 
 
@@ -31,8 +31,8 @@ class Encoder:
     """Ids of a text as packed little-endian 32-bit numbers, equal to the tokenizer file's own.
 
     Byte-level BPE splits a text before each single space that a non-space follows, whatever stands around it. So a text of
-    Latin letters with no other spaces is taken part by part, and ids of frequent parts and words are remembered; a new
-    word is merged by the same ranks. Other texts, and files whose merges do not follow their ids, are encoded whole.
+    Latin letters with no other spaces is taken part by part, and ids of parts are remembered; a new part is merged by the
+    same ranks. Other texts, and files whose merges do not follow their ids, are encoded whole.
     """
 
     ODD = re.compile(r"[^\n -~\xa1-\xac\xae-\u024f]")
@@ -41,12 +41,11 @@ class Encoder:
     def __init__(self, path: str):
         self.path, self.whole = path, None
         self.known: dict[str, bytes] = {}
-        self.merge, self.split = self._ranks(path)
+        self.merge = self._ranks(path)
 
     def _ranks(self, path: str):  # noqa: ANN202
-        """The merging of one word and the split into words, or None where the file is of another kind."""
+        """The encoding of one part, or None where the file is of another kind."""
         import public_tokenizers
-        import regex
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
@@ -56,13 +55,12 @@ class Encoder:
         plain = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space") and not x.get("normalizer")
         merges = [m if isinstance(m, str) else " ".join(m) for m in x["model"].get("merges", [])]
         if not plain or any(vocab.get(m.replace(" ", "", 1)) != 256 + k for k, m in enumerate(merges)):
-            return None, None
+            return None
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
         byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
         special = {t["content"] for t in x.get("added_tokens", [])}
         ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if token not in special}
-        whole = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})  # a word is one piece
-        return whole.encode_ordinary, regex.compile(public_tokenizers.PATTERN).findall
+        return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         if not texts:
@@ -75,14 +73,7 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _part(self, part: str) -> bytes:
-        known = self.known
-        out = []
-        for word in self.split(part):
-            ids = known.get(word)
-            if ids is None:
-                ids = known[word] = np.array(self.merge(word), "<u4").tobytes()
-            out.append(ids)
-        ids = known[part] = b"".join(out)
+        ids = self.known[part] = np.array(self.merge(part), "<u4").tobytes()
         return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
