@@ -28,7 +28,7 @@ CUT_SPACE, CUT_WIDE, CUT_ANY = 44, 20, 1
 GEAR_BYTES, MIN_CHUNK, BACKUP = 16, 16, 32
 #: Bytes of text a map batch has; windows' entries (about) an owner's bucket has, and bytes of text for each; bytes of all texts for
 #: an owner that compares bytes.
-BATCH_BYTES, BUCKET_ENTRIES, ENTRY_BYTES, OWNER_BYTES = 1 << 20, 1 << 20, 40, 6 << 20
+BATCH_BYTES, BUCKET_ENTRIES, ENTRY_BYTES, OWNER_BYTES = 1 << 20, 1 << 19, 40, 3 << 20
 _GEAR = (seeds(256, 97) >> np.uint64(32)).astype(np.uint32)
 _roll = Rolling(89)
 _SPACE = np.zeros(256, bool)
