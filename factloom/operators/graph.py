@@ -17,12 +17,15 @@ def stats(edges: DataFrame) -> DataFrame:
     return edges.distinct().agg(F.count("*").alias("edges")).join(nodes)  # one row each
 
 
-def related(edges: DataFrame, seeds: DataFrame, cap: int = 1000) -> DataFrame:
-    """(seed, node, degree): nodes within two hops either way, without the seed, the best connected first."""
+def related(edges: DataFrame, seeds: DataFrame, cap: int | None = 1000) -> DataFrame:
+    """(seed, node, degree, rank): nodes within two hops either way, without the seed; of each seed the ``cap`` best connected.
+    Where ``cap`` is None all of them, as (seed, node)."""
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     one = seeds.select("seed").join(both, F.col("seed") == F.col("src")).select("seed", F.col("dst").alias("node"))
     two = one.join(both, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node"))
     near = one.unionByName(two).where("node <> seed").distinct()
+    if cap is None:
+        return near
     degree = both.groupBy(F.col("src").alias("_n")).agg(F.count("*").alias("degree"))
     order = Window.partitionBy("seed").orderBy(F.col("degree").desc(), "node")
     return near.join(degree, F.col("node") == F.col("_n")).drop("_n").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap)
