@@ -15,13 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, flat, map_arrow, project, tidy
+from .common import column, flat, map_arrow, materialize, project, tidy
 
 #: Bytes in a segment, hidden units of a direction, training documents of a language at most (whole texts).
 SEGMENT, HIDDEN, DOCS_PER_LANG = 64, 8, 400
-#: Of the filtering stage: steps of training; held-out documents of a language at most on which its cuts are found, the share of
-#: them a cut may cost, what is added to it for safety, the least cut, and the sizes in bytes up to which texts have one of their own.
-STAGE_STEPS, HELD_OUT_PER_LANG, MAY_LOSE, MARGIN, LEAST_CUT, BANDS = 900, 1000, 0.001, 0.1, 0.25, (64, 256)
+#: Of the filtering stage: steps of training; the share of held-out documents a cut may cost, what is added to it for safety, the
+#: least cut, and the sizes in bytes up to which texts have one of their own.
+STAGE_STEPS, MAY_LOSE, MARGIN, LEAST_CUT, BANDS = 900, 0.001, 0.1, 0.25, (64, 256)
+#: Bits of a score that one pass of ``at_rank`` settles.
+DIGIT = 13
 #: Label of what is in no learned language.
 NOISE = "und"
 #: First and last code points of scripts that noise is drawn from.
@@ -217,14 +219,14 @@ def noise(segments: np.ndarray, n: int, seed: int = 11) -> list[bytes]:
     return out
 
 
-def _sample(rows: DataFrame, per_lang: int, salt: str) -> DataFrame | None:
+def _sample(rows: DataFrame, per_lang: int) -> DataFrame | None:
     """About ``per_lang`` rows of each language; a hash of doc_id picks them."""
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return None
     scale = 1 << 30
     rate = F.element_at(F.create_map(*[F.lit(x) for k in sorted(counts) for x in (k, int(min(1.0, per_lang / counts[k]) * scale))]), F.col("lang"))
-    return rows.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(salt)), F.lit(scale)) < rate)
+    return rows.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("langid")), F.lit(scale)) < rate)
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG, steps: int = 260, with_noise: bool = False) -> BiGru | None:
@@ -232,7 +234,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     their whole texts. Held-out rows and rows with null text or language have no part. ``with_noise`` adds a label ``und``,
     learned from as much generated noise as a language has segments. None if there is nothing to learn from."""
     rows = project(docs, doc_id=id_col, text=text_col, lang=lang_col).where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    picked = _sample(rows, docs_per_lang, "langid")
+    picked = _sample(rows, docs_per_lang)
     if picked is None:
         return None
 
@@ -256,26 +258,45 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return model
 
 
-def noise_cuts(docs: DataFrame, model: BiGru, per_lang: int = HELD_OUT_PER_LANG) -> np.ndarray:
-    """By band of size, the share of ``und`` above which a text goes: what at most MAY_LOSE of about ``per_lang`` held-out
-    documents of each language (whole texts with letters) pass, and MARGIN; never under LEAST_CUT. A half in a band without any."""
+def noise_cuts(docs: DataFrame, model: BiGru) -> np.ndarray:
+    """By band of size, the share of ``und`` above which a text goes: what at most MAY_LOSE of all held-out documents with a
+    language (whole texts with letters) pass, and MARGIN; never under LEAST_CUT. A half in a band without any.
+
+    Every such document is scored. Its band and score are written, 12 bytes a row, and the driver gets counts only."""
     out = np.full(len(BANDS) + 1, 0.5)
     rows = project(docs, doc_id="doc_id", text="text", lang="lang").where(held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    picked = _sample(rows, per_lang, "cut")
-    if picked is None:
-        return out
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = flat(column(batch, "text"))
-        return pa.RecordBatch.from_arrays([pa.array(np.diff(offsets)), pa.array(model.documents(data, offsets)[:, -1])], ["size", "p"])
+        share = np.maximum(model.documents(data, offsets)[:, -1], 0.0)
+        return pa.RecordBatch.from_arrays([pa.array(bands(np.diff(offsets)).astype(np.int32)), pa.array(share.view(np.int64))], ["band", "bits"])
 
-    got = np.array([tuple(r) for r in map_arrow(picked.select("text"), score, "size long, p double").collect()]).reshape(-1, 2)
-    band = bands(got[:, 0])
-    for k in np.unique(band):
-        out[k] = max(LEAST_CUT, np.quantile(got[band == k, 1], 1 - MAY_LOSE, method="higher") + MARGIN)
+    scores = materialize(map_arrow(rows.select("text"), score, "band int, bits long"), "noise")
+    sizes = {r[0]: r[1] for r in scores.groupBy("band").count().collect()}
+    for k, share in at_rank(scores, {k: int(np.ceil((n - 1) * (1 - MAY_LOSE))) for k, n in sizes.items()}).items():
+        out[k] = max(LEAST_CUT, share + MARGIN)
     return out
 
 
+def at_rank(scores: DataFrame, ranks: dict[int, int]) -> dict[int, float]:
+    """By band, the score at a position (from 0) in ascending order, exactly. ``scores``: (band, bits), bits of a double that is
+    not negative, which sort as the numbers do. Their digits are settled one by one, the highest first, from counts of the rows
+    that agree in those before: a few thousand counts a band and pass, and no task gets all rows, nor all that are equal."""
+    found = dict.fromkeys(ranks, 0)
+    for shift in range(4 * DIGIT, -1, -DIGIT) if ranks else ():
+        top = F.shiftright("bits", shift)
+        agree = F.lit(False)
+        for k, x in found.items():
+            agree |= (F.col("band") == k) & top.between(x << DIGIT, (x + 1 << DIGIT) - 1)
+        counts = scores.where(agree).groupBy("band", top.alias("top")).count().collect()
+        for k in found:
+            values, n = np.array(sorted((r[1], r[2]) for r in counts if r[0] == k)).T
+            below = np.cumsum(n) - n
+            i = np.searchsorted(below, ranks[k], "right") - 1
+            found[k], ranks = int(values[i]), ranks | {k: ranks[k] - int(below[i])}
+    return {k: float(np.int64(x).view(np.float64)) for k, x in found.items()}
+
+
 def bands(sizes: np.ndarray) -> np.ndarray:
     return np.searchsorted(BANDS, sizes, "left")
 

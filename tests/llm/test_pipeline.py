@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 
 import corpus_pipeline as pipeline
 import numpy as np
@@ -117,3 +118,25 @@ def test_language_stage_rejects_what_is_in_no_learned_language(spark):
     left = {junk[i - 10_000_000] for i in ids[ids >= 10_000_000]}
     for kind, share in ((shuffled, 0.9), (greek, 0.95), (codes, 0.95), (["12 34", None], 1)):
         assert len(left & set(kind)) <= (1 - share) * len(kind), kind[0]
+
+
+def test_cuts_of_the_language_stage_come_from_all_held_out_documents(spark):
+    """Far more documents than 1000 a language, many of them with equal scores; scores stand in the texts here."""
+
+    class Told:
+        def documents(self, data, offsets):
+            p = np.array([float(bytes(data[s + 1 : s + 10])) for s in offsets[:-1]])
+            return np.stack([1 - p, p], 1)
+
+    r = random.Random(6)
+    score = [0.0, 0.3, *[r.choice([0.4, r.random(), r.random() ** 3]) for _ in range(19_998)]]
+    rows = [(i, f"x{p:.7f}" + " and so on" * (i % 3 * 15), "en" if i % 5 else "fr" if i % 7 else None, "s", 1) for i, p in enumerate(score)]
+    got = langid.noise_cuts(frame(spark, rows), Told())
+    parts = [[], [], []]
+    for i, text, lang, *_ in rows:
+        if lang and zlib.crc32(str(i).encode()) % 3 == 1:
+            parts[sum(len(text) > edge for edge in langid.BANDS)].append(float(text[1:10]))
+    assert min(map(len, parts)) > 1000
+    want = [max(langid.LEAST_CUT, np.quantile(p, 1 - langid.MAY_LOSE, method="higher") + langid.MARGIN) if p else 0.5 for p in parts]
+    assert list(got) == want
+    assert list(langid.noise_cuts(frame(spark, [x for x in rows if not x[2]]), Told())) == [0.5] * 3
